@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, piece_codec, toxicity
+from . import cap_filters, ngram_join, packing, piece_codec, pivot_index, toxicity
 from .common import ship, table
 
 
@@ -16,6 +16,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
 
 
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_index.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -33,6 +44,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_cap_filters": op3_cap_filters,
+    "op4_pivot_index": op4_pivot_index,
     "op5_packing": op5_packing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
