@@ -1,15 +1,66 @@
-"""Corpus pipeline: stages that each call one training-data operator."""
+"""Corpus pipeline: language ID, toxicity, near duplicates, personal data, packing.
+
+Every stage takes what its predecessor kept and hands on the columns of ``documents``; the last returns packed pieces. The
+stages are written as tables in the shared checkpoint folder and read again, so none is computed twice.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.llm import language_id, ngram_join, packing, pseudonyms, toxicity
+from logweave.llm.common import ship, staged, table
+from logweave.llm.queries import PSEUDONYM_KEY
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language at all; the declared language and the source are further evidence."""
+    ship(spark)
+    models = language_id.fit(docs, "text", "lang", "doc_id")
+    found = language_id.identify(docs, models, declared_col="lang", host_col="source")
+    return found.filter("accepted").select(docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not flag. A row goes by its own text, also where ids repeat or are null."""
+    ship(spark)
+    return toxicity.with_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates; without an id nothing is a duplicate."""
+    ship(spark)
+    groups = ngram_join.jaccard_components(docs)
+    copies = groups.filter("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(docs, key=PSEUDONYM_KEY, found_col=None)
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("toxicity", not_toxic),
+    ("ngram_jaccard", one_of_each_group),
+    ("pseudonyms", without_personal_data),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: The stages use trained models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -7,15 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, ngram_join, packing, piece_codec, pivot_index, toxicity
+from . import cap_filters, language_id, license_scan, ngram_join, packing, piece_codec, pivot_index, pseudonyms, site_templates, toxicity
 from .common import ship, table
 
+#: Key of the registered pseudonym query; a deployment passes its own secret.
+PSEUDONYM_KEY = "synthetic-test-data"
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages, by text models fitted on labelled documents."""
+    ship(spark)
+    models = language_id.fit(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    found = language_id.identify(table(spark, sf_dir, "pages"), models, text_col="html", url_col="url", markup=True)
+    return found.select("page_id", "url", "language", "confidence", "text_language", "accepted")
+
+
 def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -32,6 +42,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+    return found.select("doc_id", "text", "n_found")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -42,13 +62,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return site_templates.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
     "op3_cap_filters": op3_cap_filters,
     "op4_pivot_index": op4_pivot_index,
     "op5_packing": op5_packing,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op7_license_scan": op7_license_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_site_templates": op10_site_templates,
 }
 
 ORACLE_SQL: dict[str, str] = {}

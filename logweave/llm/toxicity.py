@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_batches
 from .segments import coded_segments
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
     return sparse.groupBy(F.lit(0).alias("all")).applyInPandas(train, "bucket bigint, weight double")
 
 
-def score(
+def with_scores(
     docs: DataFrame,
     labels: DataFrame,
     settings: Settings | None = None,
@@ -183,16 +184,15 @@ def score(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> DataFrame:
-    """Learn from ``labels`` and score every text: ``id_col, held_out, score, predicted``."""
+    """Learn from ``labels`` and add ``held_out, score, predicted`` to every row (in place of columns of these names)."""
     settings = settings or Settings()
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels, settings, id_col, text_col, label_col).toPandas()  # at most 2**bits + 1 rows
-    table = np.zeros(1 << settings.bits, dtype=np.float32)
-    inner = model[model["bucket"] >= 0]
-    table[inner["bucket"].to_numpy(dtype=np.int64)] = inner["weight"].to_numpy()
+    inner = model[(model["bucket"] >= 0) & (model["weight"] != 0)]
     bias = float(model.loc[model["bucket"] == -1, "weight"].iloc[0]) if len(model) else -35.0
-    kept = np.flatnonzero(table)
-    sent = docs.sparkSession.sparkContext.broadcast((kept, table[kept], bias))
+    sent = docs.sparkSession.sparkContext.broadcast((inner["bucket"].to_numpy(dtype=np.int64), inner["weight"].to_numpy(dtype=np.float64), bias))
+    docs = docs.select([c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")])
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, weights, own_bias = sent.value
@@ -200,16 +200,16 @@ def score(
         dense[at] = weights
         features = Features(settings.bits)
         for batch in batches:
-            offsets, buckets = features.batch(batch.column(1), dense)
+            offsets, buckets = features.batch(batch.column(text_at), dense)
             sums = np.concatenate([[0.0], np.cumsum(dense[buckets])])
             logits = sums[offsets[1:]] - sums[offsets[:-1]] + own_bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(logits))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(logits), pa.float64())], [*batch.schema.names, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, score double")
-    return scored.select(
-        F.col("id").alias(id_col),
-        (remainder(F.col("id")) == 0).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+    scored = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return scored.withColumns({"held_out": remainder(F.col(id_col)) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+def score(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Scores of all texts: ``id_col, held_out, score, predicted``."""
+    slim = docs.select(docs[id_col], docs[text_col])
+    return with_scores(slim, labels, settings, id_col, text_col, label_col).select(id_col, "held_out", "score", "predicted")
