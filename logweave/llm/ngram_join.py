@@ -301,6 +301,46 @@ def _verified(sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFra
     return routed.groupBy("t0", "t1", "t2", "t3").applyInPandas(join, "a bigint, b bigint")
 
 
+class IdFilter:
+    """A Bloom filter over 64-bit hashes: false for most others, never false for its own."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = hashes.astype(np.int64).view(np.uint64)
+        return raw & np.uint64(size - 1), (raw >> np.uint64(32)) & np.uint64(size - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = self.places(hashes, 8 * len(self.bits))
+        test = lambda at: (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        return (test(a) & test(b)).astype(bool)
+
+
+def id_filter(hashes: DataFrame, most_bits: int = 1 << 28):
+    """A broadcast ``IdFilter`` of the column ``h``: 16 bits a value, 32 MB at most (beyond that it only spares less)."""
+    size = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, hashes.count()))), 13, np.log2(most_bits)))
+
+    def fill(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size // 8, dtype=np.uint8)
+        for pdf in pdfs:
+            for at in IdFilter.places(pdf["h"].to_numpy(), size):
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+        yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(size // 8, dtype=np.uint8)
+        for x in pdf["bits"]:
+            bits |= np.frombuffer(x, dtype=np.uint8)
+        return pd.DataFrame({"bits": [bits.tobytes()]})
+
+    filled = hashes.coalesce(8).mapInPandas(fill, "bits binary")
+    merged = filled.groupBy(F.lit(0).alias("all")).applyInPandas(merge, "bits binary").first()  # one row
+    bits = np.frombuffer(merged["bits"], dtype=np.uint8) if merged else np.zeros(size // 8, dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(IdFilter(bits))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Documents with the size of their shingle set and the smallest id of their component.
 
@@ -324,8 +364,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "ngram-live",
     )
 
+    # the texts of the sets in play are read again; a filter of bounded size spares the others without shuffling any text
+    maybe = id_filter(live.select(F.xxhash64(F.col("rep")).alias("h")))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(maybe.value(batch.column(1).to_numpy())))
             sets = shingle_sets(batch.column(0), n)
             digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -333,8 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ["d0", "d1", "size", "shingles"],
             )
 
-    wanted = source.join(live.select(F.col("rep").alias("id")).filter("id is not null").distinct(), "id", "left_semi").unionByName(source.filter("id is null"))
-    sets = wanted.select("text").mapInArrow(whole, "d0 bigint, d1 bigint, size bigint, shingles binary")
+    sets = source.select("text", F.xxhash64("id").alias("h")).mapInArrow(whole, "d0 bigint, d1 bigint, size bigint, shingles binary")
     sets = sets.join(live.select("d0", "d1"), ["d0", "d1"], "left_semi").dropDuplicates(["d0"])
     sets = staged(sets.select("d0", "size", "shingles"), "ngram-sets")
 
