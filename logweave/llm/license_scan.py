@@ -95,16 +95,16 @@ class TemplateIndex:
             for t, p in self.postings.get(gram, ()):
                 start = at - p
                 own = chains.setdefault(t, [])
-                if own and start - own[-1][1] <= self.band:
-                    own[-1][1] = max(own[-1][1], start)
+                if own and abs(start - own[-1][1]) <= self.band and p > own[-1][2]:
+                    own[-1] = [min(own[-1][0], start), max(own[-1][1], start), p]
                 else:
-                    own.append([start, start])
+                    own.append([start, start, p])
         found = []
         for t, own in chains.items():
             last_end = -1
-            for low, high in own:
-                match = self._align(t, ids, low, high)
-                if match.coverage >= least and match.first > last_end:
+            for low, high, _ in own:
+                match = self._align(t, ids, low, high, last_end + 1)
+                if match.coverage >= least:
                     found.append(match)
                     last_end = match.last
         # a notice inside a longer passage of the same words is the passage's
@@ -115,8 +115,8 @@ class TemplateIndex:
                 kept.append(m)
         return sorted(kept, key=lambda m: (m.first, m.template))
 
-    def _align(self, t: int, ids: np.ndarray, low: int, high: int) -> Match:
-        """Most template words in order within the band of diagonals ``low..high``; fewest extra words among equals."""
+    def _align(self, t: int, ids: np.ndarray, low: int, high: int, start: int) -> Match:
+        """Most template words in order within the band of diagonals ``low..high``, from word ``start`` on; fewest extra words among equals."""
         template = self.words[t]
         a, b = low - self.band, high + self.band
         width = b - a + 1
@@ -128,7 +128,7 @@ class TemplateIndex:
             for d in range(width):
                 q = a + d + p
                 best = row[d]
-                if 0 <= q < len(ids) and ids[q] == word:
+                if start <= q < len(ids) and ids[q] == word:
                     m = row[d]
                     best = (m[0] + 1, m[1], q if m[2] < 0 else m[2], q)
                 if d + 1 < width and (o := row[d + 1]) and (o[0], o[1] - 1) > (best[0], best[1]):
