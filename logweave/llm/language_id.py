@@ -80,20 +80,20 @@ class TextModels:
         offsets, codes, words = coded_segments(texts)
         if len(offsets) < 2:
             return np.zeros((0, len(self.languages) + 2))
-        if len(self.known) > 200_000:
+        if len(self.known) > 100_000:
             self.known = {w: self.known[w] for w in words if w in self.known}
         known = self.known
         for w in words:
             if w not in known:
                 known[w] = self._word(w)
-        facts = np.stack([known[w] for w in words])
-        return np.add.reduceat(facts[codes], offsets[:-1], axis=0)
+        facts = np.stack([known[w] for w in words], axis=1)
+        return np.stack([np.add.reduceat(one[codes], offsets[:-1]) for one in facts], axis=1)  # a column at a time: a row a word each
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], dict[int, np.ndarray]]:
     """Gram counts by language from at most ``sample`` texts (the smallest hashes of ids); at most ``2**18`` buckets."""
     spark = labelled.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size=8 << 20)
     chosen = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang")).filter("lang is not null and id is not null")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text")).join(F.broadcast(chosen), "id")
@@ -149,7 +149,7 @@ def identify(
     if fewer than the share ``least_seen`` of its grams were ever seen in training.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size=8 << 20)
     languages, counts = models
     names = ["__ll", "__grams", "__seen", "__declared", "__host", "__domain", "__suffix"]
     inputs = [text_col, *[c for c in (declared_col, url_col, host_col) if c]]

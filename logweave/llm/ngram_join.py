@@ -348,7 +348,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``id_col, n_shingles, component_id`` and ``class_id`` (the smallest id with an equal set), a row per row of ``docs``.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size=8 << 20)
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     num, den = percent, 100

@@ -45,7 +45,7 @@ class Settings:
     l2: float = 1.0
     epochs: int = 3
     #: Most labelled rows that the fit reads.
-    sample: int = 16_000
+    sample: int = 10_000
 
 
 class Features:
@@ -57,7 +57,7 @@ class Features:
 
     def _hashes(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known = self.known = {w: known[w] for w in words if w in known}
         for w in words:
             if w not in known:
@@ -148,9 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)
         for batch in batches:
-            offsets, buckets = features.batch(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["id", "label", "at"])
+            for at in range(0, len(batch), 256):  # all features of a text stand side by side before they are made distinct
+                some = batch.slice(at, 256)
+                offsets, buckets = features.batch(some.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets, pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), lists], ["id", "label", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     sparse = rows.select("id", "text", "label").mapInArrow(featurize, f"id {kind}, label int, at array<int>")
@@ -186,7 +188,7 @@ def with_scores(
 ) -> DataFrame:
     """Learn from ``labels`` and add ``held_out, score, predicted`` to every row (in place of columns of these names)."""
     settings = settings or Settings()
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, size=8 << 20)
     model = fit(docs, labels, settings, id_col, text_col, label_col).toPandas()  # at most 2**bits + 1 rows
     inner = model[(model["bucket"] >= 0) & (model["weight"] != 0)]
     bias = float(model.loc[model["bucket"] == -1, "weight"].iloc[0]) if len(model) else -35.0
