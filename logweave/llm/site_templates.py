@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
-Every page is read once into a compact form: its elements (parent, hash of the subtree) and its text blocks (owner
+Every page is read into a compact form: its elements (parent, hash of the subtree) and its text blocks (owner
 element, text). Spark counts, per host, on how many pages each subtree occurs; a subtree that recurs on many pages of
-its host is template, and all blocks below it go. Elements that are never article text by their kind (navigation,
+its host is template. Pages are then read again, next to their host's templates, and all blocks below a template go.
+Reading twice costs less than keeping all compact pages between the two. Elements that are never article text by their kind (navigation,
 forms, scripts, adverts and the like) go as well. Where a page has an article or main element, text comes from there, and
 inside it running text never counts as template, so that a text published twice stays.
 
@@ -18,12 +19,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
@@ -56,11 +57,9 @@ NAMES = frozenset(
 WORDS = re.compile(r"[a-z0-9]+")
 
 
-def host_of(url: str | None) -> str | None:
-    try:
-        return (urlsplit(url.strip()).hostname or None) if url else None
-    except ValueError:
-        return None
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without user and port; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\[\]\s]+)", 1)), F.lit(""))
 
 
 class _Frame:
@@ -239,33 +238,34 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bounded_batches(spark)
     kind = pages.schema[id_col].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                urls = some.column(1).to_pylist()
-                read_ = [read_page(h or "") for h in some.column(2).to_pylist()]
-                lists = [pa.array([r[k] for r in read_], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([host_of(u) for u in urls], pa.string()), *lists], ["id", "url", "host", "parents", "hashes", "owners", "texts"])
-
-    source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    compact = staged(source.mapInArrow(read, f"id {kind}, url string, host string, parents array<int>, hashes array<bigint>, owners array<int>, texts array<string>"), "pages")
-    counted = compact.filter("host is not null")
+            tally: Counter[tuple[str, int]] = Counter()
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes = set(read_page(html or "")[1])
+                hashes.discard(0)
+                tally.update((host, h) for h in hashes)
+            columns = [pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "hash", "pages"])
+
+    source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumn("host", host_of(F.col("url")))
+    counted = source.filter("host is not null")
     sizes = counted.groupBy("host").agg(F.count("*").alias("n"))
-    subtrees = counted.select("host", F.explode(F.array_distinct(F.filter("hashes", lambda h: h != 0))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    subtrees = counted.select("host", "html").mapInArrow(count, "host string, hash bigint, pages bigint").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
     templates = (
         subtrees.join(sizes, "host")
         .filter((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("n")))
         .groupBy("host")
         .agg(F.collect_list("hash").alias("template"))
     )
+    # written, so that its true size decides how it is joined: small lists are sent to the pages, long ones meet them by host
+    templates = staged(templates, "site-templates")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[2:7]]
-            texts = [kept_text(p, h, o, t, set(x or ())) for p, h, o, t, x in zip(*columns)]
+            texts = [kept_text(*read_page(html or ""), set(template or ())) for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    joined = compact.join(templates, "host", "left").select("id", "url", "parents", "hashes", "owners", "texts", "template")
+    joined = source.join(templates, "host", "left").select("id", "url", "html", "template")
     out = joined.mapInArrow(remove, f"id {kind}, url string, text string, n_chars bigint")
     return out.toDF(id_col, url_col, "text", "n_chars")
