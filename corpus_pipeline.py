@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import language_id, ngram_join, packing, pseudonyms, toxicity
-from logweave.llm.common import ship, staged, table
+from logweave.llm.common import drop_all_staged_but, ship, staged, table
 from logweave.llm.queries import PSEUDONYM_KEY
 
 
+def begin(spark: SparkSession, docs: DataFrame) -> None:
+    """Before a stage: its predecessors' results are written, so what they kept in the shared folder can go."""
+    ship(spark)
+    drop_all_staged_but(docs)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language at all; the declared language and the source are further evidence."""
-    ship(spark)
+    begin(spark, docs)
     models = language_id.fit(docs, "text", "lang", "doc_id")
     found = language_id.identify(docs, models, declared_col="lang", host_col="source")
     return found.filter("accepted").select(docs.columns)
@@ -25,25 +31,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not flag. A row goes by its own text, also where ids repeat or are null."""
-    ship(spark)
+    begin(spark, docs)
     return toxicity.with_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates; without an id nothing is a duplicate."""
-    ship(spark)
+    begin(spark, docs)
     groups = ngram_join.jaccard_components(docs)
     copies = groups.filter("doc_id > component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark, docs)
     found = pseudonyms.pseudonymise(docs, key=PSEUDONYM_KEY, found_col=None)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    begin(spark, docs)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -34,22 +34,41 @@ def staging_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Folders of the tables that this process has staged and not dropped.
+STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(path: str) -> str:
+    """The last part of a staged table's path, which is unique."""
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a table that ``staged`` wrote once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    read = {_folder(name.rsplit("/", 1)[0]) for name in df.inputFiles()}
+    _delete(df.sparkSession, [path for path in STAGED if _folder(path) in read])
+
+
+def drop_all_staged_but(df: DataFrame) -> None:
+    """Delete all staged tables but those that ``df`` reads: for a caller whose earlier results are all written elsewhere."""
+    read = {_folder(name.rsplit("/", 1)[0]) for name in df.inputFiles()}
+    _delete(df.sparkSession, [path for path in STAGED if _folder(path) not in read])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        STAGED.remove(name)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

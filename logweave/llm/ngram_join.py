@@ -355,7 +355,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     ranges = max(12, docs.count() // 4096)
     survey = staged(_survey(source, n, ranges), "ngram-survey")
-    rows = survey.filter("range = -1").select("id", "size", "seen", "d0", "d1")
+    rows = staged(survey.filter("range = -1").select("id", "size", "seen", "d0", "d1"), "ngram-rows")
     classes = staged(rows.filter("size > 0").groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("seen").alias("seen")), "ngram-classes")
     shared = _shared_counts(survey.filter("range >= 0").select("range", "hashes", "local", "owners"), ranges)
     lacking = F.col("size") - F.ceil(F.col("size") * num / den)
@@ -364,6 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "ngram-live",
     )
 
+    drop_staged(survey)  # the largest table; all that is left of it is in the two above
     # the texts of the sets in play are read again; a filter of bounded size spares the others without shuffling any text
     maybe = id_filter(live.select(F.xxhash64(F.col("rep")).alias("h")))
 
