@@ -5,6 +5,7 @@ The ``events`` table is read as a log: its rows become entries with a level, a m
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,8 @@ from .operators.narrate import CHECKOUT
 from .operators.schema import as_entries
 from .plans import providers, render
 from .plans.analyzer import session_defaults
-from .plans.graph import cut_lineage
-from .streaming.stream import user_sessions
+from .plans.graph import cut_lineage, shared_folder
+from .streaming.stream import run_once, user_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,6 +579,15 @@ def sessions(spark, sf_dir):
     return user_sessions(log(spark, sf_dir))
 
 
+@query("stream_sessions_once", ORACLE_SQL["user_sessions"])
+def stream_sessions_once(spark, sf_dir):
+    """The same sessions through Structured Streaming over the event files."""
+    path = f"{sf_dir}/events.parquet"
+    fresh = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as the table may be one file
+    entries = fresh.selectExpr("CAST(ts AS timestamp) AS ts", "CAST(user_id AS string) AS user_id", f"{LEVEL} AS level")
+    return run_once(user_sessions(entries), f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of the log with their texts."""
     session_defaults(spark)

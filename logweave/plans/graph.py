@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder the cluster names; into one of our own only in local mode without a setting."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only in local mode without a setting."""
     context = spark.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-checkpoints-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder: a lost executor costs no recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -82,6 +82,18 @@ def user_sessions(entries: DataFrame, gap: str = "5 minutes", lateness: str = "1
     return counted.select("user_id", F.unix_millis("w.start").alias("start_ms"), (F.unix_millis("w.end")).alias("end_ms"), "n_entries", "n_errors")
 
 
+def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Everything that a stream has now, through the streaming operators; its last result table."""
+    rows = f"{folder.rstrip('/')}/rows"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(rows)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(rows)
+
+
 def final_insights(spark: SparkSession, folder: str) -> DataFrame:
     """Recurring failures over all stories that a stream has told."""
     told = spark.read.parquet(f"{folder.rstrip('/')}/stories")
