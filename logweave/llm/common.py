@@ -23,6 +23,28 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BAT
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+#: In a worker process: the operator at work and what it keeps between batches.
+_at_work: dict[str, object] = {}
+
+
+def begin_task(operator: str, keeper: object | None = None) -> None:
+    """At the start of a task in a reused worker: drop what other operators keep there, and give freed memory back."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for other in [name for name in _at_work if name != operator]:
+        known = getattr(_at_work.pop(other), "known", None)
+        if known is not None:
+            known.clear()
+    _at_work[operator] = keeper
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only in local mode, as in tests."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, staged
+from .common import begin_task, bounded_batches, staged
 from .segments import coded_segments
 
 BITS = 18
@@ -162,6 +162,7 @@ def identify(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_languages, buckets, table = sent.value
         own = TextModels(own_languages, dict(zip(buckets.tolist(), table.astype(np.float64))))
+        begin_task("language", own)
         for batch in batches:
             texts = pc.fill_null(batch.column(at[text_col]).cast(pa.string()), "")
             declared: list[str | None] = [None] * len(batch)

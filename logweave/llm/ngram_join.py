@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, drop_staged, staged
+from .common import begin_task, bounded_batches, components, drop_staged, staged
 from .segments import coded_segments
 from .signature_trees import linked
 
@@ -128,6 +128,7 @@ def _survey(docs: DataFrame, n: int, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["range", "id", "size", "seen", "d0", "d1", "hashes", "local", "owners"]
+        begin_task("ngrams")
         for batch in batches:
             sets = shingle_sets(batch.column(1), n)
             if not sets:

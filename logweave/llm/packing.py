@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import begin_task, bounded_batches
 from .segments import coded_segments, ragged_gather
 
 #: Distinct words whose ids are kept between batches.
-CACHE = 800_000
+CACHE = 600_000
 
 
 class SegmentTokenizer:
@@ -169,6 +169,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(tokenizer_path)
+        begin_task("packing", own)
         for batch in batches:
             ids, offsets = own.batch(batch.column(1), end_id)
             crcs, pieces = [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import begin_task, bounded_batches
 from .segments import coded_segments
 
 MARK = "▁"
@@ -311,6 +311,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
+        begin_task("pieces", own)
         for batch in batches:
             counts, first, second = [], [], []
             for n, ids, text in own.batch(batch.column(1)):

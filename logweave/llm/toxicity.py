@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches
+from .common import begin_task, bounded_batches
 from .segments import coded_segments
 
 SIGNS = re.compile(r"[\W_]+")
@@ -57,7 +57,7 @@ class Features:
 
     def _hashes(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 250_000:
+        if len(known) > 120_000:
             known = self.known = {w: known[w] for w in words if w in known}
         for w in words:
             if w not in known:
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)
+        begin_task("toxicity", features)
         for batch in batches:
             for at in range(0, len(batch), 256):  # all features of a text stand side by side before they are made distinct
                 some = batch.slice(at, 256)
@@ -160,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
     sparse = sparse.groupBy("id").agg(F.min_by(F.struct("label", "at"), F.xxhash64("at")).alias("row")).select("id", "row.label", "row.at")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin_task("toxicity-fit")
         model = FTRL(settings)
         pdf = pdf.sort_values("id", kind="stable")
         order = np.random.default_rng(7)
@@ -201,6 +203,7 @@ def with_scores(
         dense = np.zeros(1 << settings.bits)
         dense[at] = weights
         features = Features(settings.bits)
+        begin_task("toxicity", features)
         for batch in batches:
             offsets, buckets = features.batch(batch.column(text_at), dense)
             sums = np.concatenate([[0.0], np.cumsum(dense[buckets])])
