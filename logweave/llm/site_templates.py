@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every page is read into a compact form: its elements (parent, hash of the subtree) and its text blocks (owner
-element, text). Spark counts, per host, on how many pages each subtree occurs; a subtree that recurs on many pages of
-its host is template. Pages are then read again, next to their host's templates, and all blocks below a template go.
+element, text). Spark counts, per host, on how many distinct pages each subtree occurs; a subtree that recurs on many pages of
+its host is template. Pages of one host with equal blocks are copies and count once, so that copies do not make their own text template. Pages are then read again, next to their host's templates, and all blocks below a template go.
 Reading twice costs less than keeping all compact pages between the two. Elements that are never article text by their kind (navigation,
 forms, scripts, adverts and the like) go as well. Where a page has an article or main element, text comes from there, and
 inside it running text never counts as template, so that a text published twice stays.
@@ -11,7 +11,7 @@ A host's template list is bounded: each of its subtrees is on at least the share
 there are at most ``1 / share`` times the mean number of subtrees of a page.
 
 Defined results: null or empty html gives the empty text; a null or broken url has no host and takes no part in the
-counting; unclosed, misnested and very deep markup is read to its end; repeated rows are pages like others; extra
+counting; unclosed, misnested and very deep markup is read to its end; repeated rows count as one page and get a row each; extra
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,6 +61,10 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\[\]\s]+)", 1)), F.lit(""))
 
 
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >= 1 << 63 else number
+
+
 class _Frame:
     __slots__ = ("tag", "number", "hasher", "gone", "inside", "flowing")
 
@@ -121,7 +124,7 @@ def read_page(html: str) -> tuple[list[int], list[int], list[int], list[str]]:
         above.flowing |= frame.flowing or frame.tag in FLOW
         protected = frame.inside and (frame.tag in FLOW or frame.flowing or frame.tag not in BLOCK)
         if not protected and frame.tag in BLOCK and frame.tag not in ("html", "body", "article", "main"):
-            hashes[frame.number] = below - (1 << 64) if below >= 1 << 63 else below
+            hashes[frame.number] = _signed(below)
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -219,6 +222,11 @@ def read_page(html: str) -> tuple[list[int], list[int], list[int], list[str]]:
     return parents, hashes, [b[0] for b in blocks], [b[1] for b in blocks]
 
 
+def page_key(texts: list[str]) -> int:
+    """A hash of the blocks of a page, equal for copies whatever stands around them."""
+    return _signed(xxhash.xxh64_intdigest("\n\n".join(texts)))
+
+
 def kept_text(parents: list[int], hashes: list[int], owners: list[int], texts: list[str], template: set[int]) -> str:
     """The blocks that lie below no template subtree."""
     if template:
@@ -232,28 +240,30 @@ def kept_text(parents: list[int], hashes: list[int], owners: list[int], texts: l
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.1, least_pages: int = 4) -> DataFrame:
     """Main text of every page: ``id_col, url_col, text, n_chars``.
 
-    A subtree is template when it is on at least ``least_pages`` pages of its host and at least the share ``share``.
+    A subtree is template when it is on at least ``least_pages`` distinct pages of its host and at least the share ``share``.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     kind = pages.schema[id_col].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def subtrees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tally: Counter[tuple[str, int]] = Counter()
+            seen: set[tuple[str, int, int]] = set()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = set(read_page(html or "")[1])
-                hashes.discard(0)
-                tally.update((host, h) for h in hashes)
-            columns = [pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "hash", "pages"])
+                _, hashes, _, texts = read_page(html or "")
+                page = page_key(texts)
+                seen.update((host, h, page) for h in set(hashes))  # 0, the root's, stands for the page itself
+            rows = list(seen)
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "hash", "page"])
 
     source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumn("host", host_of(F.col("url")))
     counted = source.filter("host is not null")
-    sizes = counted.groupBy("host").agg(F.count("*").alias("n"))
-    subtrees = counted.select("host", "html").mapInArrow(count, "host string, hash bigint, pages bigint").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
+    found = counted.select("host", "html").mapInArrow(subtrees_of, "host string, hash bigint, page bigint")
+    subtrees = staged(found.groupBy("host", "hash").agg(F.count_distinct("page").alias("pages")), "site-subtrees")
+    sizes = subtrees.filter("hash = 0").select("host", F.col("pages").alias("n"))
     templates = (
-        subtrees.join(sizes, "host")
+        subtrees.filter("hash <> 0").join(sizes, "host")
         .filter((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("n")))
         .groupBy("host")
         .agg(F.collect_list("hash").alias("template"))

@@ -284,3 +284,16 @@ def test_a_text_published_twice_stays(spark):
     rows = [(k, f"http://h.example/{k}", page("<article><p>The same article everywhere</p></article>")) for k in range(9)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert {r.text for r in site_templates.main_text(table).collect()} == {"The same article everywhere"}
+
+
+def test_copies_without_an_article_keep_their_text(spark):
+    top = '<div class="top">Site of the host</div>'
+    copy = top + "<div><div>A text that was put up<br>six times</div><p>And its end</p></div>"
+    boxed = "<article><div>Boxed text<br>of an article</div></article>"
+    rows = [(k, "http://h.example/", f"<body>{top}<div>Page {k} of its own</div></body>") for k in range(14)]
+    rows += [(100 + k, "http://h.example/", f"<html><head><link href='{k}'></head><body>{copy}</body></html>") for k in range(6)]
+    rows += [(200 + k, "http://h.example/", boxed) for k in range(6)]
+    got = {r.page_id: r.text for r in site_templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[k] for k in range(14)] == [f"Page {k} of its own" for k in range(14)]
+    assert {got[100 + k] for k in range(6)} == {"A text that was put up six times\n\nAnd its end"}
+    assert {got[200 + k] for k in range(6)} == {"Boxed text of an article"}
