@@ -1,7 +1,7 @@
 """Causal chains of events and stories built from them.
 
 Chains and merges are found set-based: pairs of events (stories) that satisfy a relation within its horizon meet by band
-joins, and connected components give the chains. The user part of chaining is a window expression, exact for
+joins, those that may overlap by joins over the whole span of the earlier, and connected components give the chains. The user part of chaining is a window expression, exact for
 events that have a user and no other tie.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has, in_order
-from ..plans.graph import connected_components, time_band_join
+from ..plans.graph import connected_components, time_band_join, time_reach_join
 from .group import entity_ids
 from .narrate import narrate_stories
 
@@ -60,17 +60,21 @@ def causal_pairs(events: DataFrame) -> DataFrame:
     touching = (F.col("b_start_ms") >= F.col("a_start_ms")) & (gap <= 5000)
     follows = (F.col("a_outcome") == "failure") & ((F.col("a_action_types") == F.col("b_action_types")) | F.col("b_escalates"))
 
-    def met(left: DataFrame, right: DataFrame, horizon: int, keys: list[str], where: Column) -> DataFrame:
-        return time_band_join(left, right, "a_end_ms", "b_start_ms", horizon, keys, later & where).select(F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"))
+    def met(left: DataFrame, right: DataFrame, horizon: int, keys: list[str], where: Column, overlap: bool = True) -> DataFrame:
+        if overlap:  # also where b starts long before a ends
+            pairs = time_reach_join(left, right, "a_start_ms", "a_end_ms", "b_start_ms", horizon, keys, later & where)
+        else:
+            pairs = time_band_join(left, right, "a_end_ms", "b_start_ms", horizon, keys, later & where)
+        return pairs.select(F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"))
 
-    def keyed(name: str, horizon: int, where: Column) -> DataFrame:
-        return met(a.filter(f"a_{name} is not null").withColumn("k", F.col(f"a_{name}")), b.filter(f"b_{name} is not null").withColumn("k", F.col(f"b_{name}")), horizon, ["k"], where)
+    def keyed(name: str, horizon: int, where: Column, overlap: bool) -> DataFrame:
+        return met(a.filter(f"a_{name} is not null").withColumn("k", F.col(f"a_{name}")), b.filter(f"b_{name} is not null").withColumn("k", F.col(f"b_{name}")), horizon, ["k"], where, overlap)
 
     exploded = lambda df, side, name: df.withColumn("k", F.explode(f"{side}_{name}"))
     near = (gap >= 0) & (gap < 60_000)
-    same_user = keyed("user_id", 300_000, ((gap >= -1000) & (gap < 120_000)) | touching | ((gap >= 0) & (gap < 300_000) & follows))
-    same_session = keyed("session_id", 300_000, (gap >= -1000) & (gap < 300_000))
-    same_meta = keyed("meta_user", 60_000, near)
+    same_user = keyed("user_id", 300_000, ((gap >= -1000) & (gap < 120_000)) | touching | ((gap >= 0) & (gap < 300_000) & follows), True)
+    same_session = keyed("session_id", 300_000, (gap >= -1000) & (gap < 300_000), False)
+    same_meta = keyed("meta_user", 60_000, near, False)
     shared = met(exploded(a, "a", "entities"), exploded(b, "b", "entities"), 60_000, ["k"], near | (touching & (F.col("a_user_id").isNotNull() != F.col("b_user_id").isNotNull()) & F.col("b_user_id").isNull()))
     nobody_a, nobody_b = a.filter("a_user_id is null and a_group_type <> 'request'"), b.filter("b_user_id is null")
     close = met(nobody_a.withColumn("k", F.lit(0)), nobody_b.withColumn("k", F.lit(0)), 5000, ["k"], touching & (gap <= 3000))
@@ -147,8 +151,12 @@ def story_merges(stories: DataFrame, horizon_ms: int = 900_000) -> DataFrame:
     services = F.arrays_overlap("a_services", "b_services")
     inside = (F.col("b_end_ms") <= F.col("a_end_ms"))
 
-    def met(left: DataFrame, right: DataFrame, where: Column, horizon: int = horizon_ms) -> DataFrame:
-        return time_band_join(left, right, "a_end_ms", "b_start_ms", horizon, ["k"], later & where).select(F.col("a_story_id").alias("a"), F.col("b_story_id").alias("b"))
+    def met(left: DataFrame, right: DataFrame, where: Column, horizon: int = horizon_ms, overlap: bool = False) -> DataFrame:
+        if overlap:  # also where b starts long before a ends
+            pairs = time_reach_join(left, right, "a_start_ms", "a_end_ms", "b_start_ms", horizon, ["k"], later & where)
+        else:
+            pairs = time_band_join(left, right, "a_end_ms", "b_start_ms", horizon, ["k"], later & where)
+        return pairs.select(F.col("a_story_id").alias("a"), F.col("b_story_id").alias("b"))
 
     explode = lambda df, side, name: df.withColumn("k", F.explode(f"{side}_{name}"))
     one = lambda df: df.withColumn("k", F.lit(0))
@@ -157,8 +165,8 @@ def story_merges(stories: DataFrame, horizon_ms: int = 900_000) -> DataFrame:
     return (
         met(one(in_incident_a), one(in_incident_b), incident)
         .union(met(explode(a, "a", "families"), explode(b, "b", "families"), (gap >= 0) & (gap <= 120_000), 120_000))
-        .union(met(explode(a, "a", "actors"), explode(b, "b", "actors"), actors & (gap <= 120_000), 900_000))
-        .union(met(explode(a, "a", "services"), explode(b, "b", "services"), services & nobody & (((gap >= 0) & (gap <= 30_000)) | (inside & (gap <= 0))), 900_000))
+        .union(met(explode(a, "a", "actors"), explode(b, "b", "actors"), actors & (gap <= 120_000), 900_000, True))
+        .union(met(explode(a, "a", "services"), explode(b, "b", "services"), services & nobody & (((gap >= 0) & (gap <= 30_000)) | (inside & (gap <= 0))), 900_000, True))
         .distinct()
     )
 

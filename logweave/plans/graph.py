@@ -37,6 +37,27 @@ def time_band_join(left: DataFrame, right: DataFrame, left_ms: str, right_ms: st
     return left.withColumn("__b", bucket(left_ms)).join(near, [*keys, "__b"], how).filter(where).drop("__b")
 
 
+#: Buckets that a span is cut into at most, and how many widths of buckets there are; each is so many times the one before.
+SPAN_BUCKETS, WIDTHS = 64, 5
+
+
+def time_reach_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_ms: str, horizon_ms: int, keys: list[str], where: Column) -> DataFrame:
+    """Rows where the right time is within the left span or at most ``horizon_ms`` after it, and that satisfy ``where``.
+
+    The left side goes to all buckets from its start to its end plus the horizon. Long spans take wider buckets, so that each
+    row is copied a bounded number of times; the right side has one bucket of every width, so a pair meets once.
+    """
+    ends = F.greatest(left_start, left_end) + horizon_ms
+    widths = [horizon_ms * SPAN_BUCKETS**k for k in range(WIDTHS)]
+    width = F.lit(widths[-1])
+    for w in reversed(widths[:-1]):
+        width = F.when(ends - F.col(left_start) <= SPAN_BUCKETS * w, F.lit(w)).otherwise(width)
+    bucket = lambda ms, w: F.floor(ms / w).cast("bigint")
+    reach = left.withColumn("__w", width.cast("bigint")).withColumn("__b", F.explode(F.sequence(bucket(F.col(left_start), F.col("__w")), bucket(ends, F.col("__w")))))
+    at = right.withColumn("__w", F.explode(F.lit(widths).cast("array<bigint>"))).withColumn("__b", bucket(F.col(right_ms), F.col("__w")))
+    return reach.join(at, [*keys, "__w", "__b"]).filter(F.col(right_ms).between(F.col(left_start), ends)).filter(where).drop("__w", "__b")
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Rows ``(node, component)`` for edges ``(a, b)``; component is the smallest node.
 

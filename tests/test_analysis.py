@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from logweave.operators import causal, group, insights, redact
+from logweave.operators import causal, events, group, insights, redact
 from logweave.operators.schema import as_entries
 from logweave.plans import providers, render
 from logweave.plans.analyzer import Analyzer, session_defaults
@@ -86,6 +86,28 @@ def test_user_chains_use_the_reach_of_all_before(spark):
     assert {r.group_key: r.chain_no for r in causal.user_chains(e).collect()} == {"a": 0, "b": 0, "c": 0, "d": 1}
 
 
+def test_long_events_meet_short_ones_near_their_start(spark):
+    hour = 3_600_000
+    # two of nobody in one component, two with an entity of which one has a user, two of one user; all 30 s after a start of two hours
+    rows, keys = [], {}
+    for k, (long_user, short_user, meta) in enumerate([(None, None, {"component": "disk"}), ("u7", None, {"orderId": "ord-12345"}), ("u8", "u8", {})]):
+        for name, ms, user in (("long", 0, long_user), ("long", 2 * hour, long_user), ("short", 30_000, short_user), ("short", 31_000, short_user)):
+            keys[len(rows)] = f"{name}{k}"
+            rows.append((len(rows), (1000 + 10 * k) * hour + ms, "info", f"step {k}", user, None, meta))
+    keyed = entries(spark, rows).join(spark.createDataFrame(list(keys.items()), "seq bigint, group_key string"), "seq")
+    built = events.build_events(keyed)
+    names = {r.event_id: r.group_key for r in built.select("event_id", "group_key").collect()}
+    assert sorted((names[r.a], names[r.b]) for r in causal.causal_pairs(built).collect()) == [(f"long{k}", f"short{k}") for k in range(3)]
+
+
+def test_long_stories_meet_short_ones_near_their_start(spark):
+    hour = 3_600_000
+    rows = [("a0", 0, 5 * hour, ["u"], []), ("a1", 1000, 2000, ["u"], []), ("s0", 0, 5 * hour, [], ["db"]), ("s1", 1000, 2000, [], ["db"]), ("z", 9000 * hour, 9000 * hour, ["u"], ["db"]), ("y0", 0, 20_000 * hour, ["w"], []), ("y1", 7 * hour, 8 * hour, ["w"], [])]
+    s = spark.createDataFrame(rows, "story_id string, start_ms bigint, end_ms bigint, actors array<string>, services array<string>")
+    s = s.withColumn("entries", F.array(F.struct(F.lit("plain words").alias("message"), F.create_map().cast("map<string,string>").alias("metadata"))))
+    assert sorted((r.a, r.b) for r in causal.story_merges(s).collect()) == [("a0", "a1"), ("s0", "s1"), ("y0", "y1")]
+
+
 def test_redaction(spark):
     texts = ["mail a@b.co ip 1.2.3.4", "Bearer abc.def", "key sk-" + "a" * 24, "card 1234-5678-9012-3456", "ssn 123-45-6789", "2001:0db8:0000:0000:0000:ff00:0042:8329", "éa@b.co"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
