@@ -1,14 +1,17 @@
 """Main text of web pages by site template removal.
 
 Every page is read into a compact form: its elements (parent, hash of the subtree) and its text blocks (owner
-element, text). Spark counts, per host, on how many distinct pages each subtree occurs; a subtree that recurs on many pages of
-its host is template. Pages of one host with equal blocks are copies and count once, so that copies do not make their own text template. Pages are then read again, next to their host's templates, and all blocks below a template go.
-Reading twice costs less than keeping all compact pages between the two. Elements that are never article text by their kind (navigation,
-forms, scripts, adverts and the like) go as well. Where a page has an article or main element, text comes from there, and
-inside it running text never counts as template, so that a text published twice stays.
+element, text). Spark counts, per host, on how many distinct pages each subtree occurs; a subtree that recurs on
+``least_pages`` of them is template, however large the host is, and all blocks below a template go. Pages of one host with
+equal blocks are copies and count once, so that copies do not make their own text template. Elements that are never article
+text by their kind (navigation, forms, scripts, adverts and the like) go as well.
 
-A host's template list is bounded: each of its subtrees is on at least the share ``share`` of the host's pages, so
-there are at most ``1 / share`` times the mean number of subtrees of a page.
+Of what remains, only the blocks of articles are kept if the longest article holds at least as much running text (blocks of
+five words or more) as all that stands outside of articles (in the main element, if there is one); else articles are teasers, and all of it is kept. Inside
+articles and main elements running text never counts as template.
+
+Templates meet pages by host and subtree, so their number is not bounded by anything. Pages without a subtree that could be
+template take no part in that: they are read again and are done. The others meet their own templates by host and content.
 
 Defined results: null or empty html gives the empty text; a null or broken url has no host and takes no part in the
 counting; unclosed, misnested and very deep markup is read to its end; repeated rows count as one page and get a row each; extra
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -54,6 +58,8 @@ NAMES = frozenset(
     "navigation newsletter notice popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo search toolbar".split()
 )
 WORDS = re.compile(r"[a-z0-9]+")
+#: Blocks of fewer words are labels: they do not count when articles are weighed against what stands outside of them.
+RUNNING_WORDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -92,17 +98,26 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def read_page(html: str) -> tuple[list[int], list[int], list[int], list[str]]:
-    """Parents and subtree hashes of elements (0: never template), owners and texts of blocks.
+class Page(NamedTuple):
+    """Parents and subtree hashes of elements (0: never template); owners, outermost articles (0: none) and texts of blocks.
 
-    Blocks are those of the article or main elements, or of the whole body if there is none.
+    Blocks are those of main and article elements if there is a main element, or of the whole body.
     """
+
+    parents: list[int]
+    hashes: list[int]
+    owners: list[int]
+    articles: list[int]
+    texts: list[str]
+
+
+def read_page(html: str) -> Page:
     parents, hashes = [-1], [0]
     blocks: list[tuple[int, str, bool]] = []
     root = _Frame("", 0, False, False)
     stack = [root]
     parts: list[str] = []
-    has_article = has_main = False
+    has_main = False
     kinds: list[str] = [""]
 
     def flush() -> None:
@@ -196,7 +211,6 @@ def read_page(html: str) -> tuple[list[int], list[int], list[int], list[str]]:
         inside = top.inside
         if not gone and tag in ("article", "main"):
             inside = True
-            has_article |= tag == "article"
             has_main |= tag == "main"
         number = len(parents)
         parents.append(top.number)
@@ -212,14 +226,46 @@ def read_page(html: str) -> tuple[list[int], list[int], list[int], list[str]]:
     flush()
     while len(stack) > 1:
         pop()
-    if has_article:
-        in_article = [False] * len(parents)
-        for n in range(1, len(parents)):
-            in_article[n] = kinds[n] == "article" or in_article[parents[n]]
-        blocks = [b for b in blocks if in_article[b[0]]]
-    elif has_main:
+    if has_main:
         blocks = [b for b in blocks if b[2]]
-    return parents, hashes, [b[0] for b in blocks], [b[1] for b in blocks]
+    article = [0] * len(parents)
+    for n in range(1, len(parents)):
+        article[n] = article[parents[n]] or (n if kinds[n] == "article" else 0)
+    page = Page(parents, hashes, [b[0] for b in blocks], [article[b[0]] for b in blocks], [b[1] for b in blocks])
+    # what is outside can only become less; where articles cannot, the page is theirs whatever is template
+    if all(not own for own, a in zip(may_go(page), page.articles) if a):
+        page = of_articles(page)
+    return page
+
+
+def of_articles(page: Page) -> Page:
+    """Only the blocks in articles, if the longest article holds as much running text as all blocks outside of articles."""
+    sizes = [0] * len(page.parents)
+    for a, text in zip(page.articles, page.texts):
+        if text.count(" ") >= RUNNING_WORDS - 1:
+            sizes[a] += len(text)
+    if not any(page.articles) or max(sizes[1:]) < sizes[0]:
+        return page
+    kept = [k for k, a in enumerate(page.articles) if a]
+    return page._replace(owners=[page.owners[k] for k in kept], articles=[page.articles[k] for k in kept], texts=[page.texts[k] for k in kept])
+
+
+def may_go(page: Page) -> list[bool]:
+    """Per block, whether it lies below a subtree that could be template."""
+    open_ = [False] * len(page.parents)
+    for n in range(1, len(page.parents)):
+        open_[n] = open_[page.parents[n]] or page.hashes[n] != 0
+    return [open_[o] for o in page.owners]
+
+
+def own_subtrees(page: Page) -> set[int]:
+    """The subtrees that could be template and have a block below them."""
+    seen: set[int] = set()
+    for n in set(page.owners):
+        while n > 0 and n not in seen:
+            seen.add(n)
+            n = page.parents[n]
+    return {page.hashes[n] for n in seen} - {0}
 
 
 def page_key(texts: list[str]) -> int:
@@ -227,20 +273,21 @@ def page_key(texts: list[str]) -> int:
     return _signed(xxhash.xxh64_intdigest("\n\n".join(texts)))
 
 
-def kept_text(parents: list[int], hashes: list[int], owners: list[int], texts: list[str], template: set[int]) -> str:
-    """The blocks that lie below no template subtree."""
+def kept_text(page: Page, template: set[int]) -> str:
+    """The blocks that lie below no template subtree, of articles or of all."""
     if template:
-        gone = [False] * len(parents)
-        for n in range(1, len(parents)):
-            gone[n] = gone[parents[n]] or (hashes[n] != 0 and hashes[n] in template)
-        texts = [t for o, t in zip(owners, texts) if not gone[o]]
-    return "\n\n".join(texts)
+        gone = [False] * len(page.parents)
+        for n in range(1, len(page.parents)):
+            gone[n] = gone[page.parents[n]] or (page.hashes[n] != 0 and page.hashes[n] in template)
+        left = [k for k, o in enumerate(page.owners) if not gone[o]]
+        page = page._replace(owners=[page.owners[k] for k in left], articles=[page.articles[k] for k in left], texts=[page.texts[k] for k in left])
+    return "\n\n".join(of_articles(page).texts)
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.1, least_pages: int = 4) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 4) -> DataFrame:
     """Main text of every page: ``id_col, url_col, text, n_chars``.
 
-    A subtree is template when it is on at least ``least_pages`` distinct pages of its host and at least the share ``share``.
+    A subtree is template when it is on at least ``least_pages`` distinct pages of its host.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -248,34 +295,46 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def subtrees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[str, int, int]] = set()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, hashes, _, texts = read_page(html or "")
-                page = page_key(texts)
-                seen.update((host, h, page) for h in set(hashes))  # 0, the root's, stands for the page itself
+            seen: set[tuple[str, int, int, int, bool]] = set()
+            for host, content, html in zip(*(c.to_pylist() for c in batch.columns)):
+                page = read_page(html or "")
+                key, own = page_key(page.texts), own_subtrees(page)
+                seen.update((host, content, key, h, h in own) for h in set(page.hashes) if h)
             rows = list(seen)
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "hash", "page"])
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "content", "page", "hash", "own"])
 
-    source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumn("host", host_of(F.col("url")))
+    source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumns({"host": host_of(F.col("url")), "content": F.xxhash64("html")})
     counted = source.filter("host is not null")
-    found = counted.select("host", "html").mapInArrow(subtrees_of, "host string, hash bigint, page bigint")
-    subtrees = staged(found.groupBy("host", "hash").agg(F.count_distinct("page").alias("pages")), "site-subtrees")
-    sizes = subtrees.filter("hash = 0").select("host", F.col("pages").alias("n"))
-    templates = (
-        subtrees.filter("hash <> 0").join(sizes, "host")
-        .filter((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("n")))
-        .groupBy("host")
-        .agg(F.collect_list("hash").alias("template"))
-    )
-    # written, so that its true size decides how it is joined: small lists are sent to the pages, long ones meet them by host
-    templates = staged(templates, "site-templates")
+    found = staged(counted.select("host", "content", "html").mapInArrow(subtrees_of, "host string, content bigint, page bigint, hash bigint, own boolean"), "site-subtrees")
+    templates = found.groupBy("host", "hash").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages).select("host", "hash")
+    lists = found.filter("own").select("host", "content", "hash").distinct().join(templates, ["host", "hash"]).groupBy("host", "content").agg(F.collect_list("hash").alias("template"))
+    # written, so that its true size decides how it is joined
+    lists = staged(lists, "site-templates")
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages that no template can change, or without a host."""
+        for batch in batches:
+            rows, texts = [], []
+            for k, (html, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                page = read_page(html or "")
+                if host is None or not own_subtrees(page):
+                    rows.append(k)
+                    texts.append(kept_text(page, set()))
+            kept = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(own_subtrees(read_page(html or ""))) for html in batch.column(2).to_pylist()], pa.bool_()))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [kept_text(*read_page(html or ""), set(template or ())) for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [kept_text(read_page(html or ""), set(template or ())) for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    joined = source.join(templates, "host", "left").select("id", "url", "html", "template")
-    out = joined.mapInArrow(remove, f"id {kind}, url string, text string, n_chars bigint")
+    result = f"id {kind}, url string, text string, n_chars bigint"
+    done = source.select("id", "url", "html", "host").mapInArrow(settled, result)
+    left = counted.select("id", "url", "html", "host", "content").mapInArrow(others, f"id {kind}, url string, html string, host string, content bigint")
+    out = done.union(left.join(lists, ["host", "content"], "left").select("id", "url", "html", "template").mapInArrow(remove, result))
     return out.toDF(id_col, url_col, "text", "n_chars")

@@ -297,3 +297,20 @@ def test_copies_without_an_article_keep_their_text(spark):
     assert [got[k] for k in range(14)] == [f"Page {k} of its own" for k in range(14)]
     assert {got[100 + k] for k in range(6)} == {"A text that was put up six times\n\nAnd its end"}
     assert {got[200 + k] for k in range(6)} == {"Boxed text of an article"}
+
+
+def test_a_block_is_template_on_hosts_of_any_size(spark):
+    box = "<div class='x1'>Join our offer</div>"
+    rows = [(f"{host} {k}", f"http://{host}.example/", f"<body><div>Page {k} of its own</div>{box if k < 6 else ''}</body>") for host, n in (("small", 10), ("large", 200)) for k in range(n)]
+    got = {r.page_id: r.text for r in site_templates.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {i: f"Page {i.split()[1]} of its own" for i, _, _ in rows}
+
+
+def test_teasers_do_not_displace_the_body(spark):
+    teasers = "".join(f"<article><h3>Teaser {k}</h3></article>" for k in range(5))
+    body = "<div>The text of the page itself, longer than any of its teasers</div>"
+    article = "<article><p>A whole article with more text than stands around it</p></article><div>Shop now</div>"
+    rows = [(1, "http://a.example/", body + teasers), (2, "http://a.example/", f"<main>{body}{teasers}</main><div>Outside</div>"), (3, "http://a.example/", article), (4, None, article)]
+    got = {r.page_id: r.text for r in site_templates.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[k].startswith("The text of the page itself") and "Outside" not in got[k] for k in (1, 2))
+    assert got[3] == got[4] == "A whole article with more text than stands around it"
