@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: patterns, in order of preference at one place of a text
-SECRET = r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-]{16})(?<=(?i:token|secret|password|passwd|api.?key|access.?key)[\"']{0,1} {0,3}[=:] {0,3}[\"']{0,1})[0-9A-Za-z_\-]{16,128}"
+SECRET = r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-.+/=~]{16})(?<=(?i:token|secret|password|passwd|api.?key|access.?key)[\"']{0,1} {0,3}[=:] {0,3}[\"']{0,1})[0-9A-Za-z_\-+/][0-9A-Za-z_\-.+/=~]{14,}[0-9A-Za-z_\-+/=~]"
 MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 DATE = r"(?<![0-9A-Za-z.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 ADDRESS = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){3,4}(?![0-9A-Za-z]|-[0-9])"
-CARD = r"(?<![0-9A-Za-z.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|[.\-][0-9])"
+# a run of numbers in which cards are looked for; it ends before a number that is, or begins, something else
+GROUP = r"[0-9]++(?![A-Za-z]|\.[0-9])"
+CARD = rf"(?<![0-9A-Za-z.\-])(?=(?:[ \-]?[0-9]){{13}}){GROUP}(?:[ \-](?!{MAIL}|{DATE}|{SSN}|{ADDRESS}|{PHONE}){GROUP})*+"
 ANY = "|".join(f"(?:{p})" for p in (SECRET, MAIL, DATE, SSN, ADDRESS, PHONE, CARD))
 
 FIRST_DAY = "date'1900-01-01'"
@@ -74,6 +76,20 @@ def _card(key: str) -> str:
     return _let("c", "regexp_replace(m, '[^0-9]', '')", f"if(luhn_check(c) and c rlike '[1-9]', {_refill('m', right)}, m)")
 
 
+def _cards(key: str) -> str:
+    """SQL for the run of numbers ``m`` with its cards replaced, and how many: from each number on, the fewest whole numbers that make a card."""
+    digits = "array_join(slice(gs, i0 + 1, j0 - i0 + 1), '')"
+    card = _let("c0", digits, "length(c0) between 13 and 19 and luhn_check(c0) and c0 rlike '[1-9]'")
+    ends = f"filter(sequence(i0, least(i0 + 18, size(gs) - 1)), j0 -> (i0 = 0 or get(ss, i0 - 1) = ' ') and (j0 = size(gs) - 1 or get(ss, j0) = ' ') and {card})"
+    part = "array_join(flatten(transform(sequence(i0, e0), k0 -> array(gs[k0], if(k0 < e0, ss[k0], '')))), '')"
+    after = lambda end: f"coalesce(get(ss, {end}), '')"
+    taken = f"named_struct('r', concat(acc.r, {_let('m', part, _card(key))}, {after('e0')}), 'n', acc.n + 1, 'next', e0 + 1)"
+    passed = f"named_struct('r', concat(acc.r, gs[i0], {after('i0')}), 'n', acc.n, 'next', i0 + 1)"
+    step = _let("e0", f"get({ends}, 0)", f"if(e0 is null, {passed}, {taken})")
+    folded = f"aggregate(sequence(0, size(gs) - 1), named_struct('r', '', 'n', 0, 'next', 0), (acc, i0) -> if(i0 < acc.next, acc, {step}), acc -> named_struct('r', acc.r, 'n', acc.n))"
+    return _let("gs", "regexp_extract_all(m, '[0-9]+', 0)", _let("ss", "regexp_extract_all(m, '[^0-9]', 0)", folded))
+
+
 def _phone(key: str) -> str:
     lead = r"regexp_extract(m, '^\\+[0-9]{1,3}(?=[^0-9])', 0)"
     rest = f"substr(m, length({lead}) + 1)"
@@ -107,16 +123,18 @@ def _ssn(key: str) -> str:
 
 
 def replacement(key: str) -> str:
-    """SQL for the pseudonym of the match ``m``."""
+    """SQL for the pseudonym ``r`` of the match ``m`` and the number ``n`` of values replaced."""
     hashed = lambda kind, value, n: f"substr(sha2(concat_ws('|', {_sql(key)}, {_sql(kind)}, {value}), 512), 1, {n})"
-    return f"""case
+    single = f"""case
       when m like '%@%' then concat('user-', {hashed('mail', 'lower(m)', '12')}, '@mail.invalid')
       when m rlike {_sql('^(?:' + DATE + ')$')} then {_date(key)}
       when m rlike {_sql('^(?:' + SSN + ')$')} then {_ssn(key)}
       when m rlike {_sql('^(?:' + ADDRESS + ')$')} then {_address(key)}
       when m rlike {_sql('^(?:' + PHONE + ')$')} then {_phone(key)}
-      when m rlike {_sql('^(?:' + CARD + ')$')} then {_card(key)}
-      else {hashed('secret', 'lower(m)', 'length(m)')} end"""
+      else {_let('h', hashed('secret', 'lower(m)', '128'), 'rpad(h, length(m), h)')} end"""
+    others = "|".join(f"(?:{p})" for p in (DATE, SSN, ADDRESS, PHONE))
+    return f"""case when m rlike {_sql('^(?:' + CARD + ')$')} and not m rlike {_sql('^(?:' + others + ')$')} then {_cards(key)}
+      else {_let('x', single, "named_struct('r', x, 'n', cast(x <> m as int))")} end"""
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = "n_found") -> DataFrame:
@@ -129,9 +147,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     matched = docs.withColumn(found, F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     renewed = matched.withColumn(new, F.when(F.col(found).isNotNull(), F.expr(f"transform({found}, m -> {replacement(key)})")))
     pieces = F.split(renewed[text_col], ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col(new), lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
+    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col(new), lambda p, r: F.array(p, F.coalesce(r["r"], F.lit(""))))), "")
     columns: dict[str, Column] = {text_col: F.when(F.col(new).isNotNull(), joined).otherwise(renewed[text_col])}
     if found_col:
-        changed = F.size(F.filter(F.zip_with(found, new, lambda m, r: m != r), lambda x: x))
+        changed = F.aggregate(F.col(new), F.lit(0), lambda n, r: n + r["n"])
         columns[found_col] = F.when(F.col(new).isNotNull(), changed).otherwise(F.lit(0))
     return renewed.withColumns(columns).drop(found, new)

@@ -314,3 +314,22 @@ def test_teasers_do_not_displace_the_body(spark):
     got = {r.page_id: r.text for r in site_templates.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert all(got[k].startswith("The text of the page itself") and "Outside" not in got[k] for k in (1, 2))
     assert got[3] == got[4] == "A whole article with more text than stands around it"
+
+
+def test_pseudonyms_of_whole_secrets_and_of_cards_among_numbers(spark):
+    long, jwt, coded = "Ab3-" * 50, "eyJhbGci.eyJzdWIiOiIx.c2lnbmF0dXJlLXZhbHVl", "q83v/7+Zk1x+Qw0aT5m/Lg=="
+    card, other, nineteen = "4111 1111 1111 1111", "5500 0000 0000 0004", "4000 0000 0000 0000 006"
+    texts = [f"token={long}", f"secret: {jwt}.", f'api_key = "{coded}"', f"{card} 10/27", "12 4111111111111111", f"{card} {other} 123", f"x {card} 2020-01-02 y", f"{card} 12ab", "7 3782 822463 10005 9", nineteen, "1 2 " * 4000, "4111-1111-1111-1111-2"]
+    got = [(r.text, r.n_found) for r in pseudonyms.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    for k, value in ((0, long), (1, jwt), (2, coded)):
+        start = texts[k].index(value)
+        assert len(got[k][0]) == len(texts[k]) and got[k][0][:start] == texts[k][:start] and got[k][0][start + len(value) :] == texts[k][start + len(value) :]
+        assert got[k][1] == 1 and not any(value[i : i + 8] in got[k][0] for i in range(len(value) - 7))
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4} 10/27", got[3][0]) and luhn(got[3][0][:-6].replace(" ", "")) and got[3][0] != texts[3]
+    assert got[4][0].startswith("12 ") and luhn(got[4][0][3:]) and got[4][0] != texts[4]
+    assert got[5][0].endswith(" 123") and card not in got[5][0] and other not in got[5][0]
+    assert card not in got[6][0] and "2020-01-02" not in got[6][0]
+    assert card not in got[7][0] and got[7][0].endswith(" 12ab")
+    assert "3782 822463 10005" not in got[8][0] and got[8][0][:2] == "7 " and got[8][0][-2:] == " 9"
+    assert luhn(nineteen.replace(" ", "")) == (got[9][0] != nineteen)
+    assert [n for _, n in got[3:9]] == [1, 1, 2, 2, 1, 1] and got[11] == (texts[11], 0)
