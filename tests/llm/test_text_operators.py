@@ -333,3 +333,13 @@ def test_pseudonyms_of_whole_secrets_and_of_cards_among_numbers(spark):
     assert "3782 822463 10005" not in got[8][0] and got[8][0][:2] == "7 " and got[8][0][-2:] == " 9"
     assert luhn(nineteen.replace(" ", "")) == (got[9][0] != nineteen)
     assert [n for _, n in got[3:9]] == [1, 1, 2, 2, 1, 1] and got[11] == (texts[11], 0)
+
+
+def test_whole_licenses_and_the_nearest_of_a_family(spark):
+    names = ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "gpl-3.0", "gpl-2.0", "lgpl-3.0", "lgpl-2.1", "agpl-3.0", "lgpl-3.0-notice", "agpl-3.0-notice", "gpl-3.0-notice"]
+    texts = [license_scan.TEMPLATES[n] for n in names]
+    later = texts[0][texts[0].index("THE SOFTWARE IS") - 130 :]
+    rows = license_scan.scan(docs(spark, [f"before it {t} after it" for t in [*texts, later]])).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [*names, "mit-rest"]
+    assert all(r.coverage == 1.0 and (r.span_start, r.span_end) == (10, 10 + len(t)) for r, t in zip(rows, texts))
+    assert texts[0].endswith("OTHER DEALINGS IN THE SOFTWARE.")
