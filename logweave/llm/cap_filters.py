@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, staged
+from .common import prepare, components, staged
 from .vectors import matrix, usable
 
 #: Vectors in a block of a bucket.
@@ -110,7 +110,7 @@ def near_duplicates(
     code, ``bucket`` that of vectors a direction and label; the number of directions follows from both and the number of vectors.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     rows = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"), vectors[label_col].alias("label"))
     rows = rows.withColumn("node", F.when(usable(F.col("v")) & F.col("label").isNotNull(), F.xxhash64("label", "v")))
     distinct = staged(

@@ -4,40 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Collection, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in one Arrow batch handed to Python; they bound what a worker holds at once.
-BATCH_ROWS = 8192
-BATCH_BYTES = 16 << 20
+#: Rows and bytes in one Arrow batch handed to Python; they bound what a worker holds at once. One limit for all operators, so
+#: that those whose DataFrames are held at the same time do not undo each other's.
+BATCH_ROWS = 4096
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Hand Python at most ``rows`` rows and ``size`` bytes at a time; long texts make Spark's default of 10,000 rows too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def prepare(spark: SparkSession) -> None:
+    """What every operator with Python workers needs: this package on the executors, and bounded batches.
 
-
-#: In a worker process: the operator at work and what it keeps between batches.
-_at_work: dict[str, object] = {}
+    Long texts make Spark's default of 10,000 rows a batch too many.
+    """
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def begin_task(operator: str, keeper: object | None = None) -> None:
-    """At the start of a task in a reused worker: drop what other operators keep there, and give freed memory back."""
+def give_back() -> None:
+    """At the start of a task in a reused worker: memory that earlier tasks have freed goes back to the system."""
     import ctypes
 
     import pyarrow as pa
 
-    for other in [name for name in _at_work if name != operator]:
-        known = getattr(_at_work.pop(other), "known", None)
-        if known is not None:
-            known.clear()
-    _at_work[operator] = keeper
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -45,6 +44,27 @@ def begin_task(operator: str, keeper: object | None = None) -> None:
         pass
 
 
+class WordCache(dict):
+    """What is known of words, between batches and tasks of a worker, within about ``most`` bytes."""
+
+    #: Bytes of an entry besides what it is told to hold.
+    ENTRY = 200
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def make_room(self, fresh: Collection[str], using: Iterable[str]) -> None:
+        """Before ``fresh`` words are added: where they do not fit, only those that are being used stay."""
+        coming = sum(map(len, fresh)) * 6 + self.ENTRY * len(fresh)
+        if self.size + coming > self.most:
+            kept = {w: self[w] for w in using if w in self}
+            self.size = self.size * len(kept) // max(1, len(self))
+            self.clear()
+            self.update(kept)
+        self.size += coming
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only in local mode, as in tests."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -57,7 +77,19 @@ def staging_dir(spark: SparkSession) -> str:
 
 
 #: Folders of the tables that this process has staged and not dropped.
-STAGED: list[str] = []
+_made: set[str] = set()
+#: Those that the operators called in an ``owning`` block have staged.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owning(paths: list[str]) -> Iterator[list[str]]:
+    """Collect the folders of all tables staged within the block, for ``drop_tables`` when nothing reads them any more."""
+    before = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(before)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -65,32 +97,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    STAGED.append(path)
+    _made.add(path)
+    if (own := _owner.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _folder(path: str) -> str:
-    """The last part of a staged table's path, which is unique."""
-    return path.rstrip("/").rsplit("/", 1)[-1]
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a table that ``staged`` wrote once nothing reads it any more."""
-    read = {_folder(name.rsplit("/", 1)[0]) for name in df.inputFiles()}
-    _delete(df.sparkSession, [path for path in STAGED if _folder(path) in read])
-
-
-def drop_all_staged_but(df: DataFrame) -> None:
-    """Delete all staged tables but those that ``df`` reads: for a caller whose earlier results are all written elsewhere."""
-    read = {_folder(name.rsplit("/", 1)[0]) for name in df.inputFiles()}
-    _delete(df.sparkSession, [path for path in STAGED if _folder(path) not in read])
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``staged`` returned once nothing reads them any more."""
+    for df in tables:
+        read = {name.rsplit("/", 2)[1] for name in df.inputFiles()}
+        drop_tables(df.sparkSession, [path for path in _made if path.rsplit("/", 1)[1] in read])
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    for name in paths:
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for name in _made.intersection(paths):
+        _made.remove(name)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        STAGED.remove(name)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

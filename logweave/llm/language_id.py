@@ -2,22 +2,25 @@
 
 Four kinds of evidence are combined for every document: the likelihood of its text under character n-gram models, the
 language that its markup declares, its address's suffix, and a prior of its host. The text models are fitted on a bounded
-sample of labelled texts. How far declarations and suffixes can be trusted, and the priors, are counted over
-all documents by grouped aggregation of the text posteriors; a host's prior is smoothed towards its domain's, that towards
-its suffix's, and that towards the whole table's, so a host with few pages borrows from the levels above it.
+sample of labelled texts, in equal parts by language as far as there are so many. How far declarations and suffixes can be
+trusted, and the priors, are counted over all documents by grouped aggregation of the text posteriors; a host's prior is
+smoothed towards its domain's, that towards its suffix's, and that towards the whole table's, so a host with few pages borrows
+from the levels above it.
 
-Language ``und`` is what has no letters, or text so far from all models that no language can be meant; it is rejected.
+``und`` is a class like the languages, with a model of its own under which all n-grams are equally likely: noise, and
+languages without labels, are likelier under it. It has priors and declarations counted like the others', and a document
+is rejected where it has the highest posterior of all evidence. What has no letters at all is ``und`` whatever stands around it.
 
 Defined results: null, empty and letterless texts are ``und`` with confidence 0; whole texts are read, however long;
-null declarations, urls and hosts are evidence of nothing; repeated rows count like others and get equal results; other
-columns pass through unless a result column has their name; an empty table gives an empty table; without labelled texts
-everything is ``und``.
+null declarations, urls and hosts are evidence of nothing; repeated rows count like others and get equal results, equal
+posteriors go to the first language by name; other columns pass through unless a result column has their name; an empty table
+gives an empty table; without labelled texts everything is ``und``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -25,25 +28,42 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import begin_task, bounded_batches, staged
+from .common import give_back, prepare, staged
 from .segments import coded_segments
 
 BITS = 18
+#: The class of what is in no known language.
+UND = "und"
 #: Labelled texts that the text models are fitted on, at most.
 SAMPLE = 4000
 #: Weight of a whole text in grams: evidence beyond it is scaled down, as neighbouring grams are not independent.
 GRAMS = 40.0
+#: Pseudo-count of every n-gram under every language: so little that what no label has shown is likelier as noise.
+UNSEEN = 0.01
 #: Pseudo-counts that a level's prior gets from the level above it.
 BORROWED = 20.0
 TAGS = r"(?s)<(?:script|style|nav|footer|head)\b.*?</(?:script|style|nav|footer|head)\s*>|<!--.*?-->|<[^>]*>|&[#0-9A-Za-z]+;"
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8}(?:[-_][A-Za-z0-9]+)*)", re.I)
+# fixed values: three-letter codes (ISO 639-2 and -3) of languages that have a two-letter one
+TWO_LETTERS = {
+    "ara": "ar", "bul": "bg", "cat": "ca", "ces": "cs", "cze": "cs", "dan": "da", "deu": "de", "dut": "nl", "ell": "el", "eng": "en", "est": "et", "fas": "fa", "fin": "fi", "fra": "fr",
+    "fre": "fr", "ger": "de", "gre": "el", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "ind": "id", "isl": "is", "ita": "it", "jpn": "ja", "kor": "ko", "lav": "lv", "lit": "lt",
+    "nld": "nl", "nor": "no", "per": "fa", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "slv": "sl", "spa": "es", "srp": "sr", "swe": "sv",
+    "tha": "th", "tur": "tr", "ukr": "uk", "vie": "vi", "zho": "zh", "chi": "zh",
+}
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def primary_code(declared: str | None) -> str | None:
+    """The language of a declared tag such as ``en-GB``, by its shorter code."""
+    code = re.split("[-_]", declared.strip().lower(), maxsplit=1)[0] if declared else ""
+    return TWO_LETTERS.get(code, code) or None
+
+
 def grams(word: str) -> list[int]:
     """Buckets of the word's letters in threes and of the word itself, ends marked."""
     out = []
@@ -62,20 +82,18 @@ class TextModels:
         buckets = np.fromiter(counts, dtype=np.int64, count=len(counts))
         table = np.stack(list(counts.values())) if counts else np.zeros((0, len(languages)))
         totals = table.sum(axis=0) if len(table) else np.zeros(len(languages))
-        floor = np.log(0.5 / (totals + 0.5 * (1 << BITS)))
+        floor = np.log(UNSEEN / (totals + UNSEEN * (1 << BITS)))
         self.table = np.tile(floor, (1 << BITS, 1)).astype(np.float32)
         if len(table):
-            self.table[buckets] = np.log((table + 0.5) / (totals + 0.5 * (1 << BITS)))
-        self.seen = np.zeros(1 << BITS, dtype=bool)
-        self.seen[buckets] = True
+            self.table[buckets] = np.log((table + UNSEEN) / (totals + UNSEEN * (1 << BITS)))
         self.known: dict[str, np.ndarray] = {}
 
     def _word(self, word: str) -> np.ndarray:
         at = grams(word)
-        return np.concatenate([self.table[at].sum(axis=0, dtype=np.float64), [len(at), self.seen[at].sum()]])
+        return np.concatenate([self.table[at].sum(axis=0, dtype=np.float64), [-len(at) * BITS * np.log(2.0), len(at)]])
 
     def batch(self, texts: pa.Array) -> np.ndarray:
-        """Per text: log-likelihoods by language, number of grams, number of them seen in training."""
+        """Per text: log-likelihoods by language and under noise, and the number of grams."""
         texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"[\x09-\x0d]+", " ")
         offsets, codes, words = coded_segments(texts)
         if len(offsets) < 2:
@@ -91,11 +109,15 @@ class TextModels:
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], dict[int, np.ndarray]]:
-    """Gram counts by language from at most ``sample`` texts (the smallest hashes of ids); at most ``2**18`` buckets."""
+    """Gram counts by language from at most ``sample`` texts; at most ``2**18`` buckets.
+
+    The smallest hashes of ids are taken, of all languages in turn, so that rare ones are among them.
+    """
     spark = labelled.sparkSession
-    bounded_batches(spark, size=8 << 20)
-    chosen = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang")).filter("lang is not null and id is not null")
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    prepare(spark)
+    chosen = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang")).filter(f"lang is not null and lang <> '{UND}' and id is not null")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = chosen.withColumn("turn", turn).filter(F.col("turn") <= sample).orderBy("turn", F.xxhash64("id", "lang"), "id").limit(sample).select("id", "lang")
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text")).join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,29 +162,33 @@ def identify(
     url_col: str | None = None,
     host_col: str | None = None,
     markup: bool = False,
-    least_seen: float = 0.5,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``language, confidence, text_language, accepted``.
+    """The columns ``keep`` of ``docs`` (all by default) and ``language, confidence, text_language, accepted``.
 
     With ``markup`` the text is HTML: its tags go, and its ``lang`` attribute is the declaration unless ``declared_col``
-    names one. ``host_col`` names a column that plays the host (a source, say) where there is no url. A text is ``und``
-    if fewer than the share ``least_seen`` of its grams were ever seen in training.
+    names one. ``host_col`` names a column that plays the host (a source, say) where there is no url. ``accepted`` is false where
+    ``und`` is the most probable.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, size=8 << 20)
+    prepare(spark)
     languages, counts = models
-    names = ["__ll", "__grams", "__seen", "__declared", "__host", "__domain", "__suffix"]
-    inputs = [text_col, *[c for c in (declared_col, url_col, host_col) if c]]
-    at = {c: docs.columns.index(c) for c in inputs}
+    keep = list(keep if keep is not None else docs.columns)
+    names = ["__ll", "__grams", "__declared", "__host", "__domain", "__suffix"]
+    inputs = list(dict.fromkeys([*keep, text_col, *[c for c in (declared_col, url_col, host_col) if c]]))
+    docs = docs.select([docs[c] for c in inputs])
+    at = {c: k for k, c in enumerate(inputs)}
+    kept_at = [at[c] for c in keep]
     if not languages:
-        return docs.withColumns({"language": F.lit("und"), "confidence": F.lit(0.0), "text_language": F.lit("und"), "accepted": F.lit(False)})
+        none = {"language": F.lit(UND), "confidence": F.lit(0.0), "text_language": F.lit(UND), "accepted": F.lit(False)}
+        return docs.select([F.col(f"`{c}`") for c in keep if c.lower() not in none]).withColumns(none)
 
     sent = spark.sparkContext.broadcast((languages, np.fromiter(counts, dtype=np.int64, count=len(counts)), np.stack(list(counts.values())).astype(np.float32)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own_languages, buckets, table = sent.value
         own = TextModels(own_languages, dict(zip(buckets.tolist(), table.astype(np.float64))))
-        begin_task("language", own)
         for batch in batches:
             texts = pc.fill_null(batch.column(at[text_col]).cast(pa.string()), "")
             declared: list[str | None] = [None] * len(batch)
@@ -178,18 +204,19 @@ def identify(
                 sites = [(str(h), None, None) if h is not None else (None, None, None) for h in batch.column(at[host_col]).to_pylist()]
             else:
                 sites = [(None, None, None)] * len(batch)
-            k = len(own_languages)
-            likelihoods = facts[:, :k] * np.minimum(1.0, GRAMS / np.maximum(facts[:, k], 1.0))[:, None]
+            n = facts[:, -1]
+            likelihoods = facts[:, :-1] * np.minimum(1.0, GRAMS / np.maximum(n, 1.0))[:, None]
             new = [
-                pa.array(list(likelihoods), pa.list_(pa.float64())), pa.array(facts[:, k].astype(np.int64)), pa.array(facts[:, k + 1].astype(np.int64)),
-                pa.array([d.lower()[:2] if d else None for d in declared], pa.string()), *[pa.array([s[i] for s in sites], pa.string()) for i in range(3)],
+                pa.array(list(likelihoods), pa.list_(pa.float64())), pa.array(n.astype(np.int64)),
+                pa.array([primary_code(d) for d in declared], pa.string()), *[pa.array([s[i] for s in sites], pa.string()) for i in range(3)],
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept_at], *new], [*keep, *names])
 
-    ours = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in zip(names, ("array<double>", "bigint", "bigint", "string", "string", "string", "string"))))
-    evidence = staged(docs.mapInArrow(read, StructType([*docs.schema.fields, *ours.fields])), "language-evidence")
+    ours = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in zip(names, ("array<double>", "bigint", "string", "string", "string", "string"))))
+    evidence = staged(docs.mapInArrow(read, StructType([*[docs.schema[c] for c in keep], *ours.fields])), "language-evidence")
 
-    k = len(languages)
+    classes = [*languages, UND]
+    k = len(classes)
     likelihood = F.col("__ll")
 
     def odds(logs: Column) -> Column:
@@ -199,7 +226,7 @@ def identify(
     def total_of(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
-    readable = (F.col("__grams") > 0) & (F.col("__seen") >= least_seen * F.col("__grams"))
+    readable = F.col("__grams") > 0
     relative = evidence.filter(readable).select("__declared", "__host", "__domain", "__suffix", odds(likelihood).alias("odds"))
     summed = relative.withColumn("sum", total_of(F.col("odds")))
     counted = summed.select("__declared", "__host", "__domain", "__suffix", *[(F.col("odds")[i] / F.col("sum")).alias(f"p{i}") for i in range(k)])
@@ -212,35 +239,41 @@ def identify(
         return counted.filter(F.col(column).isNotNull()).groupBy(column, *above).agg(F.count("*").alias("n"), *sums)
 
     own = [F.col(f"c{i}") for i in range(k)]
+    # how often documents of a class have this suffix or declaration
+    trusted = [F.log((own[i] + 1.0) / (F.lit(overall[i] * total) + 2.0)) for i in range(k)]
     hosts = level("__host", ["__domain", "__suffix"])
     domains = hosts.filter("__domain is not null").groupBy("__domain", "__suffix").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
     suffixes = domains.groupBy("__suffix").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
-    suffixes = suffixes.select("__suffix", *[s.alias(f"s{i}") for i, s in enumerate(_share(own, F.col("n"), [F.lit(o) for o in overall]))], *[F.log((own[i] + 1.0) / (F.lit(overall[i] * total) + 2.0)).alias(f"a{i}") for i in range(k)])
+    suffixes = suffixes.select("__suffix", *[s.alias(f"s{i}") for i, s in enumerate(_share(own, F.col("n"), [F.lit(o) for o in overall]))], *[t.alias(f"a{i}") for i, t in enumerate(trusted)])
     domains = domains.join(suffixes, "__suffix").select("__domain", *[s.alias(f"d{i}") for i, s in enumerate(_share(own, F.col("n"), [F.col(f"s{i}") for i in range(k)]))], *[F.col(f"a{i}") for i in range(k)])
     hosts = hosts.join(domains, "__domain", "left")
     above = [F.coalesce(F.col(f"d{i}"), F.lit(overall[i])) for i in range(k)]
     priors = hosts.select("__host", F.array(*[F.log(s) for s in _share(own, F.col("n"), above)]).alias("__prior"), F.when(F.col("a0").isNotNull(), F.array(*[F.col(f"a{i}") for i in range(k)])).alias("__address"))
-    declared = level("__declared", []).select("__declared", F.array(*[F.log((own[i] + 1.0) / (F.lit(overall[i] * total) + 2.0)) for i in range(k)]).alias("__declaration"))
+    declared = level("__declared", []).select("__declared", F.array(*trusted).alias("__declaration"))
 
     # written, so that their true sizes decide how they are joined
     priors, declared = staged(priors, "language-priors"), staged(declared, "language-declared")
-    joined = evidence.join(priors, "__host", "left").join(declared, "__declared", "left")
+    # what has no host or declaration meets nothing, in many partitions instead of one
+    spread = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\0"), F.pmod(F.xxhash64("__ll"), F.lit(4096)).cast("string")))
+    keyed = evidence.withColumns({"__host": spread("__host"), "__declared": spread("__declared")})
+    joined = keyed.join(priors, "__host", "left").join(declared, "__declared", "left")
+
     def added(logs: Column, more: str, weight: float, default: list[float]) -> Column:
         return F.zip_with(logs, F.coalesce(F.col(more), F.array(*map(F.lit, default))), lambda x, y: x + y * weight)
 
     nothing = [0.0] * k
     fused = added(added(added(likelihood, "__prior", 1.0, [float(np.log(o)) for o in overall]), "__address", 0.25, nothing), "__declaration", 1.0, nothing)
     joined = joined.withColumn("__fused", fused)
-    names_of = F.array(*map(F.lit, languages))
+    names_of = F.array(*map(F.lit, classes))
 
     def best(logs: Column) -> Column:
         return F.element_at(names_of, F.array_position(logs, F.array_max(logs)).cast("int"))
 
     result = {
-        "language": F.when(readable, best(F.col("__fused"))).otherwise("und"),
+        "language": F.when(readable, best(F.col("__fused"))).otherwise(UND),
         "confidence": F.when(readable, 1.0 / total_of(odds(F.col("__fused")))).otherwise(0.0),
-        "text_language": F.when(readable, best(likelihood)).otherwise("und"),
-        "accepted": readable,
+        "text_language": F.when(readable, best(likelihood)).otherwise(UND),
+        "accepted": readable & (best(F.col("__fused")) != UND),
     }
-    plain = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in result]
+    plain = [F.col(f"`{c}`") for c in keep if c.lower() not in result]
     return joined.select(*plain, *[v.alias(n) for n, v in result.items()])

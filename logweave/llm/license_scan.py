@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import prepare
 from .segments import coded_segments
 
 SIGNS = re.compile(r"[\W_]+")
@@ -160,7 +160,7 @@ class TemplateIndex:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """License passages: ``id_col, license, coverage, matched_words, span_start, span_end`` (characters, end excluded)."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     index = TemplateIndex(templates or TEMPLATES)
 
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             offsets, codes, words = coded_segments(pc.ascii_trim(texts, " "))
             if len(offsets) < 2:
                 continue
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known = {w: known[w] for w in words if w in known}
             for w in words:
                 if w not in known:
@@ -182,10 +182,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             n = len(grams)
             hit = np.flatnonzero((ids[:n] > 0) & (ids[1 : n + 1] > 0) & (ids[2 : n + 2] > 0) & np.isin(grams, keys)) if n else np.zeros(0, dtype=np.int64)
             rows, out = [], []
-            doc = np.searchsorted(offsets, hit, side="right") - 1
-            for k in np.unique(doc):
+            doc, firsts = np.unique(np.searchsorted(offsets, hit, side="right") - 1, return_index=True)
+            for k, of_text in zip(doc, np.split(hit, firsts[1:])):
                 a, b = int(offsets[k]), int(offsets[k + 1])
-                own = hit[(doc == k) & (hit + GRAM <= b)]
+                own = of_text[of_text + GRAM <= b]
                 matches = index.scan(ids[a:b], own - a, grams[own], least)
                 if matches:
                     text = batch.column(1)[int(k)].as_py()

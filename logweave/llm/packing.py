@@ -17,20 +17,18 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin_task, bounded_batches
+from .common import WordCache, give_back, prepare
 from .segments import coded_segments, ragged_gather
 
-#: Distinct words whose ids are kept between batches.
-CACHE = 600_000
+#: Bytes of words and their ids kept between batches.
+CACHE = 64 << 20
 
 
 class SegmentTokenizer:
@@ -47,13 +45,13 @@ class SegmentTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = WordCache(CACHE)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         known = self.known
         fresh = [t for t in texts if t not in known]
-        if len(known) + len(fresh) > CACHE:  # keep what this batch uses
-            known = self.known = {t: known[t] for t in texts if t in known}
+        known.make_room(fresh, texts)
+        fresh = [t for t in texts if t not in known]
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             for text, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
@@ -162,14 +160,14 @@ def pack(
     Returns ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with ``with_ids``, the piece's
     ``ids``. A group has about ``group_docs`` documents; ``sequence_id`` is unique over the table.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     groups = max(1, math.ceil(docs.count() / group_docs))
     extra = ", ids array<binary>" if with_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = tokenizer(tokenizer_path)
-        begin_task("packing", own)
         for batch in batches:
             ids, offsets = own.batch(batch.column(1), end_id)
             crcs, pieces = [], []
@@ -183,13 +181,14 @@ def pack(
                 columns.append(pa.array(pieces, pa.list_(pa.binary())))
             yield pa.RecordBatch.from_arrays(columns, ["id", "tokens", "crcs", "ids"][: len(columns)])
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = pdf["tokens"].to_numpy()
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        tokens = group["tokens"].to_numpy()
         counts = -(-tokens // capacity)
         tails = tokens - (counts - 1) * capacity
         part = tails < capacity
         bins, places = first_fit_decreasing(tails[part], capacity)
-        doc = np.repeat(np.arange(len(pdf)), counts)
+        doc = np.repeat(np.arange(len(tokens)), counts)
         start = np.concatenate([np.arange(c) * capacity for c in counts])
         length = np.minimum(capacity, tokens[doc] - start)
         used = int(bins.max()) + 1 if len(bins) else 0
@@ -198,21 +197,16 @@ def pack(
         full = length == capacity
         sequence[full] = used + np.arange(full.sum())
         sequence[tail_rows], offset[tail_rows] = bins, places
-        out = {
-            "id": pdf["id"].to_numpy()[doc] if pdf["id"].dtype != object else pdf["id"].iloc[doc].to_numpy(),
-            "start": start,
-            "length": length,
-            "ids_crc32": np.fromiter(chain.from_iterable(pdf["crcs"]), dtype=np.int64, count=len(doc)),
-            "doc_tokens": tokens[doc],
-            "sequence_id": (int(pdf["grp"].iloc[0]) << 32) + sequence,
-            "offset": offset,
-        }
+        columns = [
+            group["id"].take(pa.array(doc)), pa.array(start), pa.array(length), pc.list_flatten(group["crcs"]), pa.array(tokens[doc]), pa.array((group["grp"][0].as_py() << 32) + sequence), pa.array(offset),
+        ]
         if with_ids:
-            out["ids"] = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in chain.from_iterable(pdf["ids"])]
-        return pd.DataFrame(out)
+            pieces = pc.list_flatten(group["ids"]).to_pylist()
+            columns.append(pa.array([np.frombuffer(b, dtype="<u4").astype(np.int32) for b in pieces], pa.list_(pa.int32())))
+        return pa.Table.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(columns)])
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     cuts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(cut, f"id {kind}, tokens bigint, crcs array<bigint>{extra}")
     dealt = cuts.withColumn("grp", (F.rand(seed) * groups).cast("bigint"))
-    packed = dealt.groupBy("grp").applyInPandas(fill, schema + (", ids array<int>" if with_ids else ""))
+    packed = dealt.groupBy("grp").applyInArrow(fill, schema + (", ids array<int>" if with_ids else ""))
     return packed.withColumnRenamed("id", id_col)

@@ -25,13 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import begin_task, bounded_batches
+from .common import WordCache, give_back, prepare
 from .segments import coded_segments
 
 MARK = "▁"
 NEVER = 1 << 60
-#: Distinct word parts kept between batches.
-CACHE = 500_000
+#: Bytes of word parts kept between batches, and pairs of tokens whose compatibility is kept.
+CACHE, PAIRS = 96 << 20, 500_000
 #: Stretches of word characters and of others; where a piece may join two, ``cut`` joins them again.
 CHUNKS = re.compile(r"[\w▁]+|[^\w▁]+").findall
 
@@ -74,7 +74,7 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.joined = joined
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = WordCache(CACHE)
 
     def _last_merge(self, token: str) -> tuple[str, str] | None:
         """The two halves whose merge makes ``token``, or None if merging its characters ends elsewhere."""
@@ -116,7 +116,7 @@ class PieceCodec:
                 due, left = made_left, parts[left][1]
             else:
                 due, right = made_right + 1, parts[right][0]
-        if len(self.pairs) > 4 * CACHE:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[key] = answer
         return answer
@@ -192,17 +192,15 @@ class PieceCodec:
         return [i for part in parts for i in ids[part]]
 
     def encode_run(self, marks: int) -> list[int]:
-        """Ids of blank marks that no word has taken: equal merges, leftmost first."""
-        symbols, k = [1] * marks, 0
-        while k < len(symbols):
-            if k and symbols[k - 1] + symbols[k] in self.runs:
-                symbols[k - 1 : k + 1] = [symbols[k - 1] + symbols[k]]
-                k -= 1
-            elif k + 1 < len(symbols) and symbols[k] + symbols[k + 1] in self.runs:
-                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-            else:
-                k += 1
-        return [self.runs[n] if n > 1 else self.id_of[MARK] for n in symbols]
+        """Ids of blank marks that no word has taken: equal merges, leftmost first, so what is done on the left stays a stack."""
+        done: list[int] = []
+        runs = self.runs
+        for _ in range(marks):
+            done.append(1)
+            while len(done) > 1 and done[-2] + done[-1] in runs:
+                last = done.pop()
+                done[-1] += last
+        return [runs[n] if n > 1 else self.id_of[MARK] for n in done]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text, without an end id."""
@@ -252,8 +250,8 @@ class PieceCodec:
         cuts = [self.cut(MARK + w) if w else [] for w in words]
         known = self.known
         fresh = {part for parts in cuts for part in parts if part not in known}
-        if len(known) + len(fresh) > CACHE:  # keep what this batch uses
-            known = self.known = {part: known[part] for parts in cuts for part in parts if part in known}
+        known.make_room(fresh, (part for parts in cuts for part in parts))
+        fresh = {part for parts in cuts for part in parts if part not in known}
         new = {part: (len(ids), " ".join(map(str, ids)), self._joined(ids)) for part, ids in self.learn(fresh).items()}
         known.update(new)
         counts, as_ids, as_text = [], [], []
@@ -305,13 +303,13 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     Returns ``id_col, n_tokens, ids (array<int>), decoded`` or, with ``digests_only``, the SHA-256 of the decimal ids
     joined by blanks and of the decoded text in their place, so that the ids need not leave the worker.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        begin_task("pieces", own)
+        give_back()
         for batch in batches:
             counts, first, second = [], [], []
             for n, ids, text in own.batch(batch.column(1)):

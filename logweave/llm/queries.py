@@ -8,37 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import cap_filters, language_id, license_scan, ngram_join, packing, piece_codec, pivot_index, pseudonyms, site_templates, toxicity
-from .common import ship, table
+from .common import table
 
 #: Key of the registered pseudonym query; a deployment passes its own secret.
 PSEUDONYM_KEY = "synthetic-test-data"
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all pages, by text models fitted on labelled documents."""
-    ship(spark)
     models = language_id.fit(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
-    found = language_id.identify(table(spark, sf_dir, "pages"), models, text_col="html", url_col="url", markup=True)
+    found = language_id.identify(table(spark, sf_dir, "pages"), models, text_col="html", url_col="url", markup=True, keep=("page_id", "url"))
     return found.select("page_id", "url", "language", "confidence", "text_language", "accepted")
 
 
 def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     vectors = table(spark, sf_dir, "embeddings")
     return pivot_index.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -48,22 +43,18 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return site_templates.main_text(table(spark, sf_dir, "pages"))
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import prepare, staged
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
@@ -290,7 +290,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     A subtree is template when it is on at least ``least_pages`` distinct pages of its host.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     kind = pages.schema[id_col].dataType.simpleString()
 
     def subtrees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import begin_task, bounded_batches
+from .common import give_back, prepare
 from .segments import coded_segments
 
 SIGNS = re.compile(r"[\W_]+")
@@ -135,8 +135,9 @@ def remainder(id_column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """Weights as rows ``(bucket, weight)``; bucket -1 is the intercept. One task reads the bounded sample."""
     chosen = (
-        labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label"))
+        labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("label"))
         .filter("label in (0, 1) and id is not null")
+        .withColumn("label", F.col("label").cast("int"))
         .filter(remainder(F.col("id")) != 0)
         .groupBy("id")
         .agg(F.max("label").alias("label"))
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)
-        begin_task("toxicity", features)
+        give_back()
         for batch in batches:
             for at in range(0, len(batch), 256):  # all features of a text stand side by side before they are made distinct
                 some = batch.slice(at, 256)
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, tex
     sparse = sparse.groupBy("id").agg(F.min_by(F.struct("label", "at"), F.xxhash64("at")).alias("row")).select("id", "row.label", "row.at")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        begin_task("toxicity-fit")
+        give_back()
         model = FTRL(settings)
         pdf = pdf.sort_values("id", kind="stable")
         order = np.random.default_rng(7)
@@ -190,7 +191,7 @@ def with_scores(
 ) -> DataFrame:
     """Learn from ``labels`` and add ``held_out, score, predicted`` to every row (in place of columns of these names)."""
     settings = settings or Settings()
-    bounded_batches(docs.sparkSession, size=8 << 20)
+    prepare(docs.sparkSession)
     model = fit(docs, labels, settings, id_col, text_col, label_col).toPandas()  # at most 2**bits + 1 rows
     inner = model[(model["bucket"] >= 0) & (model["weight"] != 0)]
     bias = float(model.loc[model["bucket"] == -1, "weight"].iloc[0]) if len(model) else -35.0
@@ -203,7 +204,7 @@ def with_scores(
         dense = np.zeros(1 << settings.bits)
         dense[at] = weights
         features = Features(settings.bits)
-        begin_task("toxicity", features)
+        give_back()
         for batch in batches:
             offsets, buckets = features.batch(batch.column(text_at), dense)
             sums = np.concatenate([[0.0], np.cumsum(dense[buckets])])

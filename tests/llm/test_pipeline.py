@@ -1,6 +1,7 @@
 """The pipeline's stages on a small planted corpus."""
 
 import corpus_pipeline
+from logweave.llm import cap_filters, ngram_join
 from pyspark.sql import functions as F
 
 
@@ -30,3 +31,32 @@ def test_stages_take_effect(spark, tmp_path):
     assert "a.b@c.org" not in clean and "10.2.3.4" not in clean
     assert ids["packing"] == ids["pseudonyms"]
     assert corpus_pipeline.run(spark, str(tmp_path)).select(F.count("*")).first()[0] == after["packing"].count()
+
+
+def test_rows_go_by_their_own_text(spark):
+    """Rows that share an id, equal rows, and a null id: no text without a representative goes, and copies stay once."""
+    text = lambda k: " ".join(f"w{(k * 31 + j * (k + 3)) % 97}x{k}" for j in range(40))
+    near = text(2) + " and one more"
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (5, near), (7, text(7)), (7, text(7)), (None, text(7)), (8, None), (8, None), (9, ""), (9, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("lang", F.concat("lang", F.monotonically_increasing_id().cast("string")))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert left == sorted([(False, 1, text(1)), (False, 2, text(2)), (False, 7, text(7)), (True, 0, text(7)), (False, 8, ""), (False, 8, ""), (False, 9, ""), (False, 9, " \t")])
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_empty_tables_go_through_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_stage_leaves_the_tables_of_others_alone(spark):
+    vectors = spark.createDataFrame([(k, [float(k % 3), 1.0], 0) for k in range(9)], "vec_id bigint, embedding array<float>, label int")
+    held = cap_filters.near_duplicates(vectors)
+    docs = spark.createDataFrame([(1, "some words of a text that is clean", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _ in range(2):
+        corpus_pipeline.without_personal_data(spark, docs, "")
+    assert held.count() == 9

@@ -76,6 +76,7 @@ def search(table):
 
 
 def test_small_tables_are_searched_in_full(spark):
+    """A small table has few pivots, so that a query's files hold nearly all of it."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(350, 16)).astype(np.float32)
     x[7] = x[8]
@@ -99,6 +100,31 @@ def test_recall_of_the_index(spark):
     assert hits >= 0.9 * 10 * len(expected) and all(len(r) == 10 for r in got.values())
 
 
+def test_footrule_is_the_sum_of_displacements():
+    rng = np.random.default_rng(8)
+    orders = np.stack([rng.permutation(40)[:12] for _ in range(50)])
+    place = lambda o: [list(o).index(p) if p in o else 12 for p in range(40)]
+    for k in range(5):
+        assert pivot_index.footrule(orders[k], orders, 40).tolist() == [sum(abs(a - b) for a, b in zip(place(orders[k]), place(o))) for o in orders]
+
+
+def test_search_of_copies_repeated_ids_and_heaps(spark, monkeypatch):
+    """Ties among copies go to the smaller ids, also beyond what is reranked; heaps smaller than k are answered in full."""
+    monkeypatch.setattr(pivot_index, "CHUNK", 64)
+    monkeypatch.setattr(pivot_index, "LOT", 2)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 700, axis=0), np.repeat(40 * rng.normal(size=(300, 8)), 3, axis=0) + 0.01 * rng.normal(size=(900, 8))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    again = [(1500, x[0].tolist(), 0), (1500, x[1599].tolist(), 0), (1599, x[1599].tolist(), 0)]
+    got = search(spark.createDataFrame(rows + again, SCHEMA))
+    expected = exact(np.arange(1600), x.astype(np.float64))
+    for q in range(0, 700, 100):
+        others = [i for i in range(700) if i != q][:10]
+        assert [v for v, _ in got[q]] == others and all(d == 0 for _, d in got[q])
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in expected[q]}) for q in expected if q >= 700 and q != 1500)  # 1500 has two vectors
+    assert hits >= 0.9 * 10 * 8 and all(len(r) == 10 for r in got.values())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(edges).collect()}
