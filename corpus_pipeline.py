@@ -6,51 +6,65 @@ stages are written as tables in the shared checkpoint folder and read again, so
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import language_id, ngram_join, packing, pseudonyms, toxicity
-from logweave.llm.common import drop_all_staged_but, ship, staged, table
+from logweave.llm.common import drop_staged, drop_tables, owning, staged, table
 from logweave.llm.queries import PSEUDONYM_KEY
 
+#: Tables that the stage at work has staged.
+_staged: list[str] = []
+
+
+def stage(f):
+    """A stage: when the next one begins, its result has been written, so what it staged on the way can go."""
 
-def begin(spark: SparkSession, docs: DataFrame) -> None:
-    """Before a stage: its predecessors' results are written, so what they kept in the shared folder can go."""
-    ship(spark)
-    drop_all_staged_but(docs)
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _staged)
+        _staged.clear()
+        with owning(_staged):
+            return f(spark, docs, sf_dir)
 
+    return run
 
+
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language at all; the declared language and the source are further evidence."""
-    begin(spark, docs)
     models = language_id.fit(docs, "text", "lang", "doc_id")
     found = language_id.identify(docs, models, declared_col="lang", host_col="source")
     return found.filter("accepted").select(docs.columns)
 
 
+@stage
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not flag. A row goes by its own text, also where ids repeat or are null."""
-    begin(spark, docs)
     return toxicity.with_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates; without an id nothing is a duplicate."""
-    begin(spark, docs)
-    groups = ngram_join.jaccard_components(docs)
-    copies = groups.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """The row with the smallest id of every group of near duplicates, of rows with one id that with the smaller text digest.
+
+    A row is known by its id and text together, so rows that share an id only are judged each by its own text, and of
+    rows equal in both one stays. Rows without words link with nothing and stay; without an id nothing is a duplicate.
+    """
+    return ngram_join.one_of_each(docs)
 
 
+@stage
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin(spark, docs)
     found = pseudonyms.pseudonymise(docs, key=PSEUDONYM_KEY, found_col=None)
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin(spark, docs)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -68,6 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, f in STAGES:
+        before, docs = docs, staged(f(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_staged(before)  # but never the table that it all began with
     return docs
