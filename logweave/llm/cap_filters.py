@@ -3,11 +3,13 @@
 Filter directions are structured random product codes: the coordinates (after a random rotation) are cut into blocks,
 each block has its own list of random unit code words, and a direction is one code word of every block. The inner product with
 a direction is a sum over blocks, so all directions whose cap holds a vector are *list-decoded* by adding up block
-scores and dropping partial sums that can no longer reach the cap's height. Three independent codes are used, as the
-directions of one code hang together: two vectors right at the threshold then share a direction with a probability beyond
-0.9999 (measured: no miss in 12,000 pairs), closer ones even more surely. Vectors meet in the buckets of (label, direction), where every pair is verified in double precision; a pair is counted only in the first direction
-it shares. Equal vectors are one vector with a weight. Buckets over ``BLOCK`` vectors are cut into blocks, and each
-pair of blocks is a task of its own, so a hot group is spread and nothing is left out.
+scores and dropping partial sums that can no longer reach the cap's height. Several independent codes are used, as the
+directions of one code hang together: three, and one more for every 64-fold of the vectors beyond 16,384, since caps grow
+smaller with their number (measured right at the threshold, with three codes: no miss in 12,000 pairs of 10,256
+vectors, one in 2,000 of a million; a miss is a miss of all codes). Vectors meet in the buckets of (label, direction), where every
+pair is verified in double precision; a pair is counted only in the first direction it shares. Equal vectors are one vector
+with a weight, known by 128 bits of hashes and named by a row number. Buckets over ``BLOCK`` vectors are cut into blocks,
+and each pair of blocks is a task of its own, so a hot group is spread and nothing is left out.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, and those without a label,
 link with nothing (0 links, their own component); vectors of different lengths never link; repeated rows link with one
@@ -23,15 +25,19 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, components, staged
+from .common import components, drop_staged, prepare, staged
 from .vectors import matrix, usable
 
 #: Vectors in a block of a bucket.
 BLOCK = 1024
-#: Independent codes, and the fewest directions of each that a vector takes: where it exceeds fewer, its caps are widened.
+#: Rows of a bucket up to which its pairs are compared one by one with those of other buckets, and pairs compared at once.
+FEW, SLAB = 48, 1 << 14
+#: Independent codes at least, and the fewest directions of each that a vector takes: where it exceeds fewer, its caps are widened.
 CODES, LEAST = 3, 6
 
 
@@ -77,22 +83,48 @@ class ProductCode:
         return number
 
 
-def _block_links(unit: np.ndarray, filters: np.ndarray, direction: int, threshold: float, split: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs with enough cosine whose first common direction is this one. split: rows before it meet rows after it."""
-    left = np.arange(len(unit)) if split is None else np.arange(split)
-    right = left if split is None else np.arange(split, len(unit))
-    cosine = unit[left] @ unit[right].T
-    near = cosine >= threshold
-    if split is None:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    i, j = left[i], right[j]
-    earlier = np.where(filters < direction, filters, -1)
+def _pairs(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slabs of pairs: each row with the ``count`` rows from ``first`` on."""
+    rows = np.flatnonzero(count)
+    ends = np.cumsum(count[rows])
+    for a in range(0, int(ends[-1]) if len(ends) else 0, SLAB):
+        at = np.arange(a, min(a + SLAB, int(ends[-1])))
+        k = np.searchsorted(ends, at, side="right")
+        yield rows[k], first[rows[k]] + at - (ends[k] - count[rows[k]])
+
+
+def _near_pairs(unit: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket with enough cosine. Rows before a bucket's middle meet those after it; without one (-1) all meet all."""
+    size = ends - starts
+    few = size <= FEW
+    bucket = np.repeat(np.arange(len(starts)), size)
+    row, cut = np.arange(len(unit)), middles[bucket]
+    first = np.where(cut < 0, row + 1, cut)
+    count = np.where((cut < 0) | (row < cut), ends[bucket] - first, 0) * few[bucket]
+    for i, j in _pairs(first, count):
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+        yield i[near], j[near]
+    for s, m, e in zip(starts[~few].tolist(), middles[~few].tolist(), ends[~few].tolist()):
+        if m < 0:
+            i, j = np.nonzero(np.triu(unit[s:e] @ unit[s:e].T >= threshold, 1))
+            yield i + s, j + s
+        else:
+            i, j = np.nonzero(unit[s:m] @ unit[m:e].T >= threshold)
+            yield i + s, j + m
+
+
+def _first_shared(filters: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """Whether no direction before ``direction`` is in the (sorted) filters of both rows of a pair."""
+    width = int(np.diff(offsets).max(initial=0))
+    padded = np.full((len(offsets) - 1, width), -1, dtype=np.int64)
+    padded[np.arange(width) < np.diff(offsets)[:, None]] = filters
     fresh = np.ones(len(i), dtype=bool)
-    for a in range(0, len(i), 1 << 14):
-        u, v = earlier[i[a : a + (1 << 14)]], earlier[j[a : a + (1 << 14)]]
-        fresh[a : a + (1 << 14)] = ~((u[:, :, None] == v[:, None, :]) & (u[:, :, None] >= 0)).any(axis=(1, 2))
-    return i[fresh], j[fresh]
+    step = max(1, (1 << 22) // max(1, width * width))
+    for a in range(0, len(i), step):
+        u, v, d = padded[i[a : a + step]], padded[j[a : a + step]], direction[a : a + step, None]
+        u = np.where(u < d, u, -1)
+        fresh[a : a + step] = ~((u[:, :, None] == v[:, None, :]) & (u[:, :, None] >= 0)).any(axis=(1, 2))
+    return fresh
 
 
 def near_duplicates(
@@ -112,13 +144,13 @@ def near_duplicates(
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"), vectors[label_col].alias("label"))
-    rows = rows.withColumn("node", F.when(usable(F.col("v")) & F.col("label").isNotNull(), F.xxhash64("label", "v")))
-    distinct = staged(
-        rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")),
-        "cap-vectors",
-    )
+    known = usable(F.col("v")) & F.col("label").isNotNull()
+    rows = rows.withColumns({"h0": F.when(known, F.xxhash64("label", "v")), "h1": F.when(known, F.xxhash64(F.lit(1), "label", "v"))})
+    grouped = rows.filter("h0 is not null").groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
+    distinct = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "cap-vectors")
     total = distinct.count()
     directions = 1 << max(8, math.ceil(math.log2(max(1, total * per_vector / (bucket * 10)))))
+    n_codes = CODES + max(0, math.ceil(math.log2(max(1, total / 16384)) / 6))
 
     def decode(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[int, list[ProductCode]] = {}
@@ -128,7 +160,7 @@ def near_duplicates(
                 x = matrix(part["v"])
                 unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
                 if dim not in codes:
-                    codes[dim] = [ProductCode(dim, directions, per_vector, seed) for seed in range(CODES)]
+                    codes[dim] = [ProductCode(dim, directions, per_vector, seed) for seed in range(n_codes)]
                 found = zip(*[code.decode(unit) for code in codes[dim]])
                 filters = [np.concatenate([f + k * code.words**code.blocks for k, (f, code) in enumerate(zip(own, codes[dim]))]) for own in found]
                 yield pd.DataFrame({"node": part["node"], "weight": part["weight"], "label": part["label"].astype(str), "unit": list(unit), "dim": dim, "filters": filters})
@@ -153,41 +185,43 @@ def near_duplicates(
     )
     routed = tasks.join(decoded.select("node", "weight", "unit", "filters"), "node")
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, counts, a, b = [], [], [], []
-        for (_, _, direction, t0, t1), part in pdf.groupby(["label", "dim", "direction", "t0", "t1"], sort=True):
-            part = part.sort_values(["own", "node"], kind="stable")
-            split = None if t0 == t1 else int((part["own"] == t0).sum())
-            if len(part) < 2 or split in (0, len(part)):
-                continue
-            width = part["filters"].map(len).max()
-            filters = np.full((len(part), width), -1, dtype=np.int64)
-            for k, f in enumerate(part["filters"]):
-                filters[k, : len(f)] = f
-            i, j = _block_links(matrix(part["unit"]), filters, int(direction), threshold, split)
-            if not len(i):
-                continue
-            node, weight = part["node"].to_numpy(), part["weight"].to_numpy()
-            links = np.bincount(i, weights=weight[j], minlength=len(part)) + np.bincount(j, weights=weight[i], minlength=len(part))
-            at = np.flatnonzero(links)
-            nodes.append(node[at])
-            counts.append(links[at].astype(np.int64))
-            tree = _forest(len(part), i, j)
-            a.append(node[tree[0]])
-            b.append(node[tree[1]])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-        # nullable integers before the two kinds of rows meet: node numbers take all 64 bits
-        first = pd.DataFrame({"node": cat(nodes), "links": cat(counts)}).astype("Int64")
-        second = pd.DataFrame({"a": cat(a), "b": cat(b)}).astype("Int64")
-        return pd.concat([first, second])[["node", "links", "a", "b"]]
-
-    found = staged(routed.groupBy("lot").applyInPandas(verify, "node bigint, links bigint, a bigint, b bigint"), "cap-links")
+    def verify(lot: pa.Table) -> pa.Table:
+        lot = lot.combine_chunks()
+        label = pc.dictionary_encode(lot["label"]).combine_chunks()
+        keys = [lot[c].to_numpy() for c in ("node", "own", "t1", "t0", "direction")] + [(label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()]
+        order = np.lexsort(keys)
+        node, own, t1, t0, direction, kind = (x[order] for x in keys)
+        lot = lot.take(pa.array(order)).combine_chunks()
+        unit = pc.list_flatten(lot["unit"]).to_numpy().reshape(len(order), -1)
+        new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (direction[1:] != direction[:-1]) | (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(order))
+        before = np.add.reduceat((own == t0).astype(np.int64), starts)
+        middles = np.where(t0[starts] == t1[starts], -1, starts + before)
+        met = [(i, j) for i, j in _near_pairs(unit, starts, middles, ends, threshold) if len(i)]
+        i, j = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, dtype=np.int64),) * 2
+        filters = lot["filters"].combine_chunks()
+        filters = filters.chunk(0) if isinstance(filters, pa.ChunkedArray) else filters
+        fresh = _first_shared(filters.flatten().to_numpy(), filters.offsets.to_numpy() - filters.offsets[0].as_py(), i, j, direction[i])
+        i, j = i[fresh], j[fresh]
+        names, code = np.unique(node, return_inverse=True)
+        weight = lot["weight"].to_numpy()
+        links = np.bincount(code[i], weights=weight[j], minlength=len(names)) + np.bincount(code[j], weights=weight[i], minlength=len(names))
+        at = np.flatnonzero(links)
+        a, b = _forest(len(names), code[i], code[j])
+        nothing = lambda n: pa.nulls(n, pa.int64())
+        first = pa.table([pa.array(names[at]), pa.array(links[at].astype(np.int64)), nothing(len(at)), nothing(len(at))], names=["node", "links", "a", "b"])
+        second = pa.table([nothing(len(a)), nothing(len(a)), pa.array(names[a]), pa.array(names[b])], names=["node", "links", "a", "b"])
+        return pa.concat_tables([first, second])
+
+    found = staged(routed.groupBy("dim", "lot").applyInArrow(verify, "node bigint, links bigint, a bigint, b bigint"), "cap-links")
     links = found.filter("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.filter("a is not null").select("a", "b"))
-    member = distinct.select("node", "rep", "weight").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
+    drop_staged(decoded)
+    member = distinct.select("node", "h0", "h1", "rep", "weight").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
     least = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    out = rows.select("id", "node").join(named, "node", "left")
+    named = member.join(least, "component").select("h0", "h1", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    out = rows.select("id", "h0", "h1").join(named, ["h0", "h1"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
