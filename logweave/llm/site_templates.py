@@ -1,14 +1,17 @@
 """Main text of web pages by site template removal.
 
 Every page is read into a compact form: its elements (parent, hash of the subtree) and its text blocks (owner
-element, text). Spark counts, per host, on how many distinct pages each subtree occurs; a subtree that recurs on
-``least_pages`` of them is template, however large the host is, and all blocks below a template go. Pages of one host with
-equal blocks are copies and count once, so that copies do not make their own text template. Elements that are never article
-text by their kind (navigation, forms, scripts, adverts and the like) go as well.
-
-Of what remains, only the blocks of articles are kept if the longest article holds at least as much running text (blocks of
-five words or more) as all that stands outside of articles (in the main element, if there is one); else articles are teasers, and all of it is kept. Inside
-articles and main elements running text never counts as template.
+element, text). Spark counts, per host, on how many pages each subtree occurs that differ outside of it; a subtree that recurs on
+``least_pages`` of them is template, however large the host is, and all blocks below a template go. Pages are told apart in three ways, of which two have
+to agree: by the longest block outside of the subtree, by the second, and by all of them; and pages of which it holds most
+of the running text count once. So copies and near copies of a page do not make their own text template, and one long notice
+does not make all pages of a site look alike.
+
+The kinds of elements only assist: what is no text or no article by its kind (scripts, forms, navigation, footers and the like,
+comments and adverts that are named so) goes also on the first page of a site. Of what remains, only the blocks of
+articles are kept if the longest article holds at least as much running text (blocks of five words or more) as all that stands
+outside of articles (in the main element, if there is one); else articles are teasers, and all of it is kept. Paragraphs,
+headings and list items of articles and main elements never count as template, but boxes in them do.
 
 Templates meet pages by host and subtree, so their number is not bounded by anything. Pages without a subtree that could be
 template take no part in that: they are read again and are done. The others meet their own templates by host and content.
@@ -45,19 +48,20 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input math menu nav noembed noframes noscript object optgroup option script select "
+    "aside button canvas datalist footer form head iframe input menu nav noembed noframes noscript optgroup option script select "
     "style svg template textarea title audio video".split()
 )
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 CLOSES_P = BLOCK - {"option", "optgroup", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "li", "dd", "dt"} | {"dl"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table select menu".split())
-# fixed values: words in class, id and role that name what is not article text
-NAMES = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr menu nav navbar "
-    "navigation newsletter notice popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo search toolbar".split()
+# fixed values: first words of names in class, id and role that tell comments and adverts, anywhere; and what is no article, outside of one
+ALIEN = frozenset("ad ads advert advertisement adverts comment comments commentlist consent cookie cookies disqus gdpr newsletter sponsored".split())
+NAMES = ALIEN | frozenset(
+    "banner breadcrumb breadcrumbs footer menu nav navbar navigation notice popup promo related respond share sharing sidebar social sponsor subscribe widget "
+    "complementary contentinfo search toolbar".split()
 )
-WORDS = re.compile(r"[a-z0-9]+")
+WORDS = re.compile(r"(?<!\S)[^a-z0-9\s]*([a-z0-9]+)")
 #: Blocks of fewer words are labels: they do not count when articles are weighed against what stands outside of them.
 RUNNING_WORDS = 5
 
@@ -72,12 +76,13 @@ def _signed(number: int) -> int:
 
 
 class _Frame:
-    __slots__ = ("tag", "number", "hasher", "gone", "inside", "flowing")
+    __slots__ = ("tag", "number", "hasher", "gone", "inside", "p_at", "item_at")
 
-    def __init__(self, tag: str, number: int, gone: bool, inside: bool):
+    def __init__(self, tag: str, number: int, gone: bool, inside: bool, p_at: int, item_at: int):
         self.tag, self.number, self.gone, self.inside = tag, number, gone, inside
         self.hasher = xxhash.xxh64(tag)
-        self.flowing = False
+        #: Places in the stack of the open paragraph that a block closes, and of the innermost list item, row or cell of this list or table (0: none).
+        self.p_at, self.item_at = p_at, item_at
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
@@ -85,17 +90,20 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if tag == "header" and not inside:
         return True
+    open_dialog = tag != "dialog"
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id", "role"):
-                if tag not in ("body", "html", "article", "main") and not NAMES.isdisjoint(WORDS.findall(value)):
+                words = WORDS.findall(value)
+                if tag not in ("body", "html", "article", "main") and not (ALIEN if inside else NAMES).isdisjoint(words):
                     return True
-                if tag == "article" and not {"comment", "comments"}.isdisjoint(WORDS.findall(value)):
+                if tag == "article" and not {"comment", "comments"}.isdisjoint(words):
                     return True
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 return True
-    return False
+            open_dialog |= name == "open"
+    return not open_dialog
 
 
 class Page(NamedTuple):
@@ -114,7 +122,7 @@ class Page(NamedTuple):
 def read_page(html: str) -> Page:
     parents, hashes = [-1], [0]
     blocks: list[tuple[int, str, bool]] = []
-    root = _Frame("", 0, False, False)
+    root = _Frame("", 0, False, False, 0, 0)
     stack = [root]
     parts: list[str] = []
     has_main = False
@@ -133,20 +141,23 @@ def read_page(html: str) -> Page:
         if stack[-1].tag in BLOCK:
             flush()
         frame = stack.pop()
+        open_tags[frame.tag] -= 1
         below = frame.hasher.intdigest()
         above = stack[-1]
         above.hasher.update(below.to_bytes(8, "little"))
-        above.flowing |= frame.flowing or frame.tag in FLOW
-        protected = frame.inside and (frame.tag in FLOW or frame.flowing or frame.tag not in BLOCK)
+        protected = frame.inside and frame.tag in FLOW
         if not protected and frame.tag in BLOCK and frame.tag not in ("html", "body", "article", "main"):
             hashes[frame.number] = _signed(below)
 
+    def cut_to(place: int) -> None:
+        while len(stack) > place:
+            pop()
+
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                while len(stack) > k:
-                    pop()
-                return
+        if open_tags.get(tag):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    return cut_to(k)
 
     def words(text: str) -> None:
         if "&" in text:
@@ -191,21 +202,15 @@ def read_page(html: str) -> Page:
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, max(0, len(stack) - 24), -1):
-                    if stack[k].tag == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+                if stack[-1].p_at:
+                    cut_to(stack[-1].p_at)
             elif tag in SIBLINGS:
-                for k in range(len(stack) - 1, max(0, len(stack) - 24), -1):
-                    if stack[k].tag in SIBLINGS[tag]:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k].tag in SCOPES:
-                        break
+                k, last = stack[-1].item_at, 0
+                while k and (stack[k].tag in SIBLINGS[tag] or not last):  # a row ends its cell and the row of that
+                    last = k if stack[k].tag in SIBLINGS[tag] else last
+                    k = stack[k - 1].item_at
+                if last:
+                    cut_to(last)
         top = stack[-1]
         gone = top.gone or _unwanted(tag, attributes, top.inside)
         inside = top.inside
@@ -216,7 +221,11 @@ def read_page(html: str) -> Page:
         parents.append(top.number)
         hashes.append(0)
         kinds.append(tag)
-        stack.append(_Frame(tag, number, gone, inside))
+        here = len(stack)
+        p_at = here if tag == "p" else 0 if tag in BLOCK else top.p_at
+        item_at = here if tag in SIBLINGS else 0 if tag in SCOPES else top.item_at
+        stack.append(_Frame(tag, number, gone, inside, p_at, item_at))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             body = html[at : end.start()] if end else html[at:]
@@ -242,7 +251,7 @@ def of_articles(page: Page) -> Page:
     """Only the blocks in articles, if the longest article holds as much running text as all blocks outside of articles."""
     sizes = [0] * len(page.parents)
     for a, text in zip(page.articles, page.texts):
-        if text.count(" ") >= RUNNING_WORDS - 1:
+        if running(text):
             sizes[a] += len(text)
     if not any(page.articles) or max(sizes[1:]) < sizes[0]:
         return page
@@ -268,9 +277,48 @@ def own_subtrees(page: Page) -> set[int]:
     return {page.hashes[n] for n in seen} - {0}
 
 
-def page_key(texts: list[str]) -> int:
-    """A hash of the blocks of a page, equal for copies whatever stands around them."""
-    return _signed(xxhash.xxh64_intdigest("\n\n".join(texts)))
+def _key(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text))
+
+
+def running(text: str) -> bool:
+    return text.count(" ") >= RUNNING_WORDS - 1
+
+
+def subtree_keys(page: Page) -> dict[int, tuple[int, int, int]]:
+    """By subtree hash what stands outside of it: hashes of the longest block, of the second, and of all blocks.
+
+    A subtree with most of the running text of a page is what the page is about, not what stands around it: all pages of it count
+    as one.
+    """
+    n_elements = len(page.parents)
+    ends, size, blocks = list(range(1, n_elements + 1)), [0] * n_elements, [0] * n_elements
+    hashes = [_key(t) for t in page.texts]
+    for owner, text, h in zip(page.owners, page.texts, hashes):
+        size[owner] += len(text) if running(text) else 0
+        blocks[owner] += h
+    for n in range(n_elements - 1, 0, -1):  # numbers below an element follow its own
+        parent = page.parents[n]
+        ends[parent] = max(ends[parent], ends[n])
+        size[parent] += size[n]
+        blocks[parent] += blocks[n]
+    longest = sorted(range(len(page.texts)), key=lambda k: (-len(page.texts[k]), page.texts[k]))
+    out: dict[int, tuple[int, int, int]] = {}
+    for n in range(1, n_elements):
+        own = page.hashes[n]
+        if not own or own in out:
+            continue
+        beyond: list[int] = []
+        for k in longest:
+            if not n <= page.owners[k] < ends[n]:
+                beyond.append(hashes[k])
+                if len(beyond) == 2:
+                    break
+        if not beyond or 2 * size[n] > size[0]:
+            out[own] = (own, own, own)
+        else:
+            out[own] = (beyond[0], beyond[-1], _signed((blocks[0] - blocks[n]) % (1 << 64)))
+    return out
 
 
 def kept_text(page: Page, template: set[int]) -> str:
@@ -287,7 +335,7 @@ def kept_text(page: Page, template: set[int]) -> str:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 4) -> DataFrame:
     """Main text of every page: ``id_col, url_col, text, n_chars``.
 
-    A subtree is template when it is on at least ``least_pages`` distinct pages of its host.
+    A subtree is template when it is on at least ``least_pages`` pages of its host that differ outside of it.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -295,19 +343,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def subtrees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[str, int, int, int, bool]] = set()
+            seen: set[tuple[str, int, int, bool, int, int, int]] = set()
             for host, content, html in zip(*(c.to_pylist() for c in batch.columns)):
                 page = read_page(html or "")
-                key, own = page_key(page.texts), own_subtrees(page)
-                seen.update((host, content, key, h, h in own) for h in set(page.hashes) if h)
+                own = own_subtrees(page)
+                seen.update((host, content, h, h in own, *keys) for h, keys in subtree_keys(page).items())
             rows = list(seen)
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "content", "page", "hash", "own"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "content", "hash", "own", "first", "second", "rest"])
 
     source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumns({"host": host_of(F.col("url")), "content": F.xxhash64("html")})
     counted = source.filter("host is not null")
-    found = staged(counted.select("host", "content", "html").mapInArrow(subtrees_of, "host string, content bigint, page bigint, hash bigint, own boolean"), "site-subtrees")
-    templates = found.groupBy("host", "hash").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages).select("host", "hash")
+    found = staged(counted.select("host", "content", "html").mapInArrow(subtrees_of, "host string, content bigint, hash bigint, own boolean, first bigint, second bigint, rest bigint"), "site-subtrees")
+    ways = found.select("host", "hash", F.posexplode(F.array("first", "second", "rest")).alias("way", "page"))
+    agreed = ways.groupBy("host", "hash", "way").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
+    templates = agreed.groupBy("host", "hash").agg(F.count("*").alias("ways")).filter("ways >= 2").select("host", "hash")
     lists = found.filter("own").select("host", "content", "hash").distinct().join(templates, ["host", "hash"]).groupBy("host", "content").agg(F.collect_list("hash").alias("template"))
     # written, so that its true size decides how it is joined
     lists = staged(lists, "site-templates")
