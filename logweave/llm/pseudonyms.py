@@ -1,13 +1,15 @@
 """Format-preserving pseudonyms for personal data, in DataFrame and SQL functions only.
 
-Every match is validated (check digits of cards, octets of addresses, real dates, possible social security numbers) and
+Every match is validated (check digits of cards and IBANs, octets of addresses, real dates, possible social security numbers) and
 then permuted within its own format by a keyed Feistel network: card numbers stay card numbers with a right check digit, dates stay
 dates, punctuation stays. A permutation maps equal values to equal pseudonyms and different ones to
 different ones, in every document and whatever the separators, so values stay linked. Mail addresses and secrets, which have no number
-format, get keyed hashes. What fails validation is ordinary text and stays.
+format, get keyed hashes of 128 bits and more. What fails validation is ordinary text and stays. A date with slashes is read
+with the month first, or with the day first where it is none otherwise.
 
-The network alternates ``a = (a + F(b)) mod A`` and ``b = (b + F(a)) mod B`` over eight rounds, F being a
-keyed SHA-256; A and B fit the format (powers of ten for digits, 65536 for addresses, 256 x 286 days for dates).
+The network alternates ``a = (a + F(b)) mod A`` and ``b = (b + F(a)) mod B`` over eight rounds, F being
+HMAC-SHA-256; A and B fit the format (powers of ten for digits, 65536 for addresses, 256 x 286 days for dates from 1900 on, and
+so on before and after). Every kind of value has a key of its own, derived from the caller's, so plans and logs never show that.
 
 Defined results: null text stays null with 0 found, empty text stays empty; texts of any length are read whole;
 repeated rows get equal texts; other columns pass through, the new ones replace clashing names; an empty table gives
@@ -16,6 +18,9 @@ an empty table.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +28,17 @@ from pyspark.sql import functions as F
 SECRET = r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-.+/=~]{16})(?<=(?i:token|secret|password|passwd|api.?key|access.?key)[\"']{0,1} {0,3}[=:] {0,3}[\"']{0,1})[0-9A-Za-z_\-+/][0-9A-Za-z_\-.+/=~]{14,}[0-9A-Za-z_\-+/=~]"
 MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 DATE = r"(?<![0-9A-Za-z.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 ADDRESS = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){3,4}(?![0-9A-Za-z]|-[0-9])"
 # a run of numbers in which cards are looked for; it ends before a number that is, or begins, something else
 GROUP = r"[0-9]++(?![A-Za-z]|\.[0-9])"
 CARD = rf"(?<![0-9A-Za-z.\-])(?=(?:[ \-]?[0-9]){{13}}){GROUP}(?:[ \-](?!{MAIL}|{DATE}|{SSN}|{ADDRESS}|{PHONE}){GROUP})*+"
-ANY = "|".join(f"(?:{p})" for p in (SECRET, MAIL, DATE, SSN, ADDRESS, PHONE, CARD))
+ANY = "|".join(f"(?:{p})" for p in (SECRET, MAIL, DATE, IBAN, SSN, ADDRESS, PHONE, CARD))
 
-FIRST_DAY = "date'1900-01-01'"
-DAY_PARTS = (256, 286)
+#: First days of the stretches within which dates are permuted, and two factors of their lengths: until 1899, June 2100, and 9999-12-29.
+DAYS = (("date'0001-01-01'", 745, 931), ("date'1900-01-01'", 256, 286), ("date'2100-06-18'", 1337, 2158))
 
 
 def _sql(text: str) -> str:
@@ -44,11 +50,19 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _hmac(key: str, kind: str, message: str) -> str:
+    """SQL for the HMAC-SHA-256, in hexadecimal, of a string under the key of its kind."""
+    own = hmac.digest(key.encode(), kind.encode(), hashlib.sha256).ljust(64, b"\0")
+    pad = lambda with_: "X'" + bytes(b ^ with_ for b in own).hex() + "'"
+    return f"sha2(concat({pad(0x5C)}, unhex(sha2(concat({pad(0x36)}, encode({message}, 'utf-8')), 256))), 256)"
+
+
 def _feistel(a: str, b: str, size_a: str, size_b: str, kind: str, key: str) -> str:
     """SQL for struct(a, b), permuted; all four are SQL for bigints."""
 
     def shift(other: str) -> str:
-        return f"cast(conv(substr(sha2(concat_ws('|', {_sql(key)}, {_sql(kind)}, {size_a}, {size_b}, i, {other}), 256), 1, 15), 16, 10) as bigint)"
+        message = f"concat_ws('|', {size_a}, {size_b}, i, {other})"
+        return f"cast(conv(substr({_hmac(key, kind, message)}, 1, 15), 16, 10) as bigint)"
 
     start = f"named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint))"
     even = f"named_struct('a', (s.a + {shift('s.b')}) % {size_a}, 'b', s.b)"
@@ -104,12 +118,34 @@ def _address(key: str) -> str:
 
 
 def _date(key: str) -> str:
-    iso = "case when m like '____-__-__' then m when m like '__.__.____' then concat_ws('-', substr(m, 7, 4), substr(m, 4, 2), substr(m, 1, 2)) else concat_ws('-', substr(m, 7, 4), substr(m, 1, 2), substr(m, 4, 2)) end"
-    a, b = DAY_PARTS
-    mixed = _feistel(f"n div {b}", f"n % {b}", str(a), str(b), "date", key)
-    shown = "case when m like '____-__-__' then 'yyyy-MM-dd' when m like '__.__.____' then 'dd.MM.yyyy' else 'MM/dd/yyyy' end"
-    pseudonym = _let("r", mixed, f"date_format(date_add({FIRST_DAY}, cast(r.a * {b} + r.b as int)), {shown})")
-    return _let("n", f"cast(datediff(try_cast({iso} as date), {FIRST_DAY}) as bigint)", f"if(n between 0 and {a * b - 1}, {pseudonym}, m)")
+    # month first or, where that is no date, day first
+    month_first, day_first = "concat_ws('-', substr(m, 7, 4), substr(m, 1, 2), substr(m, 4, 2))", "concat_ws('-', substr(m, 7, 4), substr(m, 4, 2), substr(m, 1, 2))"
+    american = f"m like '__/__/____' and try_cast({month_first} as date) is not null"
+    iso = f"case when m like '____-__-__' then m when {american} then {month_first} else {day_first} end"
+    shown = f"case when m like '____-__-__' then 'yyyy-MM-dd' when m like '__.__.____' then 'dd.MM.yyyy' when {american} then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
+    permuted = ""
+    for first, a, b in DAYS:
+        mixed = _feistel(f"n div {b}", f"n % {b}", str(a), str(b), f"date {first}", key)
+        pseudonym = _let("r", mixed, f"date_format(date_add({first}, cast(r.a * {b} + r.b as int)), {shown})")
+        permuted += f" when d between {first} and date_add({first}, {a * b - 1}) then {_let('n', f'cast(datediff(d, {first}) as bigint)', pseudonym)}"
+    return _let("d", f"try_cast({iso} as date)", f"case{permuted} else m end")
+
+
+def _mod_97(text: str) -> str:
+    """SQL for the remainder of a text of digits and capital letters, a letter counting as two digits."""
+    number = "if(c rlike '[0-9]', s * 10 + cast(c as int), s * 100 + ascii(c) - 55)"
+    return f"aggregate(split({text}, ''), 0, (s, c) -> if(c = '', s, ({number}) % 97))"
+
+
+def _iban(key: str) -> str:
+    """Letters and country stay, the digits are permuted, and the check digits follow."""
+    digits, country = "regexp_replace(substr(t, 5), '[^0-9]', '')", "substr(t, 1, 2)"
+    body = _let("u", "substr(t, 5)", _refill("u", _digits(digits, "iban", key)))
+    check = _mod_97(f"concat(v, {country}, '00')")
+    whole = _let("v", body, f"concat({country}, lpad(cast(98 - {check} as string), 2, '0'), v)")
+    spaced = "array_join(transform(sequence(1, length(m)), p -> if(substr(m, p, 1) = ' ', ' ', substr(w, length(replace(substr(m, 1, p), ' ', '')), 1))), '')"
+    valid = f"length(t) between 15 and 34 and {_mod_97('concat(substr(t, 5), substr(t, 1, 4))')} = 1 and length({digits}) >= 2"
+    return _let("t", "replace(m, ' ', '')", f"if({valid}, {_let('w', whole, spaced)}, m)")
 
 
 def _ssn(key: str) -> str:
@@ -124,15 +160,16 @@ def _ssn(key: str) -> str:
 
 def replacement(key: str) -> str:
     """SQL for the pseudonym ``r`` of the match ``m`` and the number ``n`` of values replaced."""
-    hashed = lambda kind, value, n: f"substr(sha2(concat_ws('|', {_sql(key)}, {_sql(kind)}, {value}), 512), 1, {n})"
+    hashed = lambda kind, value: _hmac(key, kind, value)
     single = f"""case
-      when m like '%@%' then concat('user-', {hashed('mail', 'lower(m)', '12')}, '@mail.invalid')
+      when m like '%@%' then concat('user-', substr({hashed('mail', 'lower(m)')}, 1, 32), '@mail.invalid')
       when m rlike {_sql('^(?:' + DATE + ')$')} then {_date(key)}
+      when m rlike {_sql('^(?:' + IBAN + ')$')} then {_iban(key)}
       when m rlike {_sql('^(?:' + SSN + ')$')} then {_ssn(key)}
       when m rlike {_sql('^(?:' + ADDRESS + ')$')} then {_address(key)}
       when m rlike {_sql('^(?:' + PHONE + ')$')} then {_phone(key)}
-      else {_let('h', hashed('secret', 'lower(m)', '128'), 'rpad(h, length(m), h)')} end"""
-    others = "|".join(f"(?:{p})" for p in (DATE, SSN, ADDRESS, PHONE))
+      else {_let('h', hashed('secret', 'm'), 'rpad(h, length(m), h)')} end"""
+    others = "|".join(f"(?:{p})" for p in (DATE, IBAN, SSN, ADDRESS, PHONE))
     return f"""case when m rlike {_sql('^(?:' + CARD + ')$')} and not m rlike {_sql('^(?:' + others + ')$')} then {_cards(key)}
       else {_let('x', single, "named_struct('r', x, 'n', cast(x <> m as int))")} end"""
 

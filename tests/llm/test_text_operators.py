@@ -1,8 +1,10 @@
 """Training-data operators on texts against libraries, brute force and planted cases."""
 
+import hmac
 import random
 import re
 import zlib
+from datetime import date, timedelta
 
 import numpy as np
 import public_tokenizers
@@ -195,15 +197,61 @@ def luhn(number):
 
 
 def feistel(a, b, size_a, size_b, kind, key):
-    import hashlib
-
+    own = hmac.digest(key.encode(), kind.encode(), "sha256")
     for i in range(8):
         other = b if i % 2 == 0 else a
-        shift = int(hashlib.sha256(f"{key}|{kind}|{size_a}|{size_b}|{i}|{other}".encode()).hexdigest()[:15], 16)
+        shift = int(hmac.digest(own, f"{size_a}|{size_b}|{i}|{other}".encode(), "sha256").hex()[:15], 16)
         a, b = ((a + shift) % size_a, b) if i % 2 == 0 else (a, (b + shift) % size_b)
     return a, b
 
 
+def digits_of(d, kind, key):
+    u = len(d) // 2
+    a, b = feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), kind, key)
+    return f"{a:0{u}}{b:0{len(d) - u}}"
+
+
+def iban_check(t):
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+
+
+def test_every_pseudonym_is_what_brute_force_says(spark):
+    """Cards, dates of all forms, IBANs, numbers and mail addresses recomputed in Python."""
+    first = {1: date(1, 1, 1), 1900: date(1900, 1, 1), 2100: date(2100, 6, 18)}
+    sizes = {1: (745, 931), 1900: (256, 286), 2100: (1337, 2158)}
+
+    def day(d):
+        start = 1 if d.year < 1900 else 1900 if d < first[2100] else 2100
+        a, b = sizes[start]
+        n = (d - first[start]).days
+        x, y = feistel(n // b, n % b, a, b, f"date date'{first[start].isoformat()}'", "k")
+        return first[start] + timedelta(x * b + y)
+
+    ssn = feistel((123 - 1) * 99 + 45 - 1, 6789 - 1, 898 * 99, 9999, "ssn", "k")
+    area = ssn[0] // 99 + (2 if ssn[0] // 99 >= 665 else 1)
+    card = digits_of("411111111111111", "card", "k")
+    card += next(str(c) for c in range(10) if luhn(card + str(c)))
+    iban = "DE89370400440532013000"
+    bban = digits_of(iban[4:], "iban", "k")
+    new_iban = f"DE{98 - iban_check('DE00' + bban):02}{bban}"
+    assert iban_check(iban) == iban_check(new_iban) == 1
+    mail = hmac.digest(hmac.digest(b"k", b"mail", "sha256"), b"a.b@x.org", "sha256").hex()[:32]
+    cases = {
+        "4111111111111111": card, "2020-12-31": day(date(2020, 12, 31)).strftime("%Y-%m-%d"), "31/12/2020": day(date(2020, 12, 31)).strftime("%d/%m/%Y"), "03/04/2020": day(date(2020, 3, 4)).strftime("%m/%d/%Y"),
+        "14.07.1789": f"{day(date(1789, 7, 14)):%d.%m}.{day(date(1789, 7, 14)).year:04}", "2250-01-01": day(date(2250, 1, 1)).isoformat(), "31/31/2020": "31/31/2020", "123-45-6789": f"{area:03}-{ssn[0] % 99 + 1:02}-{ssn[1] + 1:04}",
+        iban: new_iban, "DE89 3704 0044 0532 0130 00": " ".join(new_iban[k : k + 4] for k in range(0, 22, 4)), "DE88370400440532013000": "DE88370400440532013000", "A.B@x.org": f"user-{mail}@mail.invalid",
+    }
+    got = [r.text for r in pseudonyms.pseudonymise(docs(spark, [f"so {t} it" for t in cases]), "k").orderBy("doc_id").collect()]
+    assert got == [f"so {t} it" for t in cases.values()]
+
+
+def test_pseudonyms_of_repeated_rows_long_texts_and_secrets_by_case(spark):
+    long = "plain words without any number " * 40_000
+    texts = ["call 017-555-7713", "call 017-555-7713", long + "10.2.3.4", "token=ABCDEFGHIJKLMNOPQRST", "token=abcdefghijklmnopqrst"]
+    got = [r.text for r in pseudonyms.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    assert got[0] == got[1] != texts[0] and got[2].startswith(long) and got[2] != texts[2] and got[3] != got[4]
+
+
 def test_pseudonyms_keep_format_and_link(spark):
     texts = [
         "a card 4111 1111 1111 1111, again 4111111111111111; not one 4111111111111112", "IP 10.20.30.40 and 999.1.1.1", "call +1 (017) 555-7713 or 017-555-7713",
@@ -316,6 +364,62 @@ def test_teasers_do_not_displace_the_body(spark):
     assert got[3] == got[4] == "A whole article with more text than stands around it"
 
 
+def test_counting_decides_and_is_what_brute_force_counts(spark):
+    """Boxes of neutral names, in and outside of articles, go by recurrence alone; near copies keep their own boxes."""
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(500)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    boxes = [f"<div class='x{k}'><p>{say(9)}</p><p>{say(30)}</p></div>" for k in range(6)]
+    rows, k = [], 0
+    for host in ("a", "b", "c"):
+        for _ in range(12):
+            some = [b for b in boxes if rng.random() < 0.4]
+            body = f"<p>{say(40)}</p><p>{say(25)}</p>"
+            html = f"{''.join(some)}<article>{body}{rng.choice(boxes)}</article>" if rng.random() < 0.5 else f"<div>{''.join(some)}</div><div>{body}</div>"
+            rows.append((k, f"http://{host}.example/{k}", f"<body>{html}</body>"))
+            k += 1
+    long, near = f"<div><p>{say(60)}</p><p>{say(50)}</p></div>", k
+    rows += [(k + j, "http://n.example/", f"<body><article>{long}<p>{say(8)}</p></article></body>") for j in range(6)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in site_templates.main_text(table).collect()}
+    without = {r.page_id: r.text for r in site_templates.main_text(table, least_pages=10**9).collect()}
+    assert sum(got[i] != without[i] for i, _, _ in rows) > 20 and all(got[near + j] == without[near + j] for j in range(6))
+    pages = {i: (url.split("/")[2], site_templates.read_page(html)) for i, url, html in rows}
+    seen: dict = {}
+    for host, page in pages.values():
+        for n, h in enumerate(page.hashes):
+            if h:
+                below = {n}
+                for m in range(n + 1, len(page.parents)):
+                    if page.parents[m] in below:
+                        below.add(m)
+                outside = sorted((t for o, t in zip(page.owners, page.texts) if o not in below), key=lambda t: (-len(t), t))
+                flows = lambda texts: sum(len(t) for t in texts if len(t.split()) >= 5)
+                keys = (outside[0], outside[min(1, len(outside) - 1)], tuple(outside)) if outside and flows(outside) >= flows(page.texts) - flows(outside) else (h, h, h)
+                for way, key in enumerate(keys):
+                    seen.setdefault((host, h), ({}, {}, {}))[way][key] = 1
+    template: dict = {}
+    for (host, h), ways in seen.items():
+        if sum(len(w) >= 4 for w in ways) >= 2:
+            template.setdefault(host, set()).add(h)
+    assert got == {i: site_templates.kept_text(page, template.get(host, set())) for i, (host, page) in pages.items()}
+
+
+def test_deep_and_unclosed_markup_is_read_as_any_other(spark):
+    for deep in (3, 3000):
+        page = "<div>" * deep + "<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table><p>first<p>second" + " " + "<b>" * deep + "bold<p>third"
+        read = site_templates.read_page(page)
+        assert read.texts == ["one", "two", "a", "b", "c", "first", "second bold", "third"]
+        kind = [read.parents[o] for o in read.owners]
+        assert kind[0] == kind[1] and read.parents[kind[2]] == read.parents[kind[4]]
+
+
+def test_article_text_stays_whatever_it_is_named(spark):
+    html = "<article><p class='related'>Related work of others</p><div class='social share-of-voice'>Social science</div><math>x + y</math><p id='menu-of-the-day'>Soup</p><div class='comments'>no</div><dialog>shut</dialog></article>"
+    got = site_templates.main_text(spark.createDataFrame([(1, "http://a.example/", html)], "page_id int, url string, html string")).first()
+    assert got.text == "Related work of others\n\nSocial science\n\nx + y\n\nSoup"
+
+
 def test_pseudonyms_of_whole_secrets_and_of_cards_among_numbers(spark):
     long, jwt, coded = "Ab3-" * 50, "eyJhbGci.eyJzdWIiOiIx.c2lnbmF0dXJlLXZhbHVl", "q83v/7+Zk1x+Qw0aT5m/Lg=="
     card, other, nineteen = "4111 1111 1111 1111", "5500 0000 0000 0004", "4000 0000 0000 0000 006"
