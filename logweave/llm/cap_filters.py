@@ -93,8 +93,29 @@ def _pairs(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield rows[k], first[rows[k]] + at - (ends[k] - count[rows[k]])
 
 
-def _near_pairs(unit: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one bucket with enough cosine. Rows before a bucket's middle meet those after it; without one (-1) all meet all."""
+def _met_before(filters: np.ndarray, offsets: np.ndarray, rows: np.ndarray, left: int, direction: int) -> np.ndarray:
+    """Whether rows before ``left`` share a direction before ``direction`` with each of the rows after (with all rows, if ``left`` is all)."""
+    whose = np.repeat(np.arange(len(rows)), offsets[rows + 1] - offsets[rows])
+    held = np.concatenate([filters[offsets[r] : offsets[r + 1]] for r in rows])
+    early = held < direction
+    names, code, count = np.unique(held[early], return_inverse=True, return_counts=True)
+    several = count[code] > 1  # what one row holds alone is shared by none
+    code, whose = np.unique(code[several], return_inverse=True)[1], whose[early][several]
+    first, second = slice(0, left), slice(0 if left == len(rows) else left, len(rows))
+    out = np.zeros((left, second.stop - second.start), dtype=bool)
+    for a in range(0, int(code.max(initial=-1)) + 1, 512):
+        at = (code >= a) & (code < a + 512)
+        held_by = np.zeros((len(rows), 512), dtype=np.float32)
+        held_by[whose[at], code[at] - a] = 1.0
+        out |= held_by[first] @ held_by[second].T > 0
+    return out
+
+
+def _near_pairs(unit: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, threshold: float, direction: np.ndarray, filters: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket with enough cosine that no earlier bucket has met.
+
+    Rows before a bucket's middle meet those after it; without one (-1) all meet all.
+    """
     size = ends - starts
     few = size <= FEW
     bucket = np.repeat(np.arange(len(starts)), size)
@@ -103,21 +124,29 @@ def _near_pairs(unit: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends:
     count = np.where((cut < 0) | (row < cut), ends[bucket] - first, 0) * few[bucket]
     for i, j in _pairs(first, count):
         near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-        yield i[near], j[near]
+        i, j = i[near], j[near]
+        fresh = _first_shared(filters, offsets, i, j, direction[i])
+        yield i[fresh], j[fresh]
     for s, m, e in zip(starts[~few].tolist(), middles[~few].tolist(), ends[~few].tolist()):
+        split = e if m < 0 else m
+        near = unit[s:split] @ unit[s if m < 0 else m : e].T >= threshold
         if m < 0:
-            i, j = np.nonzero(np.triu(unit[s:e] @ unit[s:e].T >= threshold, 1))
-            yield i + s, j + s
-        else:
-            i, j = np.nonzero(unit[s:m] @ unit[m:e].T >= threshold)
-            yield i + s, j + m
+            near = np.triu(near, 1)
+        if near.any():
+            near &= ~_met_before(filters, offsets, np.arange(s, e), split - s, int(direction[s]))
+        i, j = np.nonzero(near)
+        yield i + s, j + (s if m < 0 else m)
 
 
 def _first_shared(filters: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, direction: np.ndarray) -> np.ndarray:
     """Whether no direction before ``direction`` is in the (sorted) filters of both rows of a pair."""
-    width = int(np.diff(offsets).max(initial=0))
-    padded = np.full((len(offsets) - 1, width), -1, dtype=np.int64)
-    padded[np.arange(width) < np.diff(offsets)[:, None]] = filters
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    sizes = offsets[rows + 1] - offsets[rows]
+    width = int(sizes.max(initial=0))
+    padded = np.full((len(rows), width), -1, dtype=np.int64)
+    inner = np.arange(width) < sizes[:, None]
+    padded[inner] = filters[(offsets[rows][:, None] + np.arange(width))[inner]]
     fresh = np.ones(len(i), dtype=bool)
     step = max(1, (1 << 22) // max(1, width * width))
     for a in range(0, len(i), step):
@@ -198,12 +227,11 @@ def near_duplicates(
         ends = np.append(starts[1:], len(order))
         before = np.add.reduceat((own == t0).astype(np.int64), starts)
         middles = np.where(t0[starts] == t1[starts], -1, starts + before)
-        met = [(i, j) for i, j in _near_pairs(unit, starts, middles, ends, threshold) if len(i)]
+        held = lot["filters"].combine_chunks()
+        held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+        filters, offsets = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
+        met = [(i, j) for i, j in _near_pairs(unit, starts, middles, ends, threshold, direction, filters, offsets) if len(i)]
         i, j = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, dtype=np.int64),) * 2
-        filters = lot["filters"].combine_chunks()
-        filters = filters.chunk(0) if isinstance(filters, pa.ChunkedArray) else filters
-        fresh = _first_shared(filters.flatten().to_numpy(), filters.offsets.to_numpy() - filters.offsets[0].as_py(), i, j, direction[i])
-        i, j = i[fresh], j[fresh]
         names, code = np.unique(node, return_inverse=True)
         weight = lot["weight"].to_numpy()
         links = np.bincount(code[i], weights=weight[j], minlength=len(names)) + np.bincount(code[j], weights=weight[i], minlength=len(names))
