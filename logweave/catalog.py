@@ -335,43 +335,6 @@ def entity_ids(spark, sf_dir):
     return log(spark, sf_dir).withColumn("metadata", F.expr(made)).select("seq", F.array_join(group.entity_ids(F.col("metadata")), ",").alias("entities"))
 
 
-def loose_and_keyed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Entries of even events keep their user group, odd ones are loose; a user's loose entries can be absorbed."""
-    entries = log(spark, sf_dir).withColumn("metadata", F.create_map().cast("map<string,string>"))
-    keyed = group.split_by_gap(group.assign_keys(entries.filter("seq % 2 = 0"), ("userId",)), SIX_HOURS, SIX_HOURS).drop("id_value", "id_field")
-    return entries.filter("seq % 2 = 1"), keyed
-
-
-ABSORB_SQL = f"""WITH {E_SQL.replace('FROM events)', 'FROM events), l AS (SELECT * FROM e WHERE seq % 2 = 1), e2 AS (SELECT * FROM e WHERE seq % 2 = 0)')}, {groups_sql(SIX_HOURS).replace('FROM e WHERE', 'FROM e2 WHERE')},
-b AS (SELECT group_key, min(ms) AS start_ms, max(ms) AS end_ms, min(seq) AS first_seq, min(user_id) AS g_user, count(*) AS n, bool_or({re2('message', r'\b(200|201)\b')}) AS allowed, bool_or({re2('message', r'\b(401|403)\b')}) AS denied FROM g GROUP BY group_key)"""
-
-
-@query(
-    "absorb_scores",
-    ABSORB_SQL
-    + f""", p AS (SELECT l.seq, b.group_key, b.first_seq, CASE WHEN l.user_id = b.g_user THEN 10 ELSE 0 END + CASE WHEN l.ms BETWEEN start_ms AND end_ms THEN 3 ELSE 0 END
-  + CASE WHEN least(abs(l.ms - start_ms), abs(l.ms - end_ms)) <= 5000 THEN 5 WHEN least(abs(l.ms - start_ms), abs(l.ms - end_ms)) <= 10000 THEN 3 ELSE 0 END
-  + CASE WHEN l.user_id = b.g_user AND least(abs(l.ms - start_ms), abs(l.ms - end_ms)) <= 10000 AND {re2('l.message', r'\b(200|201)\b')} AND denied THEN 7 ELSE 0 END AS score
-  FROM l JOIN b ON l.ms BETWEEN b.start_ms - 60000 AND b.end_ms + 60000),
-r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, first_seq) AS place FROM p WHERE score >= 5) SELECT seq, group_key, CAST(score AS INTEGER) AS score FROM r WHERE place = 1""",
-)
-def absorb_scores(spark, sf_dir):
-    loose, keyed = loose_and_keyed(spark, sf_dir)
-    return group.absorb_scores(loose, group.group_bounds(keyed))
-
-
-@query("absorb_singletons", ABSORB_SQL + ", x AS (SELECT s.group_key, g.group_key AS into_key, row_number() OVER (PARTITION BY s.group_key ORDER BY g.first_seq) AS place FROM b s JOIN b g ON s.n = 1 AND g.n > 1 AND s.g_user = g.g_user AND s.start_ms BETWEEN g.start_ms AND g.end_ms) SELECT group_key, into_key FROM x WHERE place = 1")
-def absorb_singletons(spark, sf_dir):
-    _, keyed = loose_and_keyed(spark, sf_dir)
-    return group.absorb_singletons(group.group_bounds(keyed)).withColumnRenamed("into", "into_key")
-
-
-@query("entity_merge")
-def entity_merge(spark, sf_dir):
-    entries = by_user(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("orderId"), F.concat(F.lit("ord-"), F.col("metadata")["k"])))
-    return group.entity_merges(group.group_bounds(entries))
-
-
 WORDS_SQL = """kw AS (SELECT seq, ms, list_sort(list_distinct(list_concat(CASE event_type WHEN 'error' THEN ['post', 'timeout', 'path:/checkout'] WHEN 'purchase' THEN ['success'] WHEN 'view' THEN ['get', 'path:/products'] WHEN 'click' THEN ['retry'] ELSE [] END,
   ['level:' || level], list_transform(regexp_extract_all(message, '\\b([45]\\d{2})\\b', 1), lambda x: 'status:' || x)))) AS words FROM e)"""
 
@@ -390,11 +353,6 @@ def jaccard_pairs(spark, sf_dir):
     return group.similar_pairs(log(spark, sf_dir)).select("a", "b", F.round(F.col("similarity") * 100).cast("bigint").alias("percent"))
 
 
-@query("content_clusters")
-def content_clusters(spark, sf_dir):
-    return group.content_clusters(log(spark, sf_dir))
-
-
 # --- events
 
 
@@ -422,11 +380,6 @@ def zero_count_failure(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), events.real_failure(F.expr(ZERO)).alias("failed"))
 
 
-@query("event_signature")
-def event_signature(spark, sf_dir):
-    return events.event_signature(user_events(spark, sf_dir))
-
-
 @query("session_events", """WITH x AS (SELECT conv_id, turn, role, text FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS session, count(*) AS n_turns, count(DISTINCT role) AS n_roles, min(turn) AS first_turn, max(turn) AS last_turn FROM x GROUP BY 1""")
 def session_events(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").selectExpr("turn AS seq", "timestamp_millis(turn) AS ts", "CAST(conv_id AS string) AS session_id", "role AS source", "text AS message", "'info' AS level")
@@ -442,11 +395,6 @@ def causal_user_chain(spark, sf_dir):
     return causal.user_chains(user_events(spark, sf_dir)).select("group_key", "user_id", "chain_no")
 
 
-@query("causal_pairs")
-def causal_pairs(spark, sf_dir):
-    return causal.causal_pairs(user_events(spark, sf_dir))
-
-
 @query("stories", STORIES_SQL + " SELECT story_id, title, outcome, severity, start_ms, end_ms, n_events FROM s")
 def stories(spark, sf_dir):
     return user_stories(spark, sf_dir).select("story_id", "title", "outcome", "severity", "start_ms", "end_ms", "n_events")
@@ -470,16 +418,6 @@ def story_impacts(spark, sf_dir):
     return user_stories(spark, sf_dir).filter("outcome <> 'success'").select("story_id", "impact")
 
 
-@query("story_narratives")
-def story_narratives(spark, sf_dir):
-    return user_stories(spark, sf_dir).select("story_id", "narrative", "narrative_source")
-
-
-@query("story_merges")
-def story_merges(spark, sf_dir):
-    return causal.story_merges(fixed_stories(spark, sf_dir))
-
-
 # --- insights
 
 FAILED_COUNT = "SELECT count(*) AS n FROM s WHERE outcome = 'failure'"
@@ -490,40 +428,11 @@ def recurring_failures(spark, sf_dir):
     return insights.recurring_failures(user_stories(spark, sf_dir)).select("title", "occurrences", "severity", "start_ms")
 
 
-@query("retry_anomaly", STORIES_SQL + f", q AS (SELECT DISTINCT c.user_id || '/' || c.chain_no AS story_id FROM c JOIN g USING (group_key) JOIN a USING (seq) WHERE a.status = 'retried') SELECT count(*) AS occurrences FROM s JOIN q USING (story_id) WHERE outcome = 'failure' HAVING count(*) > 0")
-def retry_anomaly(spark, sf_dir):
-    return insights.retry_anomaly(user_stories(spark, sf_dir)).select("occurrences")
-
-
 @query("service_degradation", STORIES_SQL + ", d AS (SELECT DISTINCT c.user_id || '/' || c.chain_no AS story_id, target FROM c JOIN g USING (group_key) JOIN a USING (seq) WHERE target IS NOT NULL) SELECT 'Service degradation: ' || target AS title, count(*) AS occurrences, CASE WHEN count(*) >= 3 THEN 'critical' ELSE 'high' END AS severity FROM s JOIN d USING (story_id) WHERE outcome = 'failure' GROUP BY target HAVING count(*) >= 2")
 def service_degradation(spark, sf_dir):
     return insights.service_degradation(fixed_stories(spark, sf_dir)).select("title", "occurrences", "severity")
 
 
-@query("escalations", STORIES_SQL + f", x AS (SELECT DISTINCT story_id FROM m WHERE {re2('message', 'ticket|support|escalat')}) SELECT count(*) AS occurrences FROM x HAVING count(*) > 0")
-def escalations(spark, sf_dir):
-    return insights.escalations(user_stories(spark, sf_dir)).select("occurrences")
-
-
-@query("failure_correlations")
-def failure_correlations(spark, sf_dir):
-    return insights.failure_correlations(fixed_stories(spark, sf_dir)).drop("related_events")
-
-
-BURSTS_SQL = STORIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, fl AS (SELECT story_id, start_ms, row_number() OVER (ORDER BY start_ms, story_id) AS no FROM s WHERE outcome IN ('failure', 'partial')),
-w AS (SELECT no, story_id, start_ms, start_ms AS anchor FROM fl WHERE no = 1 UNION ALL SELECT fl.no, fl.story_id, fl.start_ms, CASE WHEN fl.start_ms - w.anchor <= 300000 THEN w.anchor ELSE fl.start_ms END FROM w JOIN fl ON fl.no = w.no + 1)"""
-
-
-@query("burst_windows")
-def burst_windows(spark, sf_dir):
-    return insights.burst_windows(user_stories(spark, sf_dir))
-
-
-@query("cascading_failures")
-def cascading_failures(spark, sf_dir):
-    return insights.cascading_failures(fixed_stories(spark, sf_dir)).select("title", "description", "occurrences", "start_ms")
-
-
 SUMMARY_SQL = STORIES_SQL + """, n AS (SELECT count(*) AS total, count(*) FILTER (outcome = 'failure') AS failures, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (outcome = 'success') AS successes FROM s)
 SELECT total, failures, critical, successes FROM n"""
 
@@ -534,12 +443,6 @@ def story_counts(spark, sf_dir):
     return user_stories(spark, sf_dir).agg(F.count("*").alias("total"), count(F.col("outcome") == "failure").alias("failures"), count(F.col("severity") == "critical").alias("critical"), count(F.col("outcome") == "success").alias("successes"))
 
 
-@query("system_summary")
-def system_summary(spark, sf_dir):
-    told = fixed_stories(spark, sf_dir)
-    return insights.system_summary(told, insights.insights(told))
-
-
 @query("run_stats", STORIES_SQL + " SELECT (SELECT count(*) FROM e) AS total_entries, (SELECT count(*) FROM e WHERE level IN ('error', 'fatal')) AS errors_detected, 0::BIGINT AS inferred_timestamps, (SELECT count(*) FROM ev) AS events_extracted, (SELECT count(*) FROM ev) AS groups_found, (SELECT count(*) FROM s) AS stories_generated")
 def run_stats(spark, sf_dir):
     return insights.run_stats(log(spark, sf_dir), user_events(spark, sf_dir), user_stories(spark, sf_dir).select("story_id"))
@@ -554,16 +457,6 @@ def timeline_lines(spark, sf_dir):
     return render.timeline(user_stories(spark, sf_dir))
 
 
-@query("story_json")
-def story_json(spark, sf_dir):
-    return render.story_json(user_stories(spark, sf_dir))
-
-
-@query("local_narrative")
-def local_narrative(spark, sf_dir):
-    return providers.local_narrative(user_events(spark, sf_dir))
-
-
 @query("slowest_stories_topk", STORIES_SQL + " SELECT story_id, end_ms - start_ms AS duration_ms FROM s ORDER BY duration_ms DESC, start_ms, story_id LIMIT 3")
 def slowest_stories_topk(spark, sf_dir):
     return providers.slowest(user_stories(spark, sf_dir)).select("story_id", "duration_ms")

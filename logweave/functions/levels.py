@@ -10,7 +10,6 @@ from .text import has
 # fixed values: spellings of levels; anything else is info
 SPELLINGS = {
     "debug": ("debug", "3", "10", "20"),
-    "info": ("info", "request", "payment", "db", "cache", "2", "30"),
     "warn": ("warn", "warning", "1", "40"),
     "error": ("error", "0", "50"),
     "fatal": ("fatal", "critical", "60"),

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has, in_order
 from ..plans.graph import connected_components, time_band_join, time_reach_join
-from .group import entity_ids
+from .group import NOT_ENTITIES, looks_like_entity, metadata_user
 from .narrate import narrate_stories
 
+# fixed values: words of an escalation
 ESCALATION = "support|ticket|escalat|alert|notify|incident"
 # fixed values: families of work whose parts belong together, and the two sides of a database incident
 FAMILIES = {
@@ -25,6 +26,24 @@ FAMILIES = {
 POOL, INCIDENT = r"pool\s*exhaust|connection\s*pool", r"\bp99\b|latency|scal(?:e|ing)|autoscale|incident|INC-|503|wait\s*timeout"
 
 
+# fixed values: fields that name an entity whatever their value looks like; and those that never do when events are chained
+ENTITIES = ("orderId", "cartId", "paymentId", "shipmentId", "orderTempId", "order_id", "cart_id", "payment_id", "shipment_id", "incident_id", "ticket_id", "connection_id", "conn_id")
+NEVER_ENTITIES = tuple(n for n in NOT_ENTITIES if n not in ("reason", "action", "task"))
+
+
+def entity_references(metadata: Column) -> Column:
+    """Ids of entities in metadata and in objects one level below: known fields, and values that look like ids."""
+
+    def of(pairs: Column) -> Column:
+        meant = lambda e: F.coalesce((e["key"].isin(*ENTITIES) & (e["value"] != "")) | (~e["key"].isin(*NEVER_ENTITIES) & looks_like_entity(e["value"])), F.lit(False))
+        return F.transform(F.filter(pairs, meant), lambda e: e["value"])
+
+    pairs = F.map_entries(metadata)
+    objects = F.filter(F.transform(pairs, lambda e: F.when(e["value"].startswith("{"), F.from_json(e["value"], "map<string,string>"))), lambda m: m.isNotNull())
+    below = F.transform(objects, lambda m: of(F.map_entries(m)))
+    return F.array_distinct(F.concat(of(pairs), F.flatten(below)))
+
+
 def messages(entries: Column) -> Column:
     return F.transform(entries, lambda e: e["message"])
 
@@ -39,8 +58,8 @@ def user_chains(events: DataFrame, horizon_ms: int = 120_000) -> DataFrame:
 
 def with_ties(events: DataFrame) -> DataFrame:
     """What the relations between events are decided by."""
-    entities = F.array_distinct(F.flatten(F.transform("entries", lambda e: entity_ids(e["metadata"]))))
-    meta = lambda e: F.coalesce(F.try_element_at(e["metadata"], F.lit("userId")), F.try_element_at(e["metadata"], F.lit("user_id")))
+    entities = F.array_distinct(F.flatten(F.transform("entries", lambda e: entity_references(e["metadata"]))))
+    meta = lambda e: metadata_user(e["metadata"])
     lower = F.lower(F.array_join(messages(F.col("entries")), " "))
     return events.withColumns(
         {
@@ -75,7 +94,7 @@ def causal_pairs(events: DataFrame) -> DataFrame:
     same_user = keyed("user_id", 300_000, ((gap >= -1000) & (gap < 120_000)) | touching | ((gap >= 0) & (gap < 300_000) & follows), True)
     same_session = keyed("session_id", 300_000, (gap >= -1000) & (gap < 300_000), False)
     same_meta = keyed("meta_user", 60_000, near, False)
-    shared = met(exploded(a, "a", "entities"), exploded(b, "b", "entities"), 60_000, ["k"], near | (touching & (F.col("a_user_id").isNotNull() != F.col("b_user_id").isNotNull()) & F.col("b_user_id").isNull()))
+    shared = met(exploded(a, "a", "entities"), exploded(b, "b", "entities"), 60_000, ["k"], near | (touching & F.col("b_user_id").isNull() & (F.col("a_user_id").isNotNull() | ((F.col("a_group_type") == "request") & (F.col("b_group_type") != "request")))))
     nobody_a, nobody_b = a.filter("a_user_id is null and a_group_type <> 'request'"), b.filter("b_user_id is null")
     close = met(nobody_a.withColumn("k", F.lit(0)), nobody_b.withColumn("k", F.lit(0)), 5000, ["k"], touching & (gap <= 3000))
     parts = met(exploded(nobody_a, "a", "components"), exploded(nobody_b, "b", "components"), 5000, ["k"], touching)
@@ -100,6 +119,11 @@ def chain_outcome(last: Column, failures: Column, successes: Column, partials: C
     )
 
 
+def relation(failures: Column, users: Column) -> Column:
+    """What holds a chain together: a failure that the rest follows from, one user, or one request."""
+    return F.when(failures > 0, "temporal_cause").when(F.size(users) == 1, "same_user_flow").otherwise("same_request")
+
+
 def severity(outcome: Column, retried: Column, failures: Column) -> Column:
     return F.when(outcome == "failure", F.when(retried | (failures > 1), "critical").otherwise("warning")).when(outcome == "partial", "warning").otherwise("info")
 
@@ -125,7 +149,7 @@ def build_stories(chained: DataFrame, key: str = "chain_id") -> DataFrame:
     overridden = F.when((F.col("title") == "Worker Heartbeat – Errors Detected") & (F.col("outcome") != "failure"), "partial").otherwise(F.col("outcome"))
     return (
         told.withColumn("outcome", overridden)
-        .withColumns({"severity": severity(F.col("outcome"), retried, F.col("failures")), "duration_ms": F.col("end_ms") - F.col("start_ms"), "retried": retried})
+        .withColumns({"severity": severity(F.col("outcome"), retried, F.col("failures")), "duration_ms": F.col("end_ms") - F.col("start_ms"), "retried": retried, "relation": relation(F.col("failures"), F.col("actors"))})
         .withColumn("causal_nodes", F.transform("events", lambda e: F.struct(e["event_id"].alias("id"), F.get(e["actions"], F.lit(0))["type"].alias("type"), e["outcome"].alias("outcome"))))
         .drop("last_outcome", "last_entry", "first_user")
     )
@@ -149,7 +173,7 @@ def story_merges(stories: DataFrame, horizon_ms: int = 900_000) -> DataFrame:
     actors = F.arrays_overlap("a_actors", "b_actors")
     nobody = (F.size("a_actors") == 0) & (F.size("b_actors") == 0)
     services = F.arrays_overlap("a_services", "b_services")
-    inside = (F.col("b_end_ms") <= F.col("a_end_ms"))
+    inside = (F.col("b_end_ms") <= F.col("a_end_ms")) | (F.col("b_start_ms") == F.col("a_start_ms"))
 
     def met(left: DataFrame, right: DataFrame, where: Column, horizon: int = horizon_ms, overlap: bool = False) -> DataFrame:
         if overlap:  # also where b starts long before a ends
@@ -166,7 +190,7 @@ def story_merges(stories: DataFrame, horizon_ms: int = 900_000) -> DataFrame:
         met(one(in_incident_a), one(in_incident_b), incident)
         .union(met(explode(a, "a", "families"), explode(b, "b", "families"), (gap >= 0) & (gap <= 120_000), 120_000))
         .union(met(explode(a, "a", "actors"), explode(b, "b", "actors"), actors & (gap <= 120_000), 900_000, True))
-        .union(met(explode(a, "a", "services"), explode(b, "b", "services"), services & nobody & (((gap >= 0) & (gap <= 30_000)) | (inside & (gap <= 0))), 900_000, True))
+        .union(met(explode(a, "a", "services"), explode(b, "b", "services"), services & nobody & (((gap > 0) & (gap <= 30_000)) | (inside & (gap <= 0))), 900_000, True))
         .distinct()
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has, js, truthy
-from ..plans.graph import connected_components, time_band_join
+from ..plans.graph import connected_components, cut_lineage, time_band_join, time_reach_join
 
 # fixed values: correlation fields in order of priority, with the columns and metadata aliases that hold them
 FIELDS: dict[str, tuple[str | None, tuple[str, ...]]] = {
@@ -112,11 +112,27 @@ def looks_like_entity(value: Column) -> Column:
     return value.rlike(UUID) | (value.rlike(PREFIXED) & F.length(value).between(5, 64)) | value.rlike(OBJECT_ID)
 
 
+def metadata_user(metadata: Column) -> Column:
+    """The user that metadata name, at the top or within ``user`` and ``order``."""
+    inner = lambda name, path: F.get_json_object(F.try_element_at(metadata, F.lit(name)), path)
+    at_top = [F.try_element_at(metadata, F.lit(n)) for n in ("userId", "user_id")]
+    return truthy(F.coalesce(*at_top, inner("user", "$.id"), inner("user", "$.userId"), inner("order", "$.userId")))
+
+
 def entity_ids(metadata: Column) -> Column:
     kept = F.filter(F.map_entries(metadata), lambda e: ~e["key"].isin(*NOT_ENTITIES) & F.coalesce(looks_like_entity(e["value"]), F.lit(False)))
     return F.array_distinct(F.transform(kept, lambda e: e["value"]))
 
 
+def told_status(metadata: Column) -> Column:
+    """The HTTP status that an entry's metadata tell."""
+    return F.coalesce(F.try_element_at(metadata, F.lit("status")), F.try_element_at(metadata, F.lit("statusCode"))).try_cast("double")
+
+
+# fixed values: messages of an exhausted pool, and of what it causes
+POOL, STARVED = r"pool\s*exhaust|connection\s*pool", r"\b503\b|wait\s*timeout"
+
+
 def group_bounds(grouped: DataFrame) -> DataFrame:
     """Per group: time span, size, first place, user, session, services, entities, formats."""
     ids = F.array_distinct(F.flatten(F.collect_set("__ids")))
@@ -125,35 +141,72 @@ def group_bounds(grouped: DataFrame) -> DataFrame:
     return with_ids.groupBy("group_key").agg(
         F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count("*").alias("n"), F.min("seq").alias("first_seq"),
         F.min_by("user_id", F.when(F.col("user_id").isNotNull(), order)).alias("g_user"), F.min_by("session_id", F.when(F.col("session_id").isNotNull(), order)).alias("g_session"),
-        F.collect_set(F.try_element_at("metadata", F.lit("service"))).alias("g_services"), ids.alias("g_entities"), F.min_by("format", order).alias("g_format"),
-        F.bool_or(has(F.col("message"), r"\b(401|403)\b")).alias("g_denied"), F.bool_or(has(F.col("message"), r"\b(200|201)\b")).alias("g_allowed"), F.bool_or(has(F.col("message"), "pool.*exhaust|exhaust.*pool")).alias("g_pool"),
+        F.collect_set(F.try_element_at("metadata", F.lit("service"))).alias("g_services"), ids.alias("g_entities"), F.min_by("format", F.when(F.col("format").isNotNull(), order)).alias("g_format"),
+        F.bool_or(F.coalesce(told_status(F.col("metadata")).isin(401, 403), F.lit(False))).alias("g_denied"), F.bool_or(F.coalesce(told_status(F.col("metadata")).isin(200, 201), F.lit(False))).alias("g_allowed"),
+        F.bool_or(has(F.col("message"), POOL)).alias("g_pool"), F.bool_or(has(F.col("message"), STARVED)).alias("g_starved"),
     )
 
 
-def absorb_scores(loose: DataFrame, groups: DataFrame, window_ms: int = 5000) -> DataFrame:
-    """Best group for each loose entry: ``(seq, group_key, score)``; a score of 5 is needed, ties go to the earliest group."""
+#: Two entries this close tell of one flow, if anything else does.
+TIGHT_MS = 10_000
+
+
+def presence(members: DataFrame) -> DataFrame:
+    """Per group and stretch of ``TIGHT_MS``: whether it has a member there, its last before and its first after.
+
+    A row for each stretch that a member is in or next to, however many members there are.
+    """
+    here = F.floor(F.col("ms") / TIGHT_MS)
+    spots = members.filter("group_key is not null").groupBy("group_key", here.alias("b")).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    near = spots.select("group_key", "lo", "hi", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("side"), "b").withColumn("stretch", F.col("b") + F.col("side"))
+    pick = lambda side, f, c: f(F.when(F.col("side") == side, F.col(c)))
+    return near.groupBy("group_key", "stretch").agg(pick(0, F.count, "lo").alias("n_here"), pick(1, F.max, "hi").alias("last_before"), pick(-1, F.min, "lo").alias("first_after"))
+
+
+def absorb_scores(loose: DataFrame, groups: DataFrame, members: DataFrame, window_ms: int = 5000) -> DataFrame:
+    """Best group for each loose entry: ``(seq, group_key, score)``; a score of 5 is needed, ties go to the earliest group.
+
+    What can score so much shares a user, a session or an entity with the group, is within 10 s of a member, or is inside of the
+    group's span and shares a service, so candidates meet by equality on one of these and then on the group's span.
+    """
     horizon = max(6 * window_ms, 60_000)
-    # a group reaches over all buckets between its bounds, so it meets entries by equality on the bucket
-    lo, hi = F.floor((F.col("start_ms") - horizon) / horizon), F.floor((F.col("end_ms") + horizon) / horizon)
-    reach = groups.withColumn("__b", F.explode(F.sequence(lo, hi)))
-    met = loose.withColumn("__b", F.floor(F.col("ms") / horizon)).join(reach, "__b").filter((F.col("ms") >= F.col("start_ms") - horizon) & (F.col("ms") <= F.col("end_ms") + horizon))
+    entry = loose.select("seq", "ms", "message", "metadata", "user_id", "session_id", "format").withColumns({"__ids": entity_ids(F.col("metadata")), "stretch": F.floor(F.col("ms") / TIGHT_MS)})
+    spots = presence(members)
+    near = (F.col("ms") >= F.col("start_ms") - horizon) & (F.col("ms") <= F.col("end_ms") + horizon)
+    bounds = groups.select("group_key", "start_ms", "end_ms", "g_user", "g_session", "g_entities")
+    keyed = lambda left, right: left.filter("k is not null").join(right.filter("k is not null"), "k").filter(near).select("seq", "group_key")
+    slim = entry.select("seq", "ms", "user_id", "session_id", "__ids")
+    serving = groups.select("group_key", "start_ms", "end_ms", F.explode("g_services").alias("k"))
+    served = entry.select("seq", "ms", truthy(F.try_element_at("metadata", F.lit("service"))).alias("k")).filter("k is not null")
+    inside = time_reach_join(serving, served, "start_ms", "end_ms", "ms", horizon, ["k"], F.col("ms").between(F.col("start_ms"), F.col("end_ms")))
+    found = (
+        keyed(slim.withColumn("k", truthy(F.col("user_id"))), bounds.withColumn("k", F.col("g_user")))
+        .union(keyed(slim.withColumn("k", truthy(F.col("session_id"))), bounds.withColumn("k", F.col("g_session"))))
+        .union(keyed(slim.withColumn("k", F.explode("__ids")), bounds.withColumn("k", F.explode("g_entities"))))
+        .union(entry.select("seq", "stretch").join(spots.select("group_key", "stretch"), "stretch").select("seq", "group_key"))
+        .union(inside.select("seq", "group_key"))
+        .distinct()
+    )
+    met = found.join(entry, "seq").join(groups, "group_key").filter(near).join(spots, ["group_key", "stretch"], "left")
 
     def points(condition: Column, n: int) -> Column:
         return F.when(F.coalesce(condition, F.lit(False)), n).otherwise(0)
 
     ms, start, end = F.col("ms"), F.col("start_ms"), F.col("end_ms")
     border = F.least(F.abs(ms - start), F.abs(ms - end))
-    message = F.col("message")
-    auth = (F.col("user_id") == F.col("g_user")) & (border <= 10_000) & ((has(message, r"\b(401|403)\b") & F.col("g_allowed")) | (has(message, r"\b(200|201)\b") & F.col("g_denied")))
+    tight = (F.col("n_here") > 0) | (ms - F.col("last_before") <= TIGHT_MS) | (F.col("first_after") - ms <= TIGHT_MS)
+    message, status = F.col("message"), told_status(F.col("metadata"))
+    auth = (F.col("user_id") == F.col("g_user")) & (border <= TIGHT_MS) & ((status.isin(401, 403) & F.col("g_allowed")) | (status.isin(200, 201) & F.col("g_denied")))
+    starved = (has(message, POOL) & F.col("g_starved")) | (F.col("g_pool") & has(message, STARVED))
     score = (
         points(F.col("user_id") == F.col("g_user"), 10)
         + points(F.col("session_id") == F.col("g_session"), 10)
         + points((ms >= start) & (ms <= end), 3)
-        + F.when(border <= window_ms, 5).when(border <= 10_000, 3).otherwise(0)
-        + points(F.array_contains("g_services", F.try_element_at("metadata", F.lit("service"))), 2)
-        + points(F.arrays_overlap(entity_ids(F.col("metadata")), "g_entities"), 8)
+        + F.when(border <= window_ms, 5).otherwise(points(tight, 3))
+        + points(F.array_contains("g_services", truthy(F.try_element_at("metadata", F.lit("service")))), 2)
+        + points(F.arrays_overlap("__ids", "g_entities"), 8)
         + points(auth, 7)
-        + points(F.col("g_pool") & has(message, r"503|wait.?timeout") & (border <= 5000), 8)
+        + points(starved & (border <= 5000), 8)
         - points(F.col("format") != F.col("g_format"), 2)
     )
     scored = met.select("seq", "group_key", "first_seq", score.alias("score")).filter("score >= 5")
@@ -238,22 +291,28 @@ def entity_merges(groups: DataFrame, merge_ms: int = 600_000) -> DataFrame:
 
 def group_entries(entries: DataFrame, config: Grouping = Grouping()) -> DataFrame:
     """All strategies in order: ids, absorption, singletons, content, time, shared entities. Adds ``group_key``, ``strategy``."""
-    keyed = split_by_gap(merge_same_value(assign_keys(entries, config.fields), config.fields).filter("group_key is not null"), config.gap_ms, config.job_gap_ms).drop("id_value", "id_field")
-    loose = assign_keys(entries, config.fields).filter("group_key is null").drop("id_value", "id_field", "group_key")
-    absorbed = loose.join(absorb_scores(loose, group_bounds(keyed), config.window_ms).drop("score"), "seq")
+    assigned = assign_keys(entries, config.fields)
+    keyed = split_by_gap(merge_same_value(assigned.filter("group_key is not null"), config.fields), config.gap_ms, config.job_gap_ms).drop("id_value", "id_field")
+    loose = assigned.filter("group_key is null").drop("id_value", "id_field", "group_key")
+    # what several strategies read is computed once
+    keyed = cut_lineage(keyed)
+    absorbed = cut_lineage(loose.join(absorb_scores(loose, group_bounds(keyed), keyed, config.window_ms).drop("score"), "seq"))
     by_id = keyed.unionByName(absorbed.select(keyed.columns))
     singles = absorb_singletons(group_bounds(by_id))
     by_id = by_id.join(singles, "group_key", "left").withColumn("group_key", F.coalesce("into", "group_key")).drop("into").withColumn("strategy", F.lit("id"))
     rest = loose.join(absorbed.select("seq"), "seq", "left_anti")
-    clusters = content_clusters(rest, config.similarity)
+    rest = cut_lineage(rest)
+    clusters = cut_lineage(content_clusters(rest, config.similarity))
     inferred = rest.join(clusters, "seq").withColumn("group_key", F.concat_ws("-", F.lit("inferred"), "cluster")).drop("cluster").withColumn("strategy", F.lit("inference"))
     timed = group_by_time(rest.join(clusters.select("seq"), "seq", "left_anti").withColumn("day", F.to_date("ts")), config.window_ms, ("day",)).drop("day").withColumn("strategy", F.lit("time"))
     grouped = by_id.unionByName(inferred).unionByName(timed)
+    grouped = cut_lineage(grouped)
     merges = entity_merges(group_bounds(grouped), config.merge_ms)
-    return grouped.join(merges, "group_key", "left").withColumn("group_key", F.coalesce("into", "group_key")).drop("into")
+    merged = grouped.withColumn("part_key", F.col("group_key")).join(merges, "group_key", "left")
+    return merged.withColumn("group_key", F.coalesce("into", "group_key")).drop("into")
 
 
 def group_stats(grouped: DataFrame) -> DataFrame:
-    """One row: groups by strategy, and all groups."""
-    count = lambda s: F.count_distinct(F.when(F.col("strategy") == s, F.col("group_key")))
+    """One row: groups by strategy before entities merged them, and all groups after."""
+    count = lambda s: F.count_distinct(F.when(F.col("strategy") == s, F.col("part_key")))
     return grouped.agg(F.count_distinct("group_key").alias("total_groups"), count("id").alias("by_id"), count("time").alias("by_time"), count("inference").alias("by_inference"))

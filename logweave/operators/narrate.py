@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import is_error
 from ..functions.text import any_has, capitalize, capture, duration, first_capture, has, truncated
 
+# fixed values: what tells of a checkout
 CHECKOUT = r"checkout|payment.?(attempt|success|fail|timeout|declined)|order.?(completed|placed|created|confirmed)"
 # fixed values: subjects of a title, in order of test over all messages
 SUBJECTS = (
@@ -104,9 +105,8 @@ def dominant(components: Column) -> Column:
     return F.array_min(counted)["c"]
 
 
-def title(entries: Column, actions: Column, outcome: Column) -> Column:
-    texts = F.transform(entries, lambda e: F.lower(e["message"]))
-    joined = F.array_join(texts, " ")
+def title(entries: Column, actions: Column, outcome: Column, texts: Column, joined: Column) -> Column:
+    """``texts`` are the messages in lower case, ``joined`` all of them."""
     detail = failure_detail(texts)
     failed, partial = outcome == "failure", outcome == "partial"
     signup = any_has(texts, "signup|sign.?up|register", False)
@@ -199,10 +199,8 @@ def entry_counts(entries: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(entries, of_entry), lambda c: c != ""), F.lit(0)), F.lit(""))
 
 
-def narrative(entries: Column, actions: Column, outcome: Column, user: Column) -> tuple[Column, Column]:
-    """Text and source (template or generic)."""
-    texts = F.transform(entries, lambda e: e["message"])
-    joined = F.lower(F.array_join(texts, " "))
+def narrative(entries: Column, actions: Column, outcome: Column, user: Column, texts: Column, joined: Column) -> tuple[Column, Column]:
+    """Text and source (template or generic); ``texts`` are the messages, ``joined`` all of them in lower case."""
     first = lambda p, g=1: F.nullif(first_capture(texts, p, g), F.lit(""))
     failed, partial = outcome == "failure", outcome == "partial"
     actor = F.coalesce(F.concat(F.lit("User "), user), F.lit("The system"))
@@ -258,7 +256,7 @@ def narrative(entries: Column, actions: Column, outcome: Column, user: Column) -
     attempts = F.when(top_attempt > 0, top_attempt).when(told_retry > 0, told_retry + 1).otherwise(retries + 1)
     job_id = F.coalesce(F.get(F.filter(F.transform(entries, lambda e: F.coalesce(e["job_id"], meta(e, "job_id"))), lambda j: j.isNotNull()), F.lit(0)), F.lit("unknown"))
     label = capitalize(F.coalesce(F.concat(first(r"\b(email|notification|payment|sync|import|export|cleanup|report)\b"), F.lit(" job")), F.lit("background job")))
-    took = F.coalesce(F.concat(F.lit(" in "), duration(entry_duration(entries).cast("bigint"))), F.lit(""))
+    took = F.coalesce(F.concat(F.lit(" in "), duration(F.nullif(entry_duration(entries).cast("bigint"), F.lit(0)))), F.lit(""))
     job = (
         F.when(failed, F.concat(F.when(attempts > 1, text("%s '%s' failed after %d attempts.", label, job_id, attempts)).otherwise(text("%s '%s' failed.", label, job_id)), F.coalesce(F.concat(F.lit(" Error: "), truncated(error_text, 120)), F.lit(""))))
         .when(partial, text("%s '%s' completed with warnings after %d attempt%s.", label, job_id, attempts, plural(attempts)))
@@ -298,7 +296,7 @@ def generic(entries: Column, outcome: Column, actor: Column) -> Column:
     task = F.get(F.filter(F.transform(entries, lambda e: F.nullif(meta(e, "task"), F.lit(""))), lambda t: t.isNotNull()), F.lit(0))
     state = F.get(F.filter(F.transform(entries, lambda e: F.lower(meta(e, "status"))), lambda s: s.isin(*ended)), F.lit(0))
     state = F.coalesce(state, F.when(outcome == "failure", "failed").when(outcome == "partial", "completed with warnings").otherwise("completed"))
-    ms, counts = entry_duration(entries).cast("bigint"), entry_counts(entries)
+    ms, counts = F.nullif(entry_duration(entries).cast("bigint"), F.lit(0)), entry_counts(entries)
     took = F.coalesce(F.concat(F.lit(" in "), duration(ms)), F.lit(""))
     scheduled = F.concat(F.lit("Scheduled task '"), task, F.lit("' "), state, took, F.lit("."), F.when(counts != "", F.concat(F.lit(" "), counts)).otherwise(""))
 
@@ -328,25 +326,43 @@ def generic(entries: Column, outcome: Column, actor: Column) -> Column:
 
 
 def narrate_stories(stories: DataFrame) -> DataFrame:
-    """Adds title, narrative, narrative_source, root_cause, impact, recommendation to rows with entries, actions, outcome, first_user."""
+    """Adds title, narrative, narrative_source, root_cause, impact, recommendation to rows with entries, actions, outcome, first_user.
+
+    The messages are put together in a projection of their own, as every text reads them many times.
+    """
     entries, actions, outcome, user = F.col("entries"), F.col("actions"), F.col("outcome"), F.col("first_user")
-    joined = F.lower(F.array_join(F.transform(entries, lambda e: e["message"]), " "))
-    told, source = narrative(entries, actions, outcome, user)
-    return stories.withColumns(
+    texts = stories.withColumn("__texts", F.transform(entries, lambda e: e["message"]))
+    texts = texts.withColumns({"__lower": F.transform("__texts", F.lower), "__joined": F.lower(F.array_join("__texts", " "))})
+    said, lower, joined = F.col("__texts"), F.col("__lower"), F.col("__joined")
+    told, source = narrative(entries, actions, outcome, user, said, joined)
+    return texts.withColumns(
         {
-            "title": title(entries, actions, outcome), "narrative": told, "narrative_source": source, "root_cause": F.when(outcome == "failure", root_cause(entries)),
+            "title": title(entries, actions, outcome, lower, joined), "narrative": told, "narrative_source": source, "root_cause": F.when(outcome == "failure", root_cause(entries)),
             "impact": impact(joined, outcome, user), "recommendation": recommendation(joined, outcome),
         }
-    )
+    ).drop("__texts", "__lower", "__joined")
+
+
+# fixed values: what is taken out of texts before they go into a prompt
+CONTROL, FILTERED = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "[filtered]"
+UNSAFE = (
+    r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+(instructions?|prompts?|rules?)", r"(?i)you\s+are\s+now\s+(a|an)\s+", r"(?i)system\s*:\s*", r"(?i)\[INST\]", r"(?i)<\|im_start\|>", r"(?i)<\|im_end\|>",
+)
 
 
 def prompt_text(text: Column) -> Column:
-    """Text made safe for a prompt: control characters, role marks, fences and template signs go."""
-    for pattern, mask in ((r"[\x00-\x08\x0b-\x1f]", " "), (r"(?i)\b(system|assistant|user)\s*:", "$1 -"), ("```", "'''"), (r"\{\{|\}\}", " "), (r"<\|[^|]*\|>", " "), (r"(?i)ignore (all |any )?previous instructions", "[removed]"), (r"\s{3,}", "  ")):
-        text = F.regexp_replace(text, pattern, mask)
+    """Text made safe for a prompt: control characters and what could pass for instructions go."""
+    text = F.regexp_replace(text, CONTROL, "")
+    for pattern in UNSAFE:
+        text = F.regexp_replace(text, pattern, FILTERED)
     return text
 
 
+def query_prompt(question: Column, context: Column) -> Column:
+    parts = (F.lit("Answer a question about these events of a system's logs.\n"), prompt_text(context), F.lit("\n\nQuestion: "), prompt_text(question), F.lit("\n\nBe concise, name the events that matter, and say so if they do not tell."))
+    return F.concat(*parts)
+
+
 def narrative_prompt(entries: Column) -> Column:
     lines = F.transform(F.slice(entries, 1, 15), lambda e: F.concat(F.lit("["), e["level"], F.lit("] "), prompt_text(e["message"])))
     return F.concat(F.lit("Summarise this activity in two sentences:\n"), F.array_join(lines, "\n"))

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_from_message, level_from_status, normalize_level
-from ..functions.text import capture, has, js
+from ..functions.text import has, js
 from .schema import ENTRY
 
+# fixed values: level words, time stamps, line shapes that count as a format, and those that parse
 LEVELS = "DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL"
 STAMP = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}[^\s]*"
-# fixed values: the line shapes that count as a format, and those that parse
 MORGAN = r'^(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|[\w.-]+)\s+-\s+(?:\S+|-)\s+\[([^\]]+)\]\s+"(\w+)\s+([^\s"]+)\s+HTTP/[\d.]+"\s+(\d{3})\s+(\d+|-)'
 PLAIN_SHAPES = (rf"^\[([^\]]+)\]\s*({LEVELS})[:\s]", rf"^{STAMP}\s+({LEVELS})\s", rf"^{STAMP}\s+\[({LEVELS})\]")
 PLAIN_A = rf"^\[([^\]]+)\]\s*({LEVELS})[:\s]+(.+)"
@@ -185,6 +185,29 @@ def parse_plain(line: Column) -> Column:
     )
 
 
+def parse_object(v: Column) -> Column:
+    """A JSON object that is a record whatever its shape: any of the formats' names for a field will do."""
+    user = F.coalesce(first_field(v, ("userId", "user_id", "uid")), F.when(kind_of(v, "user").rlike("^OBJECT"), F.coalesce(F.try_variant_get(v, "$.user.id", "string"), F.try_variant_get(v, "$.user.userId", "string"))).otherwise(field(v, "user")), first_field(v, ("actor", "sub", "account_id")))
+    request = F.coalesce(first_field(v, ("requestId", "request_id", "reqId")), F.try_variant_get(v, "$.req.id", "string"), first_field(v, ("req_id", "correlation_id", "x-request-id")))
+    return _entry(
+        ts=F.when(present(v, "timestamp"), json_time(v, "timestamp")).otherwise(json_time(v, "time")), level=normalize_level(field(v, "level")), message=F.coalesce(first_field(v, ("message", "msg")), F.lit("")),
+        metadata=_json_rest(v, "level", "message", "msg", "timestamp", "time"), request_id=request, user_id=user, session_id=first_field(v, SESSION), trace_id=first_field(v, (*TRACE, "spanId")), job_id=first_field(v, JOB),
+    )
+
+
+def parse_objects(records: DataFrame) -> DataFrame:
+    """JSON records ``(seq, raw)`` to entries; what is no object keeps ``parsed = false``.
+
+    ``record_format`` is the format that a record looks like (the first parsed one's names that of all).
+    """
+    read = records.withColumn("__v", F.try_parse_json("raw")).withColumn("__v", F.when(F.schema_of_variant("__v").startswith("OBJECT"), F.col("__v")))
+    v = F.col("__v")
+    out = read.withColumn("__e", F.when(v.isNotNull(), parse_object(v)))
+    fields = [f.name for f in ENTRY.fields if f.name not in ("seq", "raw")]
+    kind = F.when(v.isNotNull(), F.when(present(v, "msg") & (present(v, "time") | present(v, "timestamp")), "pino-json").otherwise("winston-json"))
+    return out.select("seq", *[F.col(f"__e.{n}").alias(n) for n in fields], "raw", F.col("__e").isNotNull().alias("parsed"), kind.alias("record_format"))
+
+
 def parse_lines(lines: DataFrame, fmt: str | None = None) -> DataFrame:
     """Lines ``(seq, raw)`` to entries; unparsed lines keep ``parsed = false``. With ``fmt`` one parser takes all lines."""
     with_json = lines.filter(F.col("raw").rlike(r"\S")).withColumn("__v", json_object(F.col("raw")))
@@ -201,9 +224,15 @@ def parse_lines(lines: DataFrame, fmt: str | None = None) -> DataFrame:
 
 
 def parse_counters(parsed: DataFrame) -> DataFrame:
-    """One row: total, parsed, unparsed_lines, inferred_timestamps."""
+    """One row: total, parsed, unparsed_lines, inferred_timestamps, parse_errors, detected_format.
+
+    Lines that fit no format are unparsed, records that are no objects are errors. The first parsed row names the format.
+    """
+    records = "record_format" in parsed.columns
+    failed = F.count_if(~F.col("parsed"))
+    first = F.min_by(F.col("record_format" if records else "format"), F.when(F.col("parsed"), F.col("seq")))
     return parsed.agg(
-        F.count("*").alias("total"), F.count_if("parsed").alias("parsed"), F.count_if(~F.col("parsed")).alias("unparsed_lines"), F.count_if(F.col("parsed") & F.col("ts_inferred")).alias("inferred_timestamps")
+        (F.lit(0).cast("bigint") if not records else failed).alias("parse_errors"), F.coalesce(first, F.lit("unknown")).alias("detected_format"), F.count("*").alias("total"), F.count_if("parsed").alias("parsed"), (F.lit(0).cast("bigint") if records else failed).alias("unparsed_lines"), F.count_if(F.col("parsed") & F.col("ts_inferred")).alias("inferred_timestamps")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import causal, events, insights
 from ..operators.filters import Filter, apply_filter
 from ..operators.group import Grouping, group_entries
-from ..operators.parse import format_confidence, parse_counters, parse_lines
+from ..operators.parse import format_confidence, parse_counters, parse_lines, parse_objects
 from ..operators.redact import Redaction, redact_entries
 from ..operators.schema import as_entries
 from ..sources import lines as sources
@@ -63,14 +64,16 @@ class Analyzer:
         lines = source
         if isinstance(source, str):
             array = sources.json_array_lines(self.spark, source)
-            lines = sources.text_lines(self.spark, source) if array is None else array
+            if array is not None:
+                return self._run(parse_objects(array))
+            lines = sources.text_lines(self.spark, source)
         if self.config.max_input_size is not None:
             sources.check_size(lines, self.config.max_input_size)
         written = lines.filter(F.col("raw").rlike(r"\S"))
         gate = format_confidence(written).first()
         if gate["sampled"] >= GATE_LINES and gate["confidence"] < LEAST_CONFIDENCE:
             raise UnrecognisedFormat(f"only {gate['confidence']:.0%} of the first lines are of a known format, e.g. {gate['unmatched']}")
-        parsed = parse_lines(written)
+        parsed = cut_lineage(parse_lines(written))  # read by the counters and by the analysis
         counts = parse_counters(parsed).first()
         if counts["total"] >= UNPARSED_LINES and counts["unparsed_lines"] / counts["total"] >= MOST_UNPARSED:
             raise UnrecognisedFormat(f"{counts['unparsed_lines']} of {counts['total']} lines cannot be parsed")
@@ -80,14 +83,15 @@ class Analyzer:
         return self.analyze(sources.read_lines(self.spark, path))
 
     def analyze_json(self, records: Iterable[dict]) -> Analysis:
-        """Records that are JSON objects already; no gate, no guard."""
-        return self._run(parse_lines(sources.record_lines(self.spark, records)))
+        """Records that are JSON objects already, of any shape; no gate, no guard."""
+        return self._run(parse_objects(sources.record_lines(self.spark, records)))
 
     def analyze_entries(self, entries: DataFrame) -> Analysis:
         """Any DataFrame with some of the entry schema's columns, a table for instance."""
         return self._run(as_entries(entries).drop("ms").withColumn("parsed", F.lit(True)))
 
     def _run(self, parsed: DataFrame) -> Analysis:
+        began = time.time()
         rejects = parsed.filter(~F.col("parsed")).select("seq", "raw")
         entries = as_entries(parsed.filter("parsed").drop("parsed"))
         entries = redact_entries(apply_filter(entries, self.config.filter), self.config.redaction)
@@ -100,10 +104,13 @@ class Analyzer:
             stories = providers.enhance(stories, self.config.provider)
         stories = cut_lineage(stories)
         found = insights.insights(stories)
-        return Analysis(entries, rejects, grouped, built, stories, found, insights.system_summary(stories, found), insights.run_stats(entries, built, stories))
+        unparsed = parsed.agg(F.count_if(~F.col("parsed")).alias("unparsed_lines"))
+        stats = insights.run_stats(entries, built, stories).crossJoin(F.broadcast(unparsed))  # both are one row
+        stats = stats.withColumn("processing_time_ms", F.lit(int((time.time() - began) * 1000)).cast("bigint"))
+        return Analysis(entries, rejects, grouped, built, stories, found, insights.system_summary(stories, found), stats)
 
     def query(self, question: str, result: Analysis) -> str:
-        return providers.answer(question, result.stories)
+        return providers.answer(question, result.stories, self.config.provider)
 
     def format(self, result: Analysis, style: str = "cli") -> str:
         return render.format_result(result, style)

@@ -66,6 +66,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
+    if both.isEmpty():  # nothing is tied to anything
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     for _ in range(rounds):
         least = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))

@@ -1,12 +1,15 @@
 """Live logs: micro-batches run the batch operators on the new entries and those carried over.
 
 State is two tables in the checkpoint folder: entries younger than the horizon, and signatures of stories already told. Both
-are pruned to the horizon, so they stay bounded. Entries later than the watermark go to the ``late`` rows of the sink.
-Every micro-batch writes under its batch number, so a batch that runs again after a failure replaces its own rows.
+are pruned to the horizon, and of their folders the last two stay (a batch that runs again reads what the batch before it
+left). Entries later than the watermark go to the ``late`` rows of the sink. Every micro-batch writes under its batch number, so
+a batch that runs again after a failure replaces its own rows. A story that grows is told again, under another signature; for
+insights and counts of the whole stream the last telling of a story counts.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from ..operators.schema import as_entries
 from ..plans.graph import cut_lineage
 
 HORIZON_MS = 900_000
+#: What is kept of a story that has been told: all that reports and insights read.
+TOLD = ("story_id", "signature", "title", "outcome", "severity", "narrative", "narrative_source", "root_cause", "impact", "recommendation", "start_ms", "end_ms", "duration_ms", "retried", "actors", "services", "event_ids", "entries")
 
 
 def story_signature(entries) -> F.Column:
@@ -41,11 +46,9 @@ class StoryStream:
 
     def _table(self, spark: SparkSession, name: str, before: int, schema) -> DataFrame:
         """The state that the batch before left; empty at the start."""
-        path = f"{self.folder}/{name}/batch={before}"
-        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        if not self._path(spark, name, before):
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={before}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -63,13 +66,21 @@ class StoryStream:
         told = self._table(spark, "told", number - 1, "signature string, end_ms bigint")
         new = cut_lineage(stories.join(told, "signature", "left_anti"))
         out = f"{self.folder}/stories/batch={number}"
-        new.select("story_id", "signature", "title", "outcome", "severity", "narrative", "start_ms", "end_ms", "actors", "services", "event_ids").write.mode("overwrite").parquet(out)
+        new.select(*TOLD).write.mode("overwrite").parquet(out)
         late.select("seq", "ms", "level", "message").write.mode("overwrite").parquet(f"{self.folder}/late/batch={number}")
         keep = F.lit(newest - self.horizon_ms if newest is not None else 0)
         both.filter(F.col("ms") >= keep).write.mode("overwrite").parquet(f"{self.folder}/carry/batch={number}")
         told.union(new.select("signature", "end_ms")).filter(F.col("end_ms") >= keep).write.mode("overwrite").parquet(f"{self.folder}/told/batch={number}")
         progress = timely.agg(F.count("*").alias("entries"), F.count_if(F.col("level").isin("error", "fatal")).alias("errors")).withColumn("batch", F.lit(number))
-        progress.write.mode("overwrite").parquet(f"{self.folder}/progress/batch={number}")
+        progress.withColumn("stories", F.lit(new.count())).write.mode("overwrite").parquet(f"{self.folder}/progress/batch={number}")
+        for name in ("carry", "told"):
+            self._path(spark, name, number - 2, delete=True)
+
+    def _path(self, spark: SparkSession, name: str, number: int, delete: bool = False) -> bool:
+        """Whether a batch has left the table; with ``delete`` it goes."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/batch={number}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return files.delete(path, True) if delete else files.exists(path)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return lines.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
@@ -94,10 +105,24 @@ def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFram
     return stream.sparkSession.read.parquet(rows)
 
 
-def final_insights(spark: SparkSession, folder: str) -> DataFrame:
-    """Recurring failures over all stories that a stream has told."""
+def told_stories(spark: SparkSession, folder: str) -> DataFrame:
+    """Every story that a stream has told, as it was told last."""
     told = spark.read.parquet(f"{folder.rstrip('/')}/stories")
-    return insights.recurring_failures(told.withColumn("root_cause", F.col("narrative")))
+    last = F.max_by(F.struct(*[c for c in told.columns if c != "story_id"]), F.struct("batch", "end_ms")).alias("last")
+    return told.groupBy("story_id").agg(last).select("story_id", "last.*")
+
+
+def final_insights(spark: SparkSession, folder: str) -> DataFrame:
+    """Insights of all six kinds over all stories that a stream has told."""
+    return insights.insights(told_stories(spark, folder))
+
+
+def done_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """One row at the end of a stream: batches, entries, errors, and stories told; entries carried over count once."""
+    progress = spark.read.parquet(f"{folder.rstrip('/')}/progress")
+    return progress.agg(
+        F.count("*").alias("batches"), F.coalesce(F.sum("entries"), F.lit(0)).alias("total_entries"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors_detected"), F.coalesce(F.sum("stories"), F.lit(0)).alias("stories_generated")
+    )
 
 
 def tee(batch_function: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
@@ -111,6 +136,32 @@ def tee(batch_function: Callable[[DataFrame, int], None], path: str) -> Callable
     return run
 
 
+def transport(lines: DataFrame, checkpoint: str, on_stories: Callable[[DataFrame], None], on_insights: Callable[[DataFrame], None] | None = None, on_stats: Callable[[DataFrame], None] | None = None, seconds: float = 30, config=None) -> StreamingQuery:
+    """A logging transport: what has come in ``seconds`` is analysed on its own and handed to the callbacks.
+
+    Sources bound a batch by count as well (``maxLines`` of growing files). A batch that is no log is reported and
+    skipped, so that logging goes on.
+    """
+    from ..plans.analyzer import Analyzer, UnrecognisedFormat
+
+    analyzer = Analyzer(lines.sparkSession, config)
+
+    def run(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        try:
+            result = analyzer.analyze(cut_lineage(batch.select("seq", "raw")))
+        except UnrecognisedFormat as problem:
+            print(f"batch {number} was not analysed: {problem}", file=sys.stderr)
+            return
+        on_stories(result.stories)
+        for callback, rows in ((on_insights, result.insights), (on_stats, result.stats)):
+            if callback:
+                callback(rows)
+
+    return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def watch(spark: SparkSession, path: str, report: Callable, config=None, interval_ms: int = 1000) -> StreamingQuery:
     """Analyse what is appended to a file, every micro-batch on its own."""
     from ..plans.analyzer import Analyzer

@@ -33,7 +33,7 @@ def test_priority_merge_and_gap(spark):
 def test_absorption_prefers_the_users_group(spark):
     keyed = group.assign_keys(entries(spark, [(1, 0, "info", "a", "u1", None, {}), (2, 1000, "info", "b", "u2", None, {})]), ("userId",))
     loose = entries(spark, [(9, 2000, "info", "c", "u2", None, {}), (10, 900_000, "info", "far", "u2", None, {})])
-    got = group.absorb_scores(loose, group.group_bounds(keyed)).collect()
+    got = group.absorb_scores(loose, group.group_bounds(keyed), keyed).collect()
     assert [(r.seq, r.group_key, r.score) for r in got] == [(9, "userId:u2", 15)]
 
 
