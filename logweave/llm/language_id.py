@@ -40,6 +40,8 @@ BITS = 18
 UND = "und"
 #: Labelled texts that the text models are fitted on, at most.
 SAMPLE = 4000
+#: How many times the sample the bound on hashes lets through, so that there are enough (half as many would do).
+MARGIN = 2
 #: Weight of a whole text in grams: evidence beyond it is scaled down, as neighbouring grams are not independent.
 GRAMS = 40.0
 #: Pseudo-count of every n-gram under every language: so little that what no label has shown is likelier as noise.
@@ -116,8 +118,12 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample:
     spark = labelled.sparkSession
     prepare(spark)
     chosen = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang")).filter(f"lang is not null and lang <> '{UND}' and id is not null")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = chosen.withColumn("turn", turn).filter(F.col("turn") <= sample).orderBy("turn", F.xxhash64("id", "lang"), "id").limit(sample).select("id", "lang")
+    # of a large language only hashes below a bound can be among the smallest, so that no task ranks all of it
+    counts = chosen.groupBy("lang").agg(F.count("*").alias("of"))
+    place = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 53)) / float(1 << 53)
+    few = chosen.join(counts, "lang").withColumn("place", place).filter(F.col("place") * F.col("of") <= MARGIN * sample)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    chosen = few.withColumn("turn", turn).filter(F.col("turn") <= sample).orderBy("turn", "place", "id").limit(sample).select("id", "lang")
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text")).join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
