@@ -207,8 +207,9 @@ def with_scores(
         give_back()
         for batch in batches:
             offsets, buckets = features.batch(batch.column(text_at), dense)
-            sums = np.concatenate([[0.0], np.cumsum(dense[buckets])])
-            logits = sums[offsets[1:]] - sums[offsets[:-1]] + own_bias
+            # each text by itself, so that equal texts get equal sums
+            sums = np.add.reduceat(np.append(dense[buckets], 0.0), offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
+            logits = np.where(offsets[1:] > offsets[:-1], sums, 0.0) + own_bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(logits), pa.float64())], [*batch.schema.names, "score"])
 
     scored = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
