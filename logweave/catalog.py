@@ -232,7 +232,7 @@ def detect_format(spark, sf_dir):
     return _lines(spark, sf_dir, MIXED).groupBy(parse.line_format(F.col("raw")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("parse_counters", f"WITH {E_SQL} SELECT count(*) AS total, count(*) FILTER (event_type <> 'purchase') AS parsed, count(*) FILTER (event_type = 'purchase') AS unparsed_lines, 0::BIGINT AS inferred_timestamps FROM e")
+@query("parse_counters", f"WITH {E_SQL} SELECT 0::BIGINT AS parse_errors, arg_min(CASE event_type WHEN 'error' THEN 'winston-json' WHEN 'view' THEN 'pino-json' WHEN 'click' THEN 'morgan' ELSE 'plain' END, seq) FILTER (event_type <> 'purchase') AS detected_format, count(*) AS total, count(*) FILTER (event_type <> 'purchase') AS parsed, count(*) FILTER (event_type = 'purchase') AS unparsed_lines, 0::BIGINT AS inferred_timestamps FROM e")
 def parse_counters(spark, sf_dir):
     return parse.parse_counters(parse.parse_lines(_lines(spark, sf_dir, MIXED)))
 
@@ -443,7 +443,7 @@ def story_counts(spark, sf_dir):
     return user_stories(spark, sf_dir).agg(F.count("*").alias("total"), count(F.col("outcome") == "failure").alias("failures"), count(F.col("severity") == "critical").alias("critical"), count(F.col("outcome") == "success").alias("successes"))
 
 
-@query("run_stats", STORIES_SQL + " SELECT (SELECT count(*) FROM e) AS total_entries, (SELECT count(*) FROM e WHERE level IN ('error', 'fatal')) AS errors_detected, 0::BIGINT AS inferred_timestamps, (SELECT count(*) FROM ev) AS events_extracted, (SELECT count(*) FROM ev) AS groups_found, (SELECT count(*) FROM s) AS stories_generated")
+@query("run_stats", STORIES_SQL + " SELECT (SELECT count(*) FROM e) AS total_entries, (SELECT count(*) FROM e WHERE level IN ('error', 'fatal')) AS errors_detected, 0::BIGINT AS inferred_timestamps, (SELECT count(*) FROM ev) AS events_extracted, (SELECT count(*) FROM ev) AS groups_found, (SELECT count(*) FROM s) AS stories_generated, 0::BIGINT AS ai_calls_made, 0::DOUBLE AS estimated_cost")
 def run_stats(spark, sf_dir):
     return insights.run_stats(log(spark, sf_dir), user_events(spark, sf_dir), user_stories(spark, sf_dir).select("story_id"))
 
