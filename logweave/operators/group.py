@@ -257,12 +257,15 @@ def content_clusters(entries: DataFrame, threshold: float = 0.4, horizon_ms: int
     Entries with one keyword vector and no longer pause are chained by a window first; only the chains' ends
     meet across vectors, so a burst of equal lines costs a row each, not a pair each.
     """
-    order = Window.partitionBy("keywords").orderBy("ms", "seq")
-    k = keywords(entries).select("seq", "ms", F.sort_array("keywords").alias("keywords"))
-    cut = F.coalesce(F.col("ms") - F.lag("ms").over(order) > horizon_ms, F.lit(False)).cast("int")
-    chained = k.withColumn("__cut", cut).withColumn("__n", F.sum("__cut").over(order))
-    chains = chained.groupBy("keywords", "__n").agg(F.min("seq").alias("chain"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count("*").alias("n"))
-    member = chained.join(chains.select("keywords", "__n", "chain", "n"), ["keywords", "__n"]).select("seq", "chain", "n")
+    # entries of one vector in one bucket of the horizon are always chained, so a row a bucket is enough to find the chains
+    k = keywords(entries).select("seq", "ms", F.sort_array("keywords").alias("keywords"), F.floor(F.col("ms") / horizon_ms).alias("__t"))
+    buckets = k.groupBy("keywords", "__t").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("seq").alias("first"), F.count("*").alias("n"))
+    order = Window.partitionBy("keywords").orderBy("__t")
+    cut = F.coalesce(F.col("lo") - F.lag("hi").over(order) > horizon_ms, F.lit(False)).cast("int")
+    numbered = buckets.withColumn("__cut", cut).withColumn("__n", F.sum("__cut").over(order))
+    chains = numbered.groupBy("keywords", "__n").agg(F.min("first").alias("chain"), F.min("lo").alias("start_ms"), F.max("hi").alias("end_ms"), F.sum("n").alias("n"))
+    of_bucket = numbered.select("keywords", "__t", "__n").join(chains.select("keywords", "__n", "chain", "n"), ["keywords", "__n"])
+    member = k.join(of_bucket, ["keywords", "__t"]).select("seq", "chain", "n")
     lo, hi = F.floor(F.col("start_ms") / horizon_ms), F.floor(F.col("end_ms") / horizon_ms)
     left = chains.select(F.col("chain").alias("a"), F.col("start_ms").alias("a0"), F.col("end_ms").alias("a1"), F.col("keywords").alias("ak"), F.explode(F.sequence(lo, hi + 1)).alias("__b"))
     right = chains.select(F.col("chain").alias("b"), F.col("start_ms").alias("b0"), F.col("end_ms").alias("b1"), F.col("keywords").alias("bk"), F.explode(F.sequence(lo, hi + 1)).alias("__b"))
