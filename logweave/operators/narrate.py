@@ -64,6 +64,9 @@ def meta(entry: Column, name: str) -> Column:
     return F.try_element_at(entry["metadata"], F.lit(name))
 
 
+# fixed values: here and in the functions below, the patterns, titles and sentences of stories
+
+
 def failure_detail(texts: Column) -> Column:
     joined = F.array_join(texts, " ")
     provider = first_capture(texts, r"provider[=:\s]+(\w+)")

@@ -1,11 +1,12 @@
 """Text services, their cache, the command line's choice of one, and what an analysis tells of their use."""
 
 import argparse
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.plans import cli, providers
+from logweave.plans import cli, providers, render
 from logweave.plans.analyzer import Analyzer, Config
 
 
@@ -77,6 +78,16 @@ def test_analysis_counts_calls_and_unparsed_lines(spark):
     assert [r.raw for r in result.rejects.collect()] == ["no log line"]
 
 
+def test_reports_are_written_in_order(spark, tmp_path):
+    text = "\n".join(f'{{"level":"info","message":"login success","timestamp":"2024-05-0{9 - k}T10:00:00Z","requestId":"r-{k}"}}' for k in range(3))
+    result = Analyzer(spark).analyze(text)
+    for style, lines in (("timeline", 7), ("json", 4)):
+        render.write_report(result, f"{tmp_path}/{style}", style)
+        written = "".join(part.read_text() for part in sorted((tmp_path / style).glob("part-*"))).splitlines()
+        assert len(written) == lines and written[-1] == result.summary.first().summary
+    assert [json.loads(line)["timeRange"]["start"][:10] for line in written[:3]] == ["2024-05-07", "2024-05-08", "2024-05-09"]
+
+
 def test_json_records_of_any_shape(spark):
     result = Analyzer(spark).analyze_json([{"level": "error", "msg": "bare"}, {"message": 5, "time": 1714557600000, "req": {"id": "r9"}, "user": {"id": "u"}}, ["no", "object"]])
     got = sorted((r.message, r.level, r.request_id, r.user_id, r.ts_inferred) for r in result.entries.collect())
