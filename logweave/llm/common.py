@@ -54,15 +54,17 @@ class WordCache(dict):
         super().__init__()
         self.most, self.size = most, 0
 
-    def make_room(self, fresh: Collection[str], using: Iterable[str]) -> None:
-        """Before ``fresh`` words are added: where they do not fit, only those that are being used stay."""
+    def make_room(self, fresh: Collection[str], using: Iterable[str]) -> bool:
+        """Before ``fresh`` words are added: where they do not fit, only those that are being used stay; tells whether any went."""
         coming = sum(map(len, fresh)) * 6 + self.ENTRY * len(fresh)
-        if self.size + coming > self.most:
+        full = self.size + coming > self.most
+        if full:
             kept = {w: self[w] for w in using if w in self}
             self.size = self.size * len(kept) // max(1, len(self))
             self.clear()
             self.update(kept)
         self.size += coming
+        return full
 
 
 def staging_dir(spark: SparkSession) -> str:

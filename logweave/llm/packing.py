@@ -17,6 +17,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,14 @@ class SegmentTokenizer:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         known = self.known
         fresh = [t for t in texts if t not in known]
-        known.make_room(fresh, texts)
-        fresh = [t for t in texts if t not in known]
+        if known.make_room(fresh, texts):
+            fresh = [t for t in texts if t not in known]
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            for text, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[text] = array("I", got.ids).tobytes()
+            ids = [got.ids for got in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+            ends = list(accumulate(map(len, ids)))
+            known.update(zip(some, [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
         out = [known[t] for t in texts]
         for t in fresh:
             if len(t) > 64:
