@@ -17,7 +17,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from .common import WordCache, give_back, prepare
 from .segments import coded_segments, ragged_gather
 
 #: Bytes of words and their ids kept between batches.
-CACHE = 64 << 20
+CACHE = 160 << 20
 
 
 class SegmentTokenizer:
@@ -46,6 +45,12 @@ class SegmentTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of text that each id stands for: a character of a byte-level token is a byte, of an added one what it says.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.ones(self.tokenizer.get_vocab_size() + 1, dtype=np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        for i, added in self.tokenizer.get_added_tokens_decoder().items():
+            self.token_bytes[i] = len(added.content.encode())
         self.known: dict[str, bytes] = WordCache(CACHE)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
@@ -53,12 +58,17 @@ class SegmentTokenizer:
         fresh = [t for t in texts if t not in known]
         if known.make_room(fresh, texts):
             fresh = [t for t in texts if t not in known]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            ids = [got.ids for got in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
-            ends = list(accumulate(map(len, ids)))
-            known.update(zip(some, [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
+        # a blank in front keeps words apart in one long text, unless white space comes before it
+        apart = [t for t in fresh if t[:1] == " " and len(t) > 1 and not t[-1].isspace()]
+        for at in range(0, len(apart), 4096):
+            some = apart[at : at + 4096]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(t.encode()) for t in some])) + 1
+            flat = ids.tobytes()
+            known.update(zip(some, [flat[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+        alone = [t for t in fresh if t not in known]
+        for text, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else []):
+            known[text] = np.array(got.ids, dtype="<u4").tobytes()
         out = [known[t] for t in texts]
         for t in fresh:
             if len(t) > 64:
