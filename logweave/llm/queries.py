@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, hard_negatives, language_id, license_scan, ngram_join, packing, piece_codec, pivot_index, pseudonyms, site_templates, toxicity
+from . import cap_filters, hard_negatives, language_id, license_scan, ngram_join, packing, piece_codec, piecewise, pivot_index, pseudonyms, site_templates, toxicity
 from .common import table
 
 #: Key of the registered pseudonym query; a deployment passes its own secret.
@@ -66,6 +66,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op13_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_site_templates": op10_site_templates,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_piecewise": op13_piecewise,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
