@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, hard_negatives, language_id, license_scan, ngram_join, packing, piece_codec, piecewise, pivot_index, pseudonyms, site_templates, toxicity
+from . import cap_filters, hard_negatives, language_id, license_scan, ngram_join, packing, piece_codec, piecewise, pivot_index, prefix_trie, pseudonyms, site_templates, toxicity
 from .common import table
 
 #: Key of the registered pseudonym query; a deployment passes its own secret.
@@ -59,6 +59,11 @@ def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the beginning of the first of its hundred."""
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector; every seventh has its label moved on by one."""
     label = F.col("label").cast("bigint")
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_site_templates": op10_site_templates,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_piecewise": op13_piecewise,
 }
@@ -103,6 +109,19 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.d
 r AS (SELECT doc_id AS node, doc_id AS seen FROM k WHERE doc_id = class_id UNION SELECT p.b, r.seen FROM r JOIN p ON p.a = r.node),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
 SELECT doc_id, n AS n_shingles, component_id, class_id FROM k JOIN c ON c.node = k.class_id""",
+    "op11_prefix_trie": """WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, o.pos, role, text FROM c JOIN o ON o.conv_id = c.base AND o.pos <= h UNION ALL SELECT c.conv_id, o.pos, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, md5(length(role)::VARCHAR || ':' || role || text) AS key, length(text) AS size FROM r),
+p AS (SELECT conv_id, depth, size, md5(string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM t UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT conv_id, depth, size, node, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (SELECT node, any_value(parent) AS parent, depth, min(conv_id) AS first, count(*) AS members, any_value(size) AS size, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ends FROM m GROUP BY node, depth),
+k AS (SELECT parent, count(*) AS children FROM n WHERE depth > 0 GROUP BY parent),
+s AS (SELECT DISTINCT a.node AS top, b.node FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+z AS (SELECT top, sum((members - 1) * size) AS saved, count(*) FILTER (k.parent IS NULL) AS leaves FROM s JOIN n USING (node) LEFT JOIN k ON k.parent = n.node GROUP BY top)
+SELECT n.first AS conv_id, n.depth, u.first AS parent_conv_id, n.members AS n_convs, coalesce(children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n LEFT JOIN n u ON u.node = n.parent LEFT JOIN k ON k.parent = n.node JOIN z ON z.top = n.node""",
     "op12_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
