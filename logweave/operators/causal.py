@@ -1,8 +1,7 @@
 """Causal chains of events and stories built from them.
 
-Chains and merges are found set-based: pairs of events (stories) that satisfy a relation within its horizon meet by band
-joins, those that may overlap by joins over the whole span of the earlier, and connected components give the chains. The user part of chaining is a window expression, exact for
-events that have a user and no other tie.
+Chains and merged stories are ordered folds (``folds``) over blocks that no rule crosses. The relations between two events or two stories
+are operators of their own: pairs within a relation's horizon meet by band joins, those that may overlap by joins over the whole span of the earlier.
 """
 
 from __future__ import annotations
@@ -10,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has, in_order
-from ..plans.graph import connected_components, time_band_join, time_reach_join
+from ..functions.text import has, in_order, truthy
+from ..plans.graph import cut_lineage, time_band_join, time_reach_join
+from .folds import Chain, Merged, first_fit
 from .group import NOT_ENTITIES, looks_like_entity, metadata_user
 from .narrate import narrate_stories
 
@@ -101,10 +101,29 @@ def causal_pairs(events: DataFrame) -> DataFrame:
     return same_user.union(same_session).union(same_meta).union(shared).union(close).union(parts).distinct()
 
 
-def chain_events(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Events with the ``chain_id`` of their component (their own id if nothing ties them)."""
-    labels = connected_components(pairs)
-    return events.join(labels.select(F.col("node").alias("event_id"), F.col("component").alias("chain_id")), "event_id", "left").withColumn("chain_id", F.coalesce("chain_id", "event_id"))
+def tied_by(items: DataFrame, **keys: tuple[Column, int]) -> DataFrame:
+    """Rows ``(id, key, horizon_ms)``: what items can be tied by, arrays of values or single ones, each with its horizon."""
+    found = None
+    for name, (values, horizon) in keys.items():
+        part = items.select("id", F.explode(values).alias("v")).filter("v is not null").select("id", F.concat_ws(":", F.lit(name), "v").alias("key"), F.lit(horizon).cast("bigint").alias("horizon_ms"))
+        found = part if found is None else found.union(part)
+    return found
+
+
+def chain_events(events: DataFrame) -> DataFrame:
+    """Events with the ``chain_id`` of the chain that takes them (the id of its first event; their own id if none does)."""
+    tied = with_ties(events)
+    sessions = F.transform("entries", lambda e: F.coalesce(truthy(F.try_element_at(e["metadata"], F.lit("sessionId"))), truthy(F.try_element_at(e["metadata"], F.lit("session_id")))))
+    items = cut_lineage(
+        tied.select(
+            F.col("event_id").alias("id"), "start_ms", "end_ms", F.coalesce(truthy(F.col("user_id")), "meta_user").alias("user"), F.coalesce(truthy(F.col("session_id")), F.get(F.filter(sessions, lambda s: s.isNotNull()), F.lit(0))).alias("session"),
+            "meta_user", "entities", "components", (F.col("group_type") == "request").alias("request"), "group_key", "action_types", "outcome", "escalates",
+        )
+    )
+    nobody = F.array(F.when(F.col("user").isNull(), F.lit("any")))
+    ties = tied_by(items, user=(F.array("user"), 300_000), session=(F.array("session"), 300_000), meta=(F.array("meta_user"), 60_000), entity=(F.col("entities"), 60_000), nobody=(nobody, 5000))
+    chains = first_fit(items, ties, Chain, items.columns).select(F.col("id").alias("event_id"), F.col("chain").alias("chain_id"))
+    return events.join(chains, "event_id", "left").withColumn("chain_id", F.coalesce("chain_id", "event_id"))
 
 
 def chain_outcome(last: Column, failures: Column, successes: Column, partials: Column, n: Column, ends_well: Column) -> Column:
@@ -128,29 +147,35 @@ def severity(outcome: Column, retried: Column, failures: Column) -> Column:
     return F.when(outcome == "failure", F.when(retried | (failures > 1), "critical").otherwise("warning")).when(outcome == "partial", "warning").otherwise("info")
 
 
-def build_stories(chained: DataFrame, key: str = "chain_id") -> DataFrame:
-    """One row per chain: span, outcome, severity, actors, services, ordered entries and actions, and the texts."""
-    row = F.struct("start_ms", "group_key", "event_id", "end_ms", "outcome", "user_id", "dependencies", "entries", "actions")
+def gather_events(chained: DataFrame, key: str) -> DataFrame:
+    """One row per chain: its events in order, and what follows from them as they stand."""
+    place = F.col("place") if "place" in chained.columns else F.lit(0).cast("bigint")
+    row = F.struct("start_ms", "group_key", "event_id", "end_ms", "outcome", "user_id", "dependencies", "entries", "actions", place.alias("place"))
     ordered = in_order(F.collect_list(row), "start_ms", "group_key")
     count = lambda o: F.count_if(F.col("outcome") == o)
-    base = chained.groupBy(F.col(key).alias("story_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("max_end_ms"), ordered.alias("events"), F.count("*").alias("n_events"), count("failure").alias("failures"), count("success").alias("successes"), count("partial").alias("partials"))
+    base = chained.groupBy(F.col(key).alias("story_id")).agg(F.min("start_ms").alias("start_ms"), ordered.alias("events"), F.count("*").alias("n_events"), count("failure").alias("failures"), count("success").alias("successes"), count("partial").alias("partials"))
     last = F.element_at("events", -1)
-    base = base.withColumns(
+    return base.withColumns(
         {
             "end_ms": last["end_ms"], "entries": F.flatten(F.transform("events", lambda e: e["entries"])), "actions": F.flatten(F.transform("events", lambda e: e["actions"])),
             "actors": F.array_distinct(F.filter(F.transform("events", lambda e: e["user_id"]), lambda u: u.isNotNull())), "services": F.array_distinct(F.flatten(F.transform("events", lambda e: e["dependencies"]))),
             "event_ids": F.transform("events", lambda e: e["event_id"]), "first_user": F.get("events", F.lit(0))["user_id"], "last_outcome": last["outcome"], "last_entry": F.element_at(last["entries"], -1),
+            "causal_nodes": F.transform(in_order(F.col("events"), "place", "start_ms", "group_key"), lambda e: F.struct(e["event_id"].alias("id"), F.get(e["actions"], F.lit(0))["type"].alias("type"), e["outcome"].alias("outcome"))),
+            "retried": F.exists(F.flatten(F.transform("events", lambda e: e["actions"])), lambda a: a["status"] == "retried"),
         }
     )
+
+
+def build_stories(chained: DataFrame, key: str = "chain_id") -> DataFrame:
+    """One row per chain: span, outcome, severity, actors, services, ordered entries and actions, and the texts."""
+    base = gather_events(chained, key)
     ends_well = has(F.col("last_entry.message"), r"\b(success|succeeded|completed|ok|done|delivered|sent)\b") | F.coalesce(F.try_element_at("last_entry.metadata", F.lit("status")).rlike("(?i)^(ok|success|done|complete|completed)$"), F.lit(False))
-    retried = F.exists("actions", lambda a: a["status"] == "retried")
     base = base.withColumn("outcome", chain_outcome(F.col("last_outcome"), F.col("failures"), F.col("successes"), F.col("partials"), F.col("n_events"), ends_well))
     told = narrate_stories(base)
     overridden = F.when((F.col("title") == "Worker Heartbeat – Errors Detected") & (F.col("outcome") != "failure"), "partial").otherwise(F.col("outcome"))
     return (
         told.withColumn("outcome", overridden)
-        .withColumns({"severity": severity(F.col("outcome"), retried, F.col("failures")), "duration_ms": F.col("end_ms") - F.col("start_ms"), "retried": retried, "relation": relation(F.col("failures"), F.col("actors"))})
-        .withColumn("causal_nodes", F.transform("events", lambda e: F.struct(e["event_id"].alias("id"), F.get(e["actions"], F.lit(0))["type"].alias("type"), e["outcome"].alias("outcome"))))
+        .withColumns({"severity": severity(F.col("outcome"), F.col("retried"), F.col("failures")), "duration_ms": F.col("end_ms") - F.col("start_ms"), "relation": relation(F.col("failures"), F.col("actors"))})
         .drop("last_outcome", "last_entry", "first_user")
     )
 
@@ -195,7 +220,28 @@ def story_merges(stories: DataFrame, horizon_ms: int = 900_000) -> DataFrame:
     )
 
 
+def story_folds(stories: DataFrame) -> DataFrame:
+    """``(story_id, into, place, outcome, severity)`` of stories that can be one with others; the last two as the merged story has them by then."""
+    marked = story_marks(stories).withColumnRenamed("story_id", "id")
+    items = cut_lineage(marked.select("id", "start_ms", "end_ms", "actors", "services", "families", "pool", "related", "outcome", "severity"))
+    alone = F.when(F.size("actors") == 0, F.col("services"))
+    incident = F.array(F.when(F.col("pool") | F.col("related"), F.lit("any")))
+    ties = tied_by(items, actor=(F.col("actors"), 120_000), service=(alone, 120_000), family=(F.col("families"), 120_000), incident=(incident, 900_000))
+    return first_fit(items, ties, Merged, items.columns).withColumnsRenamed({"id": "story_id", "chain": "into"})
+
+
 def merge_stories(chained: DataFrame, stories: DataFrame) -> DataFrame:
-    """Stories rebuilt with those that are one put together; starts and ends span all parts."""
-    labels = connected_components(story_merges(stories)).select(F.col("node").alias("chain_id"), F.col("component").alias("story"))
-    return build_stories(chained.join(labels, "chain_id", "left").withColumn("story", F.coalesce("story", "chain_id")), "story").withColumn("end_ms", F.col("max_end_ms"))
+    """Stories with those that are one put together, in order: the first one's id, the span of all, the first cause, impact and advice that
+    any of them has, the worst severity, outcomes added up one by one, and texts told anew of all events.
+    """
+    folds = story_folds(stories)
+    parts = cut_lineage(folds.join(folds.groupBy("into").agg(F.count("*").alias("n")).filter("n > 1").select("into"), "into"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+    told = stories.select("story_id", "end_ms", "root_cause", "impact", "recommendation").join(parts, "story_id")
+    verdict = told.groupBy(F.col("into").alias("story_id")).agg(F.max_by("outcome", "place").alias("outcome"), F.max_by("severity", "place").alias("severity"), F.max("end_ms").alias("end_ms"), first("root_cause"), first("impact"), first("recommendation"))
+    placed = chained.join(parts.select(F.col("story_id").alias("chain_id"), "into", "place"), "chain_id")
+    base = gather_events(placed, "into").drop("end_ms", "last_outcome", "last_entry").join(verdict.select("story_id", "outcome", "end_ms"), "story_id")
+    anew = narrate_stories(base).drop("first_user", "root_cause", "impact", "recommendation").join(verdict.drop("outcome", "end_ms"), "story_id")
+    anew = anew.withColumns({"duration_ms": F.col("end_ms") - F.col("start_ms"), "relation": F.when(F.col("failures") > 0, "temporal_cause").otherwise("same_user_flow")})
+    kept = stories.join(parts.select("story_id"), "story_id", "left_anti")
+    return kept.unionByName(anew.select(kept.columns))

@@ -98,7 +98,7 @@ class Analyzer:
         # what the query's time or several readers depend on is fixed once
         grouped = cut_lineage(group_entries(cut_lineage(entries), self.config.grouping))
         built = cut_lineage(events.build_events(grouped))
-        chained = cut_lineage(causal.chain_events(built, causal.causal_pairs(built)))
+        chained = cut_lineage(causal.chain_events(built))
         stories = causal.merge_stories(chained, cut_lineage(causal.build_stories(chained)))
         if self.config.provider:
             stories = providers.enhance(stories, self.config.provider)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder: a lost executor costs no recomputation of what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """checkpoint() into the shared folder: a lost executor costs no recomputation of what came before.
+
+    Without constraints: a checkpoint keeps those of its plan, and over the rounds of a loop they multiply.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, before)
 
 
 def time_band_join(left: DataFrame, right: DataFrame, left_ms: str, right_ms: str, horizon_ms: int, keys: list[str], where: Column, how: str = "inner") -> DataFrame:
@@ -58,23 +68,69 @@ def time_reach_join(left: DataFrame, right: DataFrame, left_start: str, left_end
     return reach.join(at, [*keys, "__w", "__b"]).filter(F.col(right_ms).between(F.col(left_start), ends)).filter(where).drop("__w", "__b")
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows ``(node, component)`` for edges ``(a, b)``; component is the smallest node.
 
-    Every round, a node's label falls to the smallest label among its neighbours and then to that label's own label, so labels
-    travel in leaps. Only aggregates and joins; stops when no label changes.
+    Alternates two star steps: the larger neighbours of a node, then its smaller ones, are tied to the smallest node around it. What is left in
+    the end is a star a component, after a number of rounds that grows with the logarithm of its size. Only aggregates and joins.
+    """
+    current = cut_lineage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct())
+    loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    before = None
+    for _ in range(rounds):
+        if current.isEmpty():
+            break
+        both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        floor = larger.groupBy("hi").agg(F.min("lo").alias("m"))
+        pairs = larger.join(floor, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
+        current = cut_lineage(pairs.select("e.hi", "e.lo").filter("hi <> lo").distinct())
+        now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    stars = current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return stars.union(current.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).union(loops.join(stars, "node", "left_anti")).distinct()
+
+
+def tied_blocks(items: DataFrame, ties: DataFrame, rounds: int = 50) -> DataFrame:
+    """Cut items into blocks that no tie crosses: rows ``(id, block)`` of the items that are in a block with others.
+
+    ``items(id, start_ms, end_ms)`` are spans, ``ties(id, key, horizon_ms)`` what they can be tied by. Two blocks of the result that have a
+    key in common are further apart than its horizon, each taken from its first start to its last end. So an ordered rule that ties an
+    item only to what shares a key with it, and only near the span that this has grown to, works on each block by itself.
+
+    Spans of one key in one stretch of its horizon always belong together, so a sweep along a key (a running maximum of the ends) has a row
+    a stretch, and every item is linked once a key: to the first of its stretch, and stretches to the first of their island. The blocks
+    then are spans with keys themselves, and the sweep is repeated until nothing is linked; that takes as many rounds as ties lead from key to key.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    if both.isEmpty():  # nothing is tied to anything
-        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    keyed = cut_lineage(ties.filter("key is not null").distinct().join(items, "id").select("key", "horizon_ms", F.col("id").alias("block"), "start_ms", "end_ms"))
+    blocks = None
     for _ in range(rounds):
-        least = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(least.select(F.col("a").alias("node"), "m"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        stepped = cut_lineage(lower.join(hop, "component", "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component")))
-        labels = stepped.select("node", "component")
-        if stepped.filter("old <> component").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+        stretch = F.floor(F.col("start_ms") / F.col("horizon_ms"))
+        here = keyed.withColumn("stretch", stretch)
+        rows = here.groupBy("key", "horizon_ms", "stretch").agg(F.min("block").alias("rep"), F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"))
+        along = Window.partitionBy("key", "horizon_ms").orderBy("stretch")
+        reach = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        islands = rows.withColumn("cut", F.coalesce(F.col("lo") - reach > F.col("horizon_ms"), F.lit(False)).cast("int")).withColumn("island", F.sum("cut").over(along))
+        heads = islands.groupBy("key", "horizon_ms", "island").agg(F.min_by("rep", "stretch").alias("head"))
+        near = islands.join(heads, ["key", "horizon_ms", "island"]).select("key", "horizon_ms", "stretch", "rep", "head")
+        of_items = here.join(rows.select("key", "horizon_ms", "stretch", "rep"), ["key", "horizon_ms", "stretch"]).select(F.col("block").alias("a"), F.col("rep").alias("b"))
+        links = cut_lineage(of_items.union(near.select(F.col("rep").alias("a"), F.col("head").alias("b"))).filter("a <> b").distinct())
+        if links.isEmpty():
+            break
+        labels = connected_components(links).select(F.col("node").alias("block"), "component")
+        grown = keyed.join(labels, "block", "left").withColumn("block", F.coalesce("component", "block")).drop("component")
+        spans = grown.groupBy("block").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+        keyed = cut_lineage(grown.select("block", "key", "horizon_ms").distinct().join(spans, "block").select("key", "horizon_ms", "block", "start_ms", "end_ms"))
+        if blocks is None:
+            blocks = labels.select(F.col("block").alias("id"), F.col("component").alias("block"))
+        else:
+            blocks = blocks.join(labels, "block", "full_outer").select(F.coalesce("id", "block").alias("id"), F.coalesce("component", "block").alias("block"))
+        blocks = cut_lineage(blocks)
+    else:
+        raise RuntimeError("blocks did not settle")
+    return blocks if blocks is not None else keyed.select(F.col("block").alias("id"), "block").limit(0)

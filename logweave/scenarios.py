@@ -125,9 +125,19 @@ told_entries AS (SELECT event_id, t.group_key, event_id * 8 + k AS seq, t.start_
 # --- rows that follow from one another; the texts are SQL of both dialects, over the table ``events``
 
 CLUSTER = "CAST(floor(event_id / 4) AS BIGINT)"
-FLOW_START = f"({CLUSTER} * 400000 + (event_id % 4) * 20000)"
-#: Every fourth row lasts 50 s, so that the next two start inside of it.
-FLOW_END = f"({FLOW_START} + CASE WHEN event_id % 4 = 0 THEN 50000 ELSE 1000 END)"
+#: Milliseconds between the starts of two fours of rows: beyond all that ties events; and beyond all that ties stories.
+APART, FAR_APART = 400_000, 4_000_000
+
+
+def flow_start(apart: int) -> str:
+    return f"({CLUSTER} * {apart} + (event_id % 4) * 20000)"
+
+
+def flow_end(apart: int) -> str:
+    """Every fourth row lasts 50 s, so that the next two start inside of it."""
+    return f"({flow_start(apart)} + CASE WHEN event_id % 4 = 0 THEN 50000 ELSE 1000 END)"
+
+
 FLOW_KIND = "CASE WHEN event_id % 11 = 0 THEN 'pool' WHEN event_id % 11 = 5 THEN 'slow' WHEN event_id % 6 = 0 THEN 'pay' WHEN event_id % 6 = 1 THEN 'ticket' WHEN event_id % 13 = 4 THEN 'scale' ELSE 'get' END"
 FLOW_MESSAGE = "CASE kind WHEN 'pool' THEN 'connection pool exhausted' WHEN 'slow' THEN 'p99 latency rising' WHEN 'pay' THEN 'POST /pay timeout' WHEN 'ticket' THEN 'support ticket opened' WHEN 'scale' THEN 'scaling out instance 4' ELSE 'GET /items 200' END"
 FLOW_LEVEL = "CASE WHEN kind IN ('pay', 'pool') THEN 'error' ELSE 'info' END"
@@ -144,19 +154,19 @@ def flow_columns(text: str) -> dict[str, str]:
     }
 
 
-def flow_entries(events: DataFrame) -> DataFrame:
+def flow_entries(events: DataFrame, apart: int = APART) -> DataFrame:
     """Entries of the flows with the group keys that they are given: one at the start, and one at the end of the events that last."""
     given = {k: F.expr(v) for k, v in flow_columns("string").items()}
-    rows = events.select("event_id", F.expr(FLOW_START).alias("start"), F.expr(FLOW_END).alias("finish"), F.expr(FLOW_KIND).alias("kind")).withColumns(given).withColumn("message", F.expr(FLOW_MESSAGE)).withColumn("level", F.expr(FLOW_LEVEL))
+    rows = events.select("event_id", F.expr(flow_start(apart)).alias("start"), F.expr(flow_end(apart)).alias("finish"), F.expr(FLOW_KIND).alias("kind")).withColumns(given).withColumn("message", F.expr(FLOW_MESSAGE)).withColumn("level", F.expr(FLOW_LEVEL))
     named = F.map_filter(F.create_map(F.lit("orderId"), F.col("order_id"), F.lit("userId"), F.col("meta_user")), lambda _, v: v.isNotNull())
     placed = rows.withColumn("metadata", named).select("*", F.explode(F.when(F.col("event_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
     made = placed.select((F.col("event_id") * 2 + F.col("k")).alias("seq"), F.timestamp_millis(F.when(F.col("k") == 0, F.col("start")).otherwise(F.col("finish"))).alias("ts"), "level", "message", "metadata", F.col("component").alias("source"), "user_id", "session_id", "group_key")
     return as_entries(made).join(made.select("seq", "group_key"), "seq")
 
 
-def flows_sql() -> str:
+def flows_sql(apart: int = APART) -> str:
     """DuckDB: ``flow`` holds a row an event."""
     given = ", ".join(f"{v} AS {k}" for k, v in flow_columns("VARCHAR").items())
-    return f"""flow0 AS (SELECT event_id, {FLOW_START} AS start_ms, CASE WHEN event_id % 4 = 0 THEN {FLOW_END} ELSE {FLOW_START} END AS end_ms, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS n_entries, {FLOW_KIND} AS kind, {given} FROM events),
+    return f"""flow0 AS (SELECT event_id, {flow_start(apart)} AS start_ms, CASE WHEN event_id % 4 = 0 THEN {flow_end(apart)} ELSE {flow_start(apart)} END AS end_ms, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS n_entries, {FLOW_KIND} AS kind, {given} FROM events),
 flow AS (SELECT *, {FLOW_REQUEST} AS request, kind IN ('pay', 'pool') AS failed, CASE WHEN kind IN ('pay', 'get') THEN 'p' || n_entries ELSE '' END AS acts, kind = 'ticket' AS escalates, kind = 'pool' AS pool, kind IN ('slow', 'scale') AS related, kind = 'scale' AS scales,
   CASE kind WHEN 'pay' THEN '/pay' WHEN 'get' THEN '/items' END AS service FROM flow0)"""

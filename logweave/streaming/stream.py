@@ -35,7 +35,7 @@ def story_signature(entries) -> F.Column:
 def stories_of(entries: DataFrame, config: Grouping) -> DataFrame:
     grouped = cut_lineage(group_entries(cut_lineage(entries), config))
     built = cut_lineage(events.build_events(grouped))
-    return causal.build_stories(cut_lineage(causal.chain_events(built, causal.causal_pairs(built))))
+    return causal.build_stories(cut_lineage(causal.chain_events(built)))
 
 
 class StoryStream:

@@ -30,8 +30,8 @@ def told_stories(spark, sf_dir) -> DataFrame:
     return causal.build_stories(told_events(spark, sf_dir).withColumn("chain_id", F.col("group_key")))
 
 
-def flow_events(spark, sf_dir) -> DataFrame:
-    return events.build_events(scenarios.flow_entries(table(spark, sf_dir, "events")))
+def flow_events(spark, sf_dir, apart: int = scenarios.APART) -> DataFrame:
+    return events.build_events(scenarios.flow_entries(table(spark, sf_dir, "events"), apart))
 
 
 def flow_stories(spark, sf_dir) -> DataFrame:
@@ -152,6 +152,55 @@ def story_merges(spark, sf_dir):
     return causal.story_merges(flow_stories(spark, sf_dir))
 
 
+FOURS = f""", fours AS (SELECT {scenarios.CLUSTER} AS cluster, list({{'start': start_ms, 'finish': end_ms, 'usr': coalesce(user_id, meta_user), 'actor': user_id, 'session': session_id, 'meta': meta_user, 'entity': order_id, 'component': component, 'request': request, 'gk': group_key, 'acts': acts,
+  'failed': failed, 'escalates': escalates, 'service': service, 'pool': pool, 'related': related, 'scales': scales}} ORDER BY start_ms) AS ev FROM flow GROUP BY 1), s1 AS (SELECT *, [1] AS ks FROM fours)"""
+
+
+def _one_by_one(takes) -> str:
+    """The rule of a fold told row by row: each of the four joins the first chain, by its first row, that takes it as it is by then."""
+    steps = ""
+    for p in (2, 3, 4):
+        some = lambda what, c: f"len(list_filter(range(1, least({p}, len(ev) + 1)), lambda x: ks[x] = {c} AND {what})) > 0"  # noqa: B023, E731
+        tried = " ".join(f"WHEN ks[{c}] = {c} AND coalesce({takes(f'ev[{c}]', f'ev[list_max(list_filter(range(1, {p}), lambda x: ks[x] = {c}))]', f'ev[{p}]', lambda what, c=c: some(what, c))}, FALSE) THEN {c}" for c in range(1, p))
+        steps += f", s{p} AS (SELECT cluster, ev, CASE WHEN len(ev) < {p} THEN ks ELSE list_append(ks, CASE {tried} ELSE {p} END) END AS ks FROM s{p - 1})"
+    return steps + ", ends AS (SELECT unnest(ev) AS e, ev[unnest(ks)] AS f FROM s4)"
+
+
+def _follows(first: str, last: str, new: str, some) -> str:
+    gap = f"({new}.start - {last}.finish)"
+    one = lambda what: f"coalesce({first}.{what}, {last}.{what})"
+    mentions = f"coalesce({some(f'ev[x].entity = {new}.entity')}, FALSE)"
+    same = f"coalesce({one('usr')} = {new}.usr, FALSE)"
+    return f"""(({same} AND ({gap} BETWEEN -1000 AND 119999 OR {gap} <= 5000 OR ({gap} BETWEEN 0 AND 299999 AND {last}.failed AND ({last}.acts = {new}.acts OR {new}.escalates)))) OR coalesce({one('session')} = {new}.session AND {gap} BETWEEN -1000 AND 299999, FALSE)
+  OR ({gap} BETWEEN 0 AND 59999 AND ({mentions} OR coalesce({one('meta')} = {new}.meta, FALSE))) OR ({gap} <= 5000 AND {new}.usr IS NULL AND CASE WHEN {one('usr')} IS NOT NULL OR ({first}.request AND NOT {new}.request) THEN {mentions} WHEN {first}.request THEN FALSE ELSE {gap} <= 3000 OR coalesce({some(f'ev[x].component = {new}.component')}, FALSE) END))"""
+
+
+@query("event_chains", FLOWS + FOURS + _one_by_one(_follows) + " SELECT e.gk AS group_key, f.gk AS chain_key FROM ends")
+def event_chains(spark, sf_dir):
+    """Every event with the first one of the chain that takes it."""
+    chained = cut_lineage(causal.chain_events(cut_lineage(flow_events(spark, sf_dir))))
+    first = chained.select(F.col("event_id").alias("chain_id"), F.col("group_key").alias("chain_key"))
+    return chained.join(first, "chain_id").select("group_key", "chain_key")
+
+
+def _belongs(first: str, last: str, new: str, some) -> str:
+    finish = "list_max(list_transform(list_filter(range(1, len(ks) + 1), lambda x: ks[x] = ks[list_position(ev, {0})]), lambda x: ev[x].finish))".format(first)
+    gap = f"({new}.start - {finish})"
+    people, nobody = f"coalesce({some(f'ev[x].actor = {new}.actor')}, FALSE)", f"({new}.actor IS NULL AND NOT {some('ev[x].actor IS NOT NULL')})"
+    return f"""(({gap} BETWEEN 0 AND 900000 AND (({some('ev[x].pool')} AND ({new}.related OR {new}.pool)) OR ({new}.pool AND {some('ev[x].related')}))) OR ({gap} BETWEEN 0 AND 120000 AND {new}.scales AND {some('ev[x].scales')})
+  OR ({gap} <= 120000 AND ({people} OR ({nobody} AND ({new}.finish <= {finish} OR {new}.start = {first}.start OR {gap} BETWEEN 1 AND 30000) AND {some(f'ev[x].service = {new}.service')}))))"""
+
+
+@query("merged_stories", f"WITH {scenarios.flows_sql(scenarios.FAR_APART)}" + FOURS + _one_by_one(_belongs) + """ SELECT f.gk AS story_id, count(*) AS n_events, min(e.start) AS start_ms, max(e.finish) AS end_ms,
+  CASE WHEN bool_and(e.failed) THEN 'failure' WHEN bool_or(e.failed) THEN 'partial' ELSE 'success' END AS outcome, CASE WHEN bool_or(e.failed) THEN 'warning' ELSE 'info' END AS severity,
+  CASE WHEN count(*) > 1 THEN CASE WHEN bool_or(e.failed) THEN 'temporal_cause' ELSE 'same_user_flow' END WHEN bool_or(e.failed) THEN 'temporal_cause' WHEN any_value(f.actor) IS NOT NULL THEN 'same_user_flow' ELSE 'same_request' END AS relation FROM ends GROUP BY f.gk""")
+def merged_stories(spark, sf_dir):
+    """Stories of an event each, put together where they are one."""
+    chained = cut_lineage(flow_events(spark, sf_dir, scenarios.FAR_APART).withColumn("chain_id", F.col("group_key")))
+    merged = causal.merge_stories(chained, cut_lineage(causal.build_stories(chained)))
+    return merged.select("story_id", "n_events", "start_ms", "end_ms", "outcome", "severity", "relation")
+
+
 @query("entity_references", "SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'A123' WHEN 1 THEN 'B9,abc-77' WHEN 2 THEN '' ELSE 'job-email-1' END AS entities, CASE event_id % 4 WHEN 0 THEN 'm1' WHEN 1 THEN 'n2' WHEN 2 THEN 'o3' END AS metadata_user FROM events")
 def entity_references(spark, sf_dir):
     made = """CASE event_id % 4 WHEN 0 THEN map('orderId', 'A123', 'userId', 'm1') WHEN 1 THEN map('ref', 'abc-77', 'cart', '{"cartId":"B9","n":5}', 'user', '{"id":"n2"}')
