@@ -309,24 +309,20 @@ def split_by_gap_6h(spark, sf_dir):
 
 
 def time_sql(broken: str) -> str:
-    return f"""WITH {E_SQL}, x AS (SELECT *, ms // 86400000 AS day FROM e), y AS (SELECT *, ms - lag(ms) OVER w AS gap, lag(event_type) OVER w AS before FROM x WINDOW w AS (PARTITION BY day ORDER BY ms, seq)),
-z AS (SELECT *, sum(CASE WHEN gap > 5000 {broken} THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS no FROM y)
-SELECT 'time:' || day || ':' || CAST(no AS BIGINT) AS group_key, count(*) AS n, min(ms) AS start_ms, max(ms) AS end_ms FROM z GROUP BY 1"""
-
-
-def by_day(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("day", F.floor(F.col("ms") / 86_400_000))
+    return f"""WITH {E_SQL}, y AS (SELECT *, ms - lag(ms) OVER w AS gap, lag(event_type) OVER w AS before FROM e WINDOW w AS (ORDER BY ms, seq)),
+z AS (SELECT *, sum(CASE WHEN gap > 5000 {broken} THEN 1 ELSE 0 END) OVER (ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS no FROM y)
+SELECT 'time:' || CAST(no AS BIGINT) AS group_key, count(*) AS n, min(ms) AS start_ms, max(ms) AS end_ms FROM z GROUP BY 1"""
 
 
 @query("group_by_time", time_sql(""))
 def group_by_time(spark, sf_dir):
-    return bounds(group.group_by_time(by_day(log(spark, sf_dir)), 5000, ("day",)))
+    return bounds(group.group_by_time(log(spark, sf_dir), 5000))
 
 
 @query("group_by_time_component_break", time_sql("OR (event_type <> before AND gap > 2000)"))
 def group_by_time_component_break(spark, sf_dir):
     entries = log(spark, sf_dir).withColumn("source", F.col("metadata")["event_type"])
-    return bounds(group.group_by_time(by_day(entries), 5000, ("day",)))
+    return bounds(group.group_by_time(entries, 5000))
 
 
 @query("entity_ids", f"""WITH {E_SQL} SELECT seq, CASE seq % 3 WHEN 0 THEN 'ord-' || user_id WHEN 1 THEN '507f1f77bcf86cd79943' || lpad(CAST(seq % 10000 AS VARCHAR), 4, '0') ELSE '' END AS entities FROM e""")

@@ -236,6 +236,8 @@ def merge_stories(chained: DataFrame, stories: DataFrame) -> DataFrame:
     """
     folds = story_folds(stories)
     parts = cut_lineage(folds.join(folds.groupBy("into").agg(F.count("*").alias("n")).filter("n > 1").select("into"), "into"))
+    if parts.isEmpty():
+        return stories
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
     told = stories.select("story_id", "end_ms", "root_cause", "impact", "recommendation").join(parts, "story_id")
     verdict = told.groupBy(F.col("into").alias("story_id")).agg(F.max_by("outcome", "place").alias("outcome"), F.max_by("severity", "place").alias("severity"), F.max("end_ms").alias("end_ms"), first("root_cause"), first("impact"), first("recommendation"))

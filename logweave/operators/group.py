@@ -1,8 +1,8 @@
 """Grouping of log entries: priority keys, time gaps, absorption, content clusters, shared entities.
 
-The key and gap operators are window expressions. Operators that are ordered folds by nature (absorption, clustering,
-entity merge) are set-based here: candidates meet by band joins, each takes its best match once, and transitive
-merges are connected components, so dense logs stay distributed.
+Cuts at pauses put a row a stretch of time in order instead of all rows; the order over a whole log is scanned slab by slab, and what
+borders carry over is a row a slab. Clustering and the merge by entities are ordered folds (``folds``) over islands of time and over
+components of shared entities. Absorption is set-based: candidates meet by band joins, and each entry takes its best match once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has, js, truthy
-from ..plans.graph import connected_components, cut_lineage, time_band_join, time_reach_join
+from ..plans.graph import connected_components, cut_lineage, in_slabs, time_band_join, time_islands, time_reach_join
+from .folds import fold_entities, fold_lines
 
 # fixed values: correlation fields in order of priority, with the columns and metadata aliases that hold them
 FIELDS: dict[str, tuple[str | None, tuple[str, ...]]] = {
@@ -71,41 +72,55 @@ def assign_keys(entries: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 def merge_same_value(keyed: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Groups of one value under several fields become one, under the field of highest priority."""
-    first = F.min("id_field").over(Window.partitionBy("id_value"))
+    first = keyed.filter("id_value is not null").groupBy("id_value").agg(F.min("id_field").alias("__first"))
     names = F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")
-    merged = keyed.withColumn("id_field", F.when(F.col("id_value").isNotNull(), first))
-    return merged.withColumn("group_key", F.when(F.col("id_value").isNotNull(), F.concat_ws(":", F.get(names, F.col("id_field")), "id_value")))
+    merged = keyed.join(first, "id_value", "left").withColumn("id_field", F.col("__first")).drop("__first")
+    return merged.withColumn("group_key", F.when(F.col("id_value").isNotNull(), F.concat_ws(":", F.get(names, F.col("id_field")), "id_value"))).select(keyed.columns)
 
 
 def split_by_gap(keyed: DataFrame, gap_ms: int = 300_000, job_gap_ms: int = 900_000) -> DataFrame:
-    """Cut each group where the pause is longer than the gap; parts get a number if there are several."""
-    order = Window.partitionBy("group_key").orderBy("ms", "seq")
+    """Cut each group where the pause is longer than the gap; parts get a number if there are several.
+
+    Within a stretch as long as the gap there is no such pause, so each group's stretches are put in order, not its rows.
+    """
     limit = F.when(F.col("group_key").startswith("jobId:"), job_gap_ms).otherwise(gap_ms)
-    cut = F.coalesce(F.col("ms") - F.lag("ms").over(order) > limit, F.lit(False)).cast("int")
-    numbered = keyed.withColumn("__cut", cut).withColumn("__part", F.sum("__cut").over(order))
-    several = F.max("__part").over(Window.partitionBy("group_key")) > 0
-    name = F.when(several, F.concat_ws(":", "group_key", F.col("__part").cast("string"))).otherwise(F.col("group_key"))
-    return numbered.withColumn("group_key", F.when(F.col("group_key").isNotNull(), name)).drop("__cut", "__part")
+    placed = keyed.withColumn("__stretch", F.floor(F.col("ms") / limit))
+    rows = placed.filter("group_key is not null").groupBy("group_key", "__stretch").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    along = Window.partitionBy("group_key").orderBy("__stretch")
+    cut = F.coalesce(F.col("lo") - F.lag("hi").over(along) > limit, F.lit(False)).cast("int")
+    parts = rows.withColumn("__cut", cut).withColumn("__part", F.sum("__cut").over(along)).withColumn("__several", F.max("__part").over(Window.partitionBy("group_key")) > 0)
+    named = parts.select("group_key", "__stretch", F.when(F.col("__several"), F.concat_ws(":", "group_key", F.col("__part").cast("string"))).otherwise(F.col("group_key")).alias("__name"))
+    return placed.join(named, ["group_key", "__stretch"], "left").withColumn("group_key", F.col("__name")).select(keyed.columns)
 
 
 def component() -> Column:
     return F.coalesce("source", F.try_element_at("metadata", F.lit("component")), F.try_element_at("metadata", F.lit("service")))
 
 
-def group_by_time(entries: DataFrame, window_ms: int = 5000, partition: tuple[str, ...] = ()) -> DataFrame:
+def group_by_time(entries: DataFrame, window_ms: int = 5000) -> DataFrame:
     """Cut at pauses over the window, at a change of component after 2 s, and at a change of format after any pause.
 
-    One order over all entries is one window partition; ``partition`` columns (a day, a source) spread it.
+    The order over all entries is scanned in slabs: each counts its own cuts, and whether one is needed at a border and how many came
+    before follows from a row a slab.
     """
-    order = Window.partitionBy(*partition).orderBy("ms", "seq")
-    gap = F.col("ms") - F.lag("ms").over(order)
-    own = component()
-    marked = entries.withColumns({"__c": own}).withColumns({"__gap": gap, "__pc": F.lag("__c").over(order), "__pf": F.lag("format").over(order)})
-    moved = F.col("__c").isNotNull() & F.col("__pc").isNotNull() & (F.col("__c") != F.col("__pc")) & (F.col("__gap") > 2000)
-    other = F.col("format").isNotNull() & F.col("__pf").isNotNull() & (F.col("format") != F.col("__pf")) & (F.col("__gap") > 0)
-    cut = F.coalesce((F.col("__gap") > window_ms) | F.coalesce(moved, F.lit(False)) | F.coalesce(other, F.lit(False)), F.lit(False)).cast("int")
-    numbered = marked.withColumn("__cut", cut).withColumn("__n", F.sum("__cut").over(order))
-    return numbered.withColumn("group_key", F.concat_ws(":", F.lit("time"), *[F.col(p).cast("string") for p in partition], F.col("__n").cast("string"))).drop("__c", "__gap", "__pc", "__pf", "__cut", "__n")
+
+    def cut(gap: Column, was: Column, now: Column) -> Column:
+        moved = was["c"].isNotNull() & now["c"].isNotNull() & (was["c"] != now["c"]) & (gap > 2000)
+        other = was["f"].isNotNull() & now["f"].isNotNull() & (was["f"] != now["f"]) & (gap > 0)
+        return F.coalesce((gap > window_ms) | moved | other, F.lit(False)).cast("int")
+
+    here = F.struct(F.col("ms").alias("ms"), component().alias("c"), F.col("format").alias("f"))
+    slabs = in_slabs(entries.withColumn("__here", here), "ms", "seq")
+    order = Window.partitionBy("__slab").orderBy("ms", "seq")
+    marked = slabs.withColumn("__was", F.lag("__here").over(order))
+    numbered = marked.withColumn("__cut", cut(F.col("__here.ms") - F.col("__was.ms"), F.col("__was"), F.col("__here"))).withColumn("__n", F.sum("__cut").over(order))
+    place = F.struct("ms", "seq")
+    borders = numbered.groupBy("__slab").agg(F.min_by("__here", place).alias("first"), F.max_by("__here", place).alias("last"), F.sum("__cut").alias("cuts"))
+    along = Window.orderBy("__slab")  # a row a slab
+    before = borders.withColumn("was", F.lag("last").over(along)).withColumn("start", cut(F.col("first.ms") - F.col("was.ms"), F.col("was"), F.col("first")))
+    carried = before.withColumn("__before", F.sum(F.col("start") + F.col("cuts")).over(along) - F.col("cuts")).select("__slab", "__before")
+    placed = numbered.join(F.broadcast(carried), "__slab")
+    return placed.withColumn("group_key", F.concat_ws(":", F.lit("time"), (F.col("__before") + F.col("__n")).cast("string"))).drop("__slab", "__here", "__was", "__cut", "__n", "__before")
 
 
 def looks_like_entity(value: Column) -> Column:
@@ -251,45 +266,51 @@ def similar_pairs(entries: DataFrame, threshold: float = 0.4, horizon_ms: int =
     return met.withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def content_clusters(entries: DataFrame, threshold: float = 0.4, horizon_ms: int = 300_000) -> DataFrame:
-    """``(seq, cluster)`` of entries in a cluster of two or more.
+def content_clusters(entries: DataFrame, threshold: float = 0.4, stricter: float = 0.6, horizon_ms: int = 300_000) -> DataFrame:
+    """``(seq, cluster)`` of entries in a cluster of two or more; a cluster has the number of its first entry.
 
-    Entries with one keyword vector and no longer pause are chained by a window first; only the chains' ends
-    meet across vectors, so a burst of equal lines costs a row each, not a pair each.
+    In order of time, an entry joins the cluster whose keywords, those of all its entries, are the most similar to its own, the first of
+    equal ones; it begins another where that one is not similar enough (``stricter`` for an entry with a component and a cluster without), or
+    was last joined longer ago than the horizon. Nothing joins across a pause of that length, so islands of time are folded apart.
     """
-    # entries of one vector in one bucket of the horizon are always chained, so a row a bucket is enough to find the chains
-    k = keywords(entries).select("seq", "ms", F.sort_array("keywords").alias("keywords"), F.floor(F.col("ms") / horizon_ms).alias("__t"))
-    buckets = k.groupBy("keywords", "__t").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("seq").alias("first"), F.count("*").alias("n"))
-    order = Window.partitionBy("keywords").orderBy("__t")
-    cut = F.coalesce(F.col("lo") - F.lag("hi").over(order) > horizon_ms, F.lit(False)).cast("int")
-    numbered = buckets.withColumn("__cut", cut).withColumn("__n", F.sum("__cut").over(order))
-    chains = numbered.groupBy("keywords", "__n").agg(F.min("first").alias("chain"), F.min("lo").alias("start_ms"), F.max("hi").alias("end_ms"), F.sum("n").alias("n"))
-    of_bucket = numbered.select("keywords", "__t", "__n").join(chains.select("keywords", "__n", "chain", "n"), ["keywords", "__n"])
-    member = k.join(of_bucket, ["keywords", "__t"]).select("seq", "chain", "n")
-    lo, hi = F.floor(F.col("start_ms") / horizon_ms), F.floor(F.col("end_ms") / horizon_ms)
-    left = chains.select(F.col("chain").alias("a"), F.col("start_ms").alias("a0"), F.col("end_ms").alias("a1"), F.col("keywords").alias("ak"), F.explode(F.sequence(lo, hi + 1)).alias("__b"))
-    right = chains.select(F.col("chain").alias("b"), F.col("start_ms").alias("b0"), F.col("end_ms").alias("b1"), F.col("keywords").alias("bk"), F.explode(F.sequence(lo, hi + 1)).alias("__b"))
-    near = (F.col("a") < F.col("b")) & (F.col("b0") - F.col("a1") <= horizon_ms) & (F.col("a0") - F.col("b1") <= horizon_ms)
-    edges = left.join(right, "__b").filter(near).filter(jaccard(F.col("ak"), F.col("bk")) >= threshold).select("a", "b").distinct()
-    labels = connected_components(edges)
-    out = member.join(labels.withColumnRenamed("node", "chain"), "chain", "left")
-    return out.filter("n > 1 or component is not null").select("seq", F.coalesce("component", "chain").alias("cluster"))
-
-
-def entity_merges(groups: DataFrame, merge_ms: int = 600_000) -> DataFrame:
-    """``(group_key, into)``: groups that share an entity and overlap or are at most ``merge_ms`` apart.
-
-    Per entity the first keyed group (else the first) is the primary that the others are tested against.
+    islands = time_islands(keywords(entries).select("seq", "ms", "keywords"), "ms", horizon_ms)
+    ordered = islands.repartition("island").sortWithinPartitions("island", "ms", "seq")
+    found = cut_lineage(ordered.mapInArrow(fold_lines(threshold, stricter, horizon_ms), "seq bigint, cluster bigint"))
+    several = found.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
+    return found.join(several, "cluster").select("seq", "cluster")
+
+
+def entity_merges(grouped: DataFrame, merge_ms: int = 600_000) -> DataFrame:
+    """``(group_key, into)``: groups that become part of others with which they share an entity.
+
+    Entities are taken in the order in which the groups, and the entries in them, mention them. Of an entity's groups that are not yet part of another,
+    the first (groups by id, then by content, then by time) takes each following one that overlaps the span it has grown to, or is at most
+    ``merge_ms`` away. Which groups are left depends on the entities before, so those that share groups, directly or over others, are folded
+    together in their order.
     """
-    named = groups.select("group_key", "start_ms", "end_ms", "first_seq", F.explode("g_entities").alias("entity"))
-    weak = F.col("group_key").rlike("^(time:|infer)").cast("int")
-    rank = F.struct(weak, F.col("first_seq"))
-    primary = named.groupBy("entity").agg(F.min_by(F.struct("group_key", "start_ms", "end_ms"), rank).alias("p"))
-    met = named.join(primary, "entity").filter(F.col("group_key") != F.col("p.group_key"))
-    close = met.filter((F.col("start_ms") - F.col("p.end_ms") <= merge_ms) & (F.col("p.start_ms") - F.col("end_ms") <= merge_ms))
-    labels = connected_components(close.select(F.col("p.group_key").alias("a"), F.col("group_key").alias("b")))
-    best = labels.join(groups.select(F.col("group_key").alias("node"), "first_seq", weak.alias("weak")), "node").groupBy("component").agg(F.min_by("node", F.struct("weak", "first_seq")).alias("into"))
-    return labels.join(best, "component").filter("node <> into").select(F.col("node").alias("group_key"), "into")
+    ids = entity_ids(F.col("metadata"))
+    mentioned = grouped.filter("group_key is not null").select("group_key", "seq", F.posexplode(ids).alias("pos", "entity"))
+    members = mentioned.groupBy("group_key", "entity").agg(F.min(F.struct("seq", "pos")).alias("said"))
+    kind = F.when(F.col("group_key").startswith("time:"), 2).when(F.col("group_key").startswith("infer"), 1).otherwise(0)
+    bounds = grouped.filter("group_key is not null").groupBy("group_key").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.min("seq").alias("first_seq"))
+    ranked = bounds.withColumn("rank", F.struct(kind.alias("kind"), "first_seq", "group_key"))
+    shared = members.groupBy("entity").agg(F.count("*").alias("n")).filter("n > 1").select("entity")
+    held = cut_lineage(members.join(shared, "entity").join(ranked, "group_key"))
+    if held.isEmpty():  # no two groups share an entity
+        return held.select("group_key", F.col("group_key").alias("into"))
+    turn = held.groupBy("entity").agg(F.min(F.struct("rank", "said")).alias("turn"))
+    labels = connected_components(held.select(F.concat_ws(":", F.lit("entity"), "entity").alias("a"), F.concat_ws(":", F.lit("group"), "group_key").alias("b")))
+    component = labels.filter("node like 'entity:%'").select(F.expr("substring(node, 8)").alias("entity"), "component")
+    ordered = held.join(turn, "entity").join(component, "entity").select("component", "turn", "entity", "rank", "group_key", "start_ms", "end_ms")
+    again = F.lead("entity").over(Window.partitionBy("component", "group_key").orderBy("turn", "entity")).isNotNull()
+    rows = ordered.withColumn("more", again).repartition("component").sortWithinPartitions("component", "turn", "entity", "rank")
+    found = cut_lineage(rows.select("component", "entity", "group_key", "start_ms", "end_ms", "more").mapInArrow(fold_entities(merge_ms), "group_key string, into string"))
+    if found.isEmpty():
+        return found
+    # a group that took others can be taken itself: all go to the one that is left
+    trees = connected_components(found.select(F.col("group_key").alias("a"), F.col("into").alias("b")))
+    roots = trees.join(found.select(F.col("group_key").alias("node")), "node", "left_anti").select("component", F.col("node").alias("root"))
+    return found.select(F.col("group_key").alias("node")).join(trees, "node").join(roots, "component").select(F.col("node").alias("group_key"), F.col("root").alias("into"))
 
 
 def group_entries(entries: DataFrame, config: Grouping = Grouping()) -> DataFrame:
@@ -307,10 +328,10 @@ def group_entries(entries: DataFrame, config: Grouping = Grouping()) -> DataFram
     rest = cut_lineage(rest)
     clusters = cut_lineage(content_clusters(rest, config.similarity))
     inferred = rest.join(clusters, "seq").withColumn("group_key", F.concat_ws("-", F.lit("inferred"), "cluster")).drop("cluster").withColumn("strategy", F.lit("inference"))
-    timed = group_by_time(rest.join(clusters.select("seq"), "seq", "left_anti").withColumn("day", F.to_date("ts")), config.window_ms, ("day",)).drop("day").withColumn("strategy", F.lit("time"))
+    timed = group_by_time(rest.join(clusters.select("seq"), "seq", "left_anti"), config.window_ms).withColumn("strategy", F.lit("time"))
     grouped = by_id.unionByName(inferred).unionByName(timed)
     grouped = cut_lineage(grouped)
-    merges = entity_merges(group_bounds(grouped), config.merge_ms)
+    merges = entity_merges(grouped, config.merge_ms)
     merged = grouped.withColumn("part_key", F.col("group_key")).join(merges, "group_key", "left")
     return merged.withColumn("group_key", F.coalesce("into", "group_key")).drop("into")
 

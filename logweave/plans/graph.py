@@ -76,10 +76,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     current = cut_lineage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct())
     loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    if current.isEmpty():  # nothing is tied to anything else
+        return loops.distinct()
     before = None
     for _ in range(rounds):
-        if current.isEmpty():
-            break
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -96,6 +96,24 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.union(current.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).union(loops.join(stars, "node", "left_anti")).distinct()
 
 
+def in_slabs(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` cut along its whole order into slabs of about equal size, numbered in ``__slab``; no column needs to part it."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("__slab", F.spark_partition_id()))
+
+
+def time_islands(df: DataFrame, ms: str, horizon_ms: int) -> DataFrame:
+    """``df`` with ``island``, which changes at pauses of more than the horizon.
+
+    Rows of one stretch of the horizon are in one island, so what is put in order is a row a stretch.
+    """
+    stretch = F.floor(F.col(ms) / horizon_ms)
+    rows = df.groupBy(stretch.alias("__stretch")).agg(F.min(ms).alias("lo"), F.max(ms).alias("hi"))
+    along = Window.orderBy("__stretch")
+    cut = F.coalesce(F.col("lo") - F.lag("hi").over(along) > horizon_ms, F.lit(False)).cast("int")
+    numbered = rows.withColumn("cut", cut).select("__stretch", F.sum("cut").over(along).alias("island"))
+    return df.withColumn("__stretch", stretch).join(numbered, "__stretch").drop("__stretch")
+
+
 def tied_blocks(items: DataFrame, ties: DataFrame, rounds: int = 50) -> DataFrame:
     """Cut items into blocks that no tie crosses: rows ``(id, block)`` of the items that are in a block with others.
 

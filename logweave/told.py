@@ -271,29 +271,33 @@ def group_entries(spark, sf_dir):
     return grouped.groupBy("group_key").agg(F.min(F.floor(F.col("seq") / 2)).alias("event_id"), F.min("strategy").alias("strategy"), F.count("*").alias("n"), F.min("ms").alias("start_ms")).drop("group_key")
 
 
-MERGE_EDGES = """, en AS (SELECT DISTINCT group_key, 'ord-' || k AS entity FROM g), bd AS (SELECT group_key, min(ms) AS lo, max(ms) AS hi, min(seq) AS first_seq FROM g GROUP BY 1),
-pr AS (SELECT entity, arg_min(group_key, first_seq) AS p FROM en JOIN bd USING (group_key) GROUP BY entity),
-ed AS (SELECT DISTINCT p AS a, en.group_key AS b FROM en JOIN pr USING (entity) JOIN bd x ON x.group_key = p JOIN bd y ON y.group_key = en.group_key WHERE p <> en.group_key AND y.lo - x.hi <= 600000 AND x.lo - y.hi <= 600000),
-sy AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), rc AS (SELECT a AS node, a AS seen FROM sy UNION SELECT sy.b, rc.seen FROM rc JOIN sy ON sy.a = rc.node),
-best AS (SELECT node, arg_min(seen, first_seq) AS into_key FROM rc JOIN bd ON bd.group_key = seen GROUP BY node) SELECT node AS group_key, into_key FROM best WHERE node <> into_key"""
+ENTITY_SQL = """, en AS (SELECT 'ord-' || any_value(user_id::BIGINT % 7) AS entity, group_key, min(ms) AS lo, max(ms) AS hi, row_number() OVER (PARTITION BY 'ord-' || any_value(user_id::BIGINT % 7) ORDER BY min(seq)) AS no FROM g GROUP BY group_key),
+rc AS (SELECT entity, group_key, no, group_key AS into_key, lo, hi, FALSE AS taken FROM en WHERE no = 1 UNION ALL SELECT entity, group_key, no, into_key, CASE WHEN near THEN least(lo, x_lo) ELSE lo END, CASE WHEN near THEN greatest(hi, x_hi) ELSE hi END, near
+  FROM (SELECT rc.entity, x.group_key, x.no, into_key, rc.lo, rc.hi, x.lo AS x_lo, x.hi AS x_hi, (x.lo <= rc.hi AND x.hi >= rc.lo) OR least(abs(x.lo - rc.hi), abs(rc.lo - x.hi)) <= 600000 AS near FROM rc JOIN en x ON x.entity = rc.entity AND x.no = rc.no + 1))
+SELECT group_key, into_key FROM rc WHERE taken"""
 
 
-@query("entity_merge", f"WITH RECURSIVE {E_SQL}, {groups_sql(SIX_HOURS)}" + MERGE_EDGES)
+@query("entity_merge", f"WITH RECURSIVE {E_SQL}, {groups_sql(SIX_HOURS)}" + ENTITY_SQL)
 def entity_merge(spark, sf_dir):
-    entries = group.split_by_gap(group.assign_keys(log(spark, sf_dir), ("userId",)), SIX_HOURS, SIX_HOURS).withColumn("metadata", F.create_map(F.lit("orderId"), F.concat(F.lit("ord-"), F.col("metadata")["k"])))
-    return group.entity_merges(group.group_bounds(entries)).withColumnRenamed("into", "into_key")
+    """Groups of users that share an order, taken one by one into the first, whose span grows."""
+    entries = group.split_by_gap(group.assign_keys(log(spark, sf_dir), ("userId",)), SIX_HOURS, SIX_HOURS).withColumn("metadata", F.create_map(F.lit("orderId"), F.concat(F.lit("ord-"), (F.col("user_id").cast("bigint") % 7).cast("string"))))
+    return group.entity_merges(entries).withColumnRenamed("into", "into_key")
 
 
-CLUSTERS_SQL = """, w0 AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 300000 THEN 1 ELSE 0 END AS cut FROM kw WINDOW w AS (PARTITION BY words ORDER BY ms, seq)), w1 AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY words ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS no FROM w0),
-ch AS (SELECT words, no, min(seq) AS chain, min(ms) AS lo, max(ms) AS hi, count(*) AS n FROM w1 GROUP BY 1, 2),
-ed AS (SELECT a.chain AS a, b.chain AS b FROM ch a JOIN ch b ON a.chain <> b.chain AND b.lo - a.hi <= 300000 AND a.lo - b.hi <= 300000 WHERE len(list_intersect(a.words, b.words)) >= 0.4 * len(list_distinct(list_concat(a.words, b.words)))),
-rc AS (SELECT a AS node, a AS seen FROM ed UNION SELECT ed.b, rc.seen FROM rc JOIN ed ON ed.a = rc.node), cc AS (SELECT node, min(seen) AS cluster FROM rc GROUP BY node)
-SELECT seq, coalesce(cluster, chain) AS cluster FROM w1 JOIN ch USING (words, no) LEFT JOIN cc ON node = chain WHERE n > 1 OR cluster IS NOT NULL"""
+CLUSTERS_SQL = """, kc AS (SELECT kw.seq, kw.ms, CASE WHEN kw.seq % 3 = 0 THEN list_append(words, 'component:' || event_type) ELSE words END AS words, kw.seq % 3 = 0 AS own FROM kw JOIN e USING (seq)),
+isl AS (SELECT *, sum(cut) OVER (ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (ORDER BY ms, seq) > 300000 THEN 1 ELSE 0 END AS cut FROM kc)),
+num AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY ms, seq) AS no FROM isl),
+rc AS (SELECT island, no, seq, seq AS cluster, [{'words': words, 'last': ms, 'first': seq}] AS cl FROM num WHERE no = 1 UNION ALL
+  SELECT island, no, seq, CASE WHEN fits THEN cl[best].first ELSE seq END, CASE WHEN fits THEN list_concat(cl[1:best - 1], [{'words': list_distinct(list_concat(cl[best].words, words)), 'last': ms, 'first': cl[best].first}], cl[best + 1:]) ELSE list_append(cl, {'words': words, 'last': ms, 'first': seq}) END
+  FROM (SELECT *, list_max(sims) >= 0.4 AND NOT (own AND len(list_filter(cl[best].words, lambda x: starts_with(x, 'component:'))) = 0 AND list_max(sims) < 0.6) AND ms - cl[best].last <= 300000 AS fits
+    FROM (SELECT *, list_position(sims, list_max(sims)) AS best FROM (SELECT n.*, cl, list_transform(cl, lambda c: len(list_intersect(c.words, n.words))::DOUBLE / len(list_distinct(list_concat(c.words, n.words)))) AS sims FROM rc JOIN num n ON n.island = rc.island AND n.no = rc.no + 1))))
+SELECT seq, cluster FROM rc WHERE cluster IN (SELECT cluster FROM rc GROUP BY cluster HAVING count(*) > 1)"""
 
 
 @query("content_clusters", f"WITH RECURSIVE {E_SQL}, {WORDS_SQL}" + CLUSTERS_SQL)
 def content_clusters(spark, sf_dir):
-    return group.content_clusters(log(spark, sf_dir))
+    """One line in three names a component, so that the stricter rule decides too."""
+    return group.content_clusters(log(spark, sf_dir).withColumn("source", F.when(F.col("seq") % 3 == 0, F.col("metadata")["event_type"])))
 
 
 # --- insights
