@@ -13,8 +13,8 @@ articles are kept if the longest article holds at least as much running text (bl
 outside of articles (in the main element, if there is one); else articles are teasers, and all of it is kept. Paragraphs,
 headings and list items of articles and main elements never count as template, but boxes in them do.
 
-Templates meet pages by host and subtree, so their number is not bounded by anything. Pages without a subtree that could be
-template take no part in that: they are read again and are done. The others meet their own templates by host and content.
+Templates meet pages by host and subtree, so their number is not bounded by anything. Every page is read once and written as its blocks
+and elements, or as its text where no subtree could be template; the others meet their own templates by host and content.
 
 Defined results: null or empty html gives the empty text; a null or broken url has no host and takes no part in the
 counting; unclosed, misnested and very deep markup is read to its end; repeated rows count as one page and get a row each; extra
@@ -55,6 +55,8 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".
 CLOSES_P = BLOCK - {"option", "optgroup", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "li", "dd", "dt"} | {"dl"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table select menu".split())
+#: Blocks within these do not end the paragraph that they stand in.
+BOUNDS = frozenset("button noscript object select svg template".split())
 # fixed values: first words of names in class, id and role that tell comments and adverts, anywhere; and what is no article, outside of one
 ALIEN = frozenset("ad ads advert advertisement adverts comment comments commentlist consent cookie cookies disqus gdpr newsletter sponsored".split())
 NAMES = ALIEN | frozenset(
@@ -129,13 +131,13 @@ def read_page(html: str) -> Page:
     kinds: list[str] = [""]
 
     def flush() -> None:
-        if parts:
+        """A block ends, unless that is within something unwanted: then the text around it goes on."""
+        top = stack[-1]
+        if parts and not top.gone:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                top = stack[-1]
-                if not top.gone:
-                    blocks.append((top.number, text, top.inside))
+                blocks.append((top.number, text, top.inside))
 
     def pop() -> None:
         if stack[-1].tag in BLOCK:
@@ -162,7 +164,8 @@ def read_page(html: str) -> Page:
     def words(text: str) -> None:
         if "&" in text:
             text = entities.unescape(text)
-        parts.append(text)
+        if not stack[-1].gone:  # what is unwanted can stand within a paragraph too
+            parts.append(text)
         if bare := " ".join(text.split()):
             stack[-1].hasher.update(bare)
 
@@ -222,7 +225,7 @@ def read_page(html: str) -> Page:
         hashes.append(0)
         kinds.append(tag)
         here = len(stack)
-        p_at = here if tag == "p" else 0 if tag in BLOCK else top.p_at
+        p_at = here if tag == "p" else 0 if tag in BLOCK or tag in BOUNDS else top.p_at
         item_at = here if tag in SIBLINGS else 0 if tag in SCOPES else top.item_at
         stack.append(_Frame(tag, number, gone, inside, p_at, item_at))
         open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -340,21 +343,30 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     prepare(spark)
     kind = pages.schema[id_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
+    subtree = pa.struct([("hash", pa.int64()), ("own", pa.bool_()), ("first", pa.int64()), ("second", pa.int64()), ("rest", pa.int64())])
+    kinds = (pa.string(), longs, longs, longs, longs, pa.list_(pa.string()), pa.list_(subtree))
+    names = ["text", *Page._fields, "subtrees"]
 
-    def subtrees_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every page read once: its text where no template can change it, else what it takes to remove some; and its subtrees."""
         for batch in batches:
-            seen: set[tuple[str, int, int, bool, int, int, int]] = set()
-            for host, content, html in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            for html, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 page = read_page(html or "")
-                own = own_subtrees(page)
-                seen.update((host, content, h, h in own, *keys) for h, keys in subtree_keys(page).items())
-            rows = list(seen)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "content", "hash", "own", "first", "second", "rest"])
+                own = own_subtrees(page) if host is not None else ()
+                found = [{"hash": h, "own": h in own, "first": a, "second": b, "rest": c} for h, (a, b, c) in subtree_keys(page).items()] if host is not None else []
+                rows.append((None, *page, found) if own else (kept_text(page, set()), *[None] * len(Page._fields), found))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), *columns], ["id", "url", "host", "content", *names])
 
     source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).withColumns({"host": host_of(F.col("url")), "content": F.xxhash64("html")})
-    counted = source.filter("host is not null")
-    found = staged(counted.select("host", "content", "html").mapInArrow(subtrees_of, "host string, content bigint, hash bigint, own boolean, first bigint, second bigint, rest bigint"), "site-subtrees")
+    schema = (
+        f"id {kind}, url string, host string, content bigint, text string, parents array<bigint>, hashes array<bigint>, owners array<bigint>, articles array<bigint>, texts array<string>, "
+        "subtrees array<struct<hash: bigint, own: boolean, first: bigint, second: bigint, rest: bigint>>"
+    )
+    known = staged(source.mapInArrow(read, schema), "site-pages")
+    found = known.select("host", "content", F.explode("subtrees").alias("s")).select("host", "content", "s.*")
     ways = found.select("host", "hash", F.posexplode(F.array("first", "second", "rest")).alias("way", "page"))
     agreed = ways.groupBy("host", "hash", "way").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
     templates = agreed.groupBy("host", "hash").agg(F.count("*").alias("ways")).filter("ways >= 2").select("host", "hash")
@@ -362,29 +374,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # written, so that its true size decides how it is joined
     lists = staged(lists, "site-templates")
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pages that no template can change, or without a host."""
-        for batch in batches:
-            rows, texts = [], []
-            for k, (html, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                page = read_page(html or "")
-                if host is None or not own_subtrees(page):
-                    rows.append(k)
-                    texts.append(kept_text(page, set()))
-            kept = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([bool(own_subtrees(read_page(html or ""))) for html in batch.column(2).to_pylist()], pa.bool_()))
-
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [kept_text(read_page(html or ""), set(template or ())) for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
-
-    result = f"id {kind}, url string, text string, n_chars bigint"
-    done = source.select("id", "url", "html", "host").mapInArrow(settled, result)
-    left = counted.select("id", "url", "html", "host", "content").mapInArrow(others, f"id {kind}, url string, html string, host string, content bigint")
-    out = done.union(left.join(lists, ["host", "content"], "left").select("id", "url", "html", "template").mapInArrow(remove, result))
-    return out.toDF(id_col, url_col, "text", "n_chars")
+            columns = (batch.column(c).to_pylist() for c in (*Page._fields, "template"))
+            texts = [kept_text(Page(*page), set(template or ())) for *page, template in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    left = known.filter("text is null").join(lists, ["host", "content"], "left").select("id", "url", *Page._fields, "template")
+    out = known.filter("text is not null").select("id", "url", "text").union(left.mapInArrow(remove, f"id {kind}, url string, text string"))
+    return out.select("id", "url", "text", F.length("text").cast("bigint")).toDF(id_col, url_col, "text", "n_chars")

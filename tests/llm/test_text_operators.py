@@ -447,3 +447,21 @@ def test_whole_licenses_and_the_nearest_of_a_family(spark):
     assert [r.license for r in rows] == [*names, "mit-rest"]
     assert all(r.coverage == 1.0 and (r.span_start, r.span_end) == (10, 10 + len(t)) for r, t in zip(rows, texts))
     assert texts[0].endswith("OTHER DEALINGS IN THE SOFTWARE.")
+
+
+def test_unwanted_elements_within_a_paragraph(spark):
+    cases = {
+        "<p>Hello <button>Share this</button> dear world</p>": "Hello dear world",
+        '<p>Told <span class="ad">Buy now cheap</span> and <b>told</b> again</p>': "Told and told again",
+        '<p>Seen <span style="display:none">not <i>seen</i></span>here</p>': "Seen here",
+        "<p>One</p><noscript>enable js</noscript><p>Two</p>": "One\n\nTwo",
+        "<p>Drawn <svg><text>glyph</text></svg>figure</p>": "Drawn figure",
+        "<p>One</p><button>Go</button><p>Two</p>": "One\n\nTwo",
+        "<p>Left <select><option>a<option>b</select>right <label>kept</label></p>": "Left right kept",
+        "<p>Open <span class='ads'>never closed</p><p>next</p>": "Open\n\nnext",
+        "<p>a<template><p>no</p></template>b</p>": "ab",
+        "<p>x <span hidden>no <p>inner</p></span></p><p>y</p>": "x\n\ninner\n\ny",
+    }
+    rows = [(k, "http://a.example/", f"<body><article>{html}</article></body>") for k, html in enumerate(cases)]
+    got = {r.page_id: r.text for r in site_templates.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
