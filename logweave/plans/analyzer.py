@@ -44,6 +44,7 @@ class Analysis:
     events: DataFrame
     stories: DataFrame
     insights: DataFrame
+    insight_events: DataFrame
     summary: DataFrame
     stats: DataFrame
 
@@ -103,11 +104,11 @@ class Analyzer:
         if self.config.provider:
             stories = providers.enhance(stories, self.config.provider)
         stories = cut_lineage(stories)
-        found = insights.insights(stories)
+        found = cut_lineage(insights.insights(stories))
         unparsed = parsed.agg(F.count_if(~F.col("parsed")).alias("unparsed_lines"))
         stats = insights.run_stats(entries, built, stories).crossJoin(F.broadcast(unparsed))  # both are one row
         stats = stats.withColumn("processing_time_ms", F.lit(int((time.time() - began) * 1000)).cast("bigint"))
-        return Analysis(entries, rejects, grouped, built, stories, found, insights.system_summary(stories, found), stats)
+        return Analysis(entries, rejects, grouped, built, stories, found, insights.insight_events(stories), insights.system_summary(stories, found), stats)
 
     def query(self, question: str, result: Analysis) -> str:
         return providers.answer(question, result.stories, self.config.provider)

@@ -1,6 +1,7 @@
 """Grouping, events, stories and reports on small logs."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,29 @@ def test_burst_windows_are_anchored_at_their_first(spark):
     assert got == {"s0": 0, "s1": 0, "s2": 310_000, "s3": 310_000, "s4": 5_000_000}
 
 
+def test_burst_windows_equal_the_fold(spark):
+    """A long run without a pause, so that anchors are found by jumps; and what the insights are about."""
+    rng = random.Random(3)
+    now, times = 0, []
+    for _ in range(700):
+        now += rng.choice((0, 1, 40_000, 150_000, 299_999, 300_000)) if rng.random() < 0.99 else 900_000
+        times.append(now)
+    rows = [(f"s{k:04d}", t, t + 10, "failure" if k % 5 else "partial", f"title {k % 7}", ["e" + str(k)]) for k, t in enumerate(times)]
+    s = spark.createDataFrame(rows, "story_id string, start_ms bigint, end_ms bigint, outcome string, title string, event_ids array<string>").repartition(3)
+    anchor, expected = None, {}
+    for r in rows:
+        anchor = r[1] if anchor is None or r[1] - anchor > 300_000 else anchor
+        expected[r[0]] = anchor
+    assert {r.story_id: r.window_start_ms for r in insights.burst_windows(s).collect()} == expected
+    bursts = [a for a in set(expected.values()) if list(expected.values()).count(a) > 1]
+    told = insights.cascading_failures(s).first()
+    inside = sorted(k for k, a in expected.items() if a in bursts)
+    assert told.occurrences == len(inside) and f"across {len(bursts)} burst(s)" in told.description and told.description.count("title ") == 5
+    more = s.withColumns({"root_cause": F.lit(None).cast("string"), "retried": F.lit(False), "entries": F.array(F.struct(F.lit("plain").alias("message")))})
+    about = insights.insight_events(more).filter("title = 'Cascading failures detected'")
+    assert sorted(r.story_id for r in about.collect()) == inside
+
+
 def test_user_chains_use_the_reach_of_all_before(spark):
     e = spark.createDataFrame([("a", "u", 0, 500_000), ("b", "u", 1000, 2000), ("c", "u", 600_000, 600_000), ("d", "u", 900_000, 900_000)], "group_key string, user_id string, start_ms bigint, end_ms bigint")
     assert {r.group_key: r.chain_no for r in causal.user_chains(e).collect()} == {"a": 0, "b": 0, "c": 0, "d": 1}
