@@ -37,6 +37,8 @@ from .vectors import matrix, usable
 BLOCK = 1024
 #: Rows of a bucket up to which its pairs are compared one by one with those of other buckets, and pairs compared at once.
 FEW, SLAB = 48, 1 << 14
+#: Cosines so close to the threshold are summed again without rounding.
+ROUNDING = 1e-9
 #: Independent codes at least, and the fewest directions of each that a vector takes: where it exceeds fewer, its caps are widened.
 CODES, LEAST = 3, 6
 
@@ -111,6 +113,14 @@ def _met_before(filters: np.ndarray, offsets: np.ndarray, rows: np.ndarray, left
     return out
 
 
+def _decide(unit: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: np.ndarray, near: np.ndarray, threshold: float) -> None:
+    """Pairs within rounding of the threshold are decided by an exact sum, so that how a bucket was compared changes nothing."""
+    doubtful = np.nonzero(np.abs(cosine - threshold) <= ROUNDING)
+    if len(doubtful[0]):
+        i, j = (np.broadcast_to(x, near.shape)[doubtful] for x in (i, j))
+        near[doubtful] = [math.fsum(unit[a] * unit[b]) >= threshold for a, b in zip(i, j)]
+
+
 def _near_pairs(unit: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends: np.ndarray, threshold: float, direction: np.ndarray, filters: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one bucket with enough cosine that no earlier bucket has met.
 
@@ -123,13 +133,18 @@ def _near_pairs(unit: np.ndarray, starts: np.ndarray, middles: np.ndarray, ends:
     first = np.where(cut < 0, row + 1, cut)
     count = np.where((cut < 0) | (row < cut), ends[bucket] - first, 0) * few[bucket]
     for i, j in _pairs(first, count):
-        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+        cosine = np.einsum("ij,ij->i", unit[i], unit[j])
+        near = cosine >= threshold
+        _decide(unit, i, j, cosine, near, threshold)
         i, j = i[near], j[near]
         fresh = _first_shared(filters, offsets, i, j, direction[i])
         yield i[fresh], j[fresh]
     for s, m, e in zip(starts[~few].tolist(), middles[~few].tolist(), ends[~few].tolist()):
         split = e if m < 0 else m
-        near = unit[s:split] @ unit[s if m < 0 else m : e].T >= threshold
+        cosine = unit[s:split] @ unit[s if m < 0 else m : e].T
+        near = cosine >= threshold
+        i, j = np.indices(near.shape, sparse=True)
+        _decide(unit, i + s, j + (s if m < 0 else m), cosine, near, threshold)
         if m < 0:
             near = np.triu(near, 1)
         if near.any():

@@ -129,3 +129,24 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(edges).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 160)) and len(got) == 101
+
+
+def test_pairs_at_the_threshold_do_not_depend_on_the_size_of_their_bucket():
+    """Copies of pairs within rounding of 0.93, compared one by one and as matrices."""
+    rng = np.random.default_rng(12)
+    pairs = []
+    for _ in range(400):
+        a, b = (x / np.linalg.norm(x) for x in rng.normal(size=(2, 64)))
+        b = b - (a @ b) * a
+        b /= np.linalg.norm(b)
+        near = 0.93 * a + np.sqrt(1 - 0.93**2) * b
+        pairs.append((a, near / np.linalg.norm(near)))
+    unit = np.array([v for p in pairs for v in p])
+    filters, offsets = np.full(len(unit), 5, dtype=np.int64), np.arange(len(unit) + 1)
+    one = np.array([0]), np.array([-1]), np.array([len(unit)])
+    many = np.arange(0, len(unit), 2), np.full(len(pairs), -1), np.arange(2, len(unit) + 1, 2)
+    found = []
+    for starts, middles, ends in (one, many):
+        met = cap_filters._near_pairs(unit, starts, middles, ends, 0.93, np.full(len(unit), 5), filters, offsets)
+        found.append({(int(a), int(b)) for i, j in met for a, b in zip(i, j) if b == a + 1 and a % 2 == 0})
+    assert found[0] == found[1] and 20 < len(found[0]) < 380
