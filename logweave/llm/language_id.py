@@ -5,7 +5,7 @@ language that its markup declares, its address's suffix, and a prior of its host
 sample of labelled texts, in equal parts by language as far as there are so many. How far declarations and suffixes can be
 trusted, and the priors, are counted over all documents by grouped aggregation of the text posteriors; a host's prior is
 smoothed towards its domain's, that towards its suffix's, and that towards the whole table's, so a host with few pages borrows
-from the levels above it.
+from the levels above it. A document's own posterior is taken out of every count that it is judged by, so its text counts once.
 
 ``und`` is a class like the languages, with a model of its own under which all n-grams are equally likely: noise, and
 languages without labels, are likelier under it. It has priors and declarations counted like the others', and a document
@@ -156,10 +156,6 @@ def suffix_and_domain(url: str | None) -> tuple[str | None, str | None, str | No
     return host, ".".join(labels[-2:]), labels[-1]
 
 
-def _share(counts: list[Column], n: Column, above: list[Column]) -> list[Column]:
-    return [(c + BORROWED * a) / (n + BORROWED) for c, a in zip(counts, above)]
-
-
 def identify(
     docs: DataFrame,
     models: tuple[list[str], dict[int, np.ndarray]],
@@ -233,29 +229,30 @@ def identify(
         return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
     readable = F.col("__grams") > 0
+    share_of = lambda logs: F.transform(odds(logs), lambda x: x / total_of(odds(logs)))
     relative = evidence.filter(readable).select("__declared", "__host", "__domain", "__suffix", odds(likelihood).alias("odds"))
     summed = relative.withColumn("sum", total_of(F.col("odds")))
     counted = summed.select("__declared", "__host", "__domain", "__suffix", *[(F.col("odds")[i] / F.col("sum")).alias(f"p{i}") for i in range(k)])
     sums = [F.sum(f"p{i}").alias(f"c{i}") for i in range(k)]
     everything = counted.agg(F.count("*").alias("n"), *sums).first()  # one row
     total = float(everything["n"] or 0)
-    overall = [(float(everything[f"c{i}"] or 0.0) + BORROWED / k) / (total + BORROWED) for i in range(k)]
+    in_all = F.array(*[F.lit(float(everything[f"c{i}"] or 0.0)) for i in range(k)])
 
     def level(column: str, above: list[str]) -> DataFrame:
         return counted.filter(F.col(column).isNotNull()).groupBy(column, *above).agg(F.count("*").alias("n"), *sums)
 
-    own = [F.col(f"c{i}") for i in range(k)]
-    # how often documents of a class have this suffix or declaration
-    trusted = [F.log((own[i] + 1.0) / (F.lit(overall[i] * total) + 2.0)) for i in range(k)]
+    def added_up(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
+
+    def as_arrays(df: DataFrame, name: str, *by: str) -> DataFrame:
+        return df.select(*by, F.col("n").alias(f"{name}_n"), F.array(*[F.col(f"c{i}") for i in range(k)]).alias(name))
+
     hosts = level("__host", ["__domain", "__suffix"])
-    domains = hosts.filter("__domain is not null").groupBy("__domain", "__suffix").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
-    suffixes = domains.groupBy("__suffix").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
-    suffixes = suffixes.select("__suffix", *[s.alias(f"s{i}") for i, s in enumerate(_share(own, F.col("n"), [F.lit(o) for o in overall]))], *[t.alias(f"a{i}") for i, t in enumerate(trusted)])
-    domains = domains.join(suffixes, "__suffix").select("__domain", *[s.alias(f"d{i}") for i, s in enumerate(_share(own, F.col("n"), [F.col(f"s{i}") for i in range(k)]))], *[F.col(f"a{i}") for i in range(k)])
-    hosts = hosts.join(domains, "__domain", "left")
-    above = [F.coalesce(F.col(f"d{i}"), F.lit(overall[i])) for i in range(k)]
-    priors = hosts.select("__host", F.array(*[F.log(s) for s in _share(own, F.col("n"), above)]).alias("__prior"), F.when(F.col("a0").isNotNull(), F.array(*[F.col(f"a{i}") for i in range(k)])).alias("__address"))
-    declared = level("__declared", []).select("__declared", F.array(*trusted).alias("__declaration"))
+    domains = added_up(hosts.filter("__domain is not null"), "__domain", "__suffix")
+    suffixes = as_arrays(added_up(domains, "__suffix"), "__in_suffix", "__suffix")
+    domains = as_arrays(domains, "__in_domain", "__domain", "__suffix").join(suffixes, "__suffix").drop("__suffix")
+    priors = as_arrays(hosts, "__in_host", "__host", "__domain").join(domains, "__domain", "left").drop("__domain")
+    declared = as_arrays(level("__declared", []), "__in_declared", "__declared")
 
     # written, so that their true sizes decide how they are joined
     priors, declared = staged(priors, "language-priors"), staged(declared, "language-declared")
@@ -264,11 +261,26 @@ def identify(
     keyed = evidence.withColumns({"__host": spread("__host"), "__declared": spread("__declared")})
     joined = keyed.join(priors, "__host", "left").join(declared, "__declared", "left")
 
-    def added(logs: Column, more: str, weight: float, default: list[float]) -> Column:
-        return F.zip_with(logs, F.coalesce(F.col(more), F.array(*map(F.lit, default))), lambda x, y: x + y * weight)
-
-    nothing = [0.0] * k
-    fused = added(added(added(likelihood, "__prior", 1.0, [float(np.log(o)) for o in overall]), "__address", 0.25, nothing), "__declaration", 1.0, nothing)
+    # a document is no evidence about itself: its own share is taken out of every count that it is judged by
+    joined = joined.withColumn("__own", share_of(likelihood))
+    others = lambda c: F.zip_with(c, "__own", lambda x, own: F.greatest(x - own, F.lit(0.0)))
+    joined = joined.withColumns({c: others(F.col(c)) for c in ("__in_host", "__in_domain", "__in_suffix", "__in_declared")} | {"__in_all": others(in_all)})
+
+    def smoothed(c: str, above: Column) -> Column:
+        """The level's shares, with ``BORROWED`` documents added that are distributed as above."""
+        n = F.col(f"{c}_n") - 1 + BORROWED
+        return F.zip_with(c, above, lambda x, up: (x + BORROWED * up) / n)
+
+    def trusted(c: str) -> Column:
+        """How often documents of a class have this suffix or declaration, nothing where there is none."""
+        seen = F.zip_with(c, "__in_all", lambda x, all_of: F.log((x + 1.0) / (all_of + 2.0)))
+        return F.coalesce(seen, F.array(*[F.lit(0.0)] * k))
+
+    overall = F.transform("__in_all", lambda x: (x + BORROWED / k) / (total - 1 + BORROWED))
+    above = F.coalesce(smoothed("__in_domain", smoothed("__in_suffix", overall)), overall)
+    prior = F.transform(F.coalesce(smoothed("__in_host", above), overall), lambda x: F.log(x))
+    add = lambda x, y, weight=1.0: F.zip_with(x, y, lambda p, q: p + q * weight)
+    fused = add(add(add(likelihood, prior), trusted("__in_suffix"), 0.25), trusted("__in_declared"))
     joined = joined.withColumn("__fused", fused)
     names_of = F.array(*map(F.lit, classes))
 

@@ -14,6 +14,20 @@ from logweave.llm import language_id, license_scan, toxicity
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def test_a_page_alone_on_its_host_is_no_evidence_about_itself(spark):
+    """With one page a host, priors are those of the levels above, from the other pages."""
+    rng = random.Random(3)
+    words = {lang: [f"{lang}{a}{b}" for a in ("al", "or", "en") for b in ("a", "te", "rin")] for lang in ("qa", "ro")}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    models = language_id.fit(spark.createDataFrame([(k, say(lang, 12), lang, "s", 0) for k, lang in enumerate(["qa", "ro"] * 20)], DOCS), "text", "lang", "doc_id")
+    text = say("qa", 20)
+    rows = [(0, "http://only.alone.test/", text), (1, None, text)] + [(10 + k, f"http://h{k}.other.example/", say("ro", 20)) for k in range(30)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in language_id.identify(table, models, text_col="html", url_col="url", keep=["page_id"]).collect()}
+    assert got[0].language == got[1].language == "qa"
+    assert got[0].confidence == pytest.approx(got[1].confidence, rel=0.05)
+
+
 def test_fused_languages_are_what_counting_by_hand_says(spark):
     """Priors of host, domain, suffix and table, suffix and declaration evidence, recomputed in Python; repeated rows and long texts are among them."""
     rng = random.Random(2)
@@ -41,17 +55,19 @@ def test_fused_languages_are_what_counting_by_hand_says(spark):
         scale = min(1.0, language_id.GRAMS / max(row[-1], 1.0))
         facts[page] = (row[:-1] * scale, row[-1], language_id.primary_code(declared[1]) if declared else None, *language_id.suffix_and_domain(url))
     soft = {p: np.exp(f[0] - f[0].max()) / np.exp(f[0] - f[0].max()).sum() for p, f in facts.items() if f[1] > 0}
-    total = len(soft)
-    overall = (sum(soft.values()) + language_id.BORROWED / k) / (total + language_id.BORROWED)
-    counts = lambda at, value: (sum((soft[p] for p in soft if facts[p][at] == value), np.zeros(k)), sum(facts[p][at] == value for p in soft))
+    total = len(soft) - 1  # without the page itself
+    counts = lambda at, value, page: (sum((soft[p] for p in soft if p != page and facts[p][at] == value), np.zeros(k)), sum(facts[p][at] == value for p in soft if p != page))
     smooth = lambda c, above: (c[0] + language_id.BORROWED * above) / (c[1] + language_id.BORROWED)
-    trust = lambda c: np.log((c[0] + 1) / (overall * total + 2))
     for page, (ll, n, declared, host, domain, suffix) in facts.items():
         if not n:
             assert (got[page].language, got[page].confidence, got[page].accepted) == ("und", 0.0, False)
             continue
-        fused = ll + np.log(overall if host is None else smooth(counts(3, host), smooth(counts(4, domain), smooth(counts(5, suffix), overall))))
-        fused = fused + (0.25 * trust(counts(5, suffix)) if host else 0) + (trust(counts(2, declared)) if declared else 0)
+        of = lambda at, value: counts(at, value, page)  # noqa: B023, E731
+        everything = sum(soft[p] for p in soft if p != page)
+        overall = (everything + language_id.BORROWED / k) / (total + language_id.BORROWED)
+        trust = lambda c: np.log((c[0] + 1) / (everything + 2))  # noqa: B023, E731
+        fused = ll + np.log(overall if host is None else smooth(of(3, host), smooth(of(4, domain), smooth(of(5, suffix), overall))))
+        fused = fused + (0.25 * trust(of(5, suffix)) if host else 0) + (trust(of(2, declared)) if declared else 0)
         odds = np.exp(fused - fused.max())
         assert got[page].language == classes[int(fused.argmax())] and got[page].confidence == pytest.approx(1 / odds.sum(), rel=1e-4)
         assert got[page].text_language == classes[int(ll.argmax())] and got[page].accepted == (got[page].language != "und")
