@@ -125,6 +125,15 @@ def done_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pass_through(lines: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The lines that a transport takes in, kept as they are in a committed sink beside their analysis (``sources.tail.read_sink``)."""
+    from ..sources.tail import LogSink
+
+    lines.sparkSession.dataSource.register(LogSink)
+    writer = lines.writeStream.format("log_sink").option("path", folder).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
 def tee(batch_function: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
     """Pass every batch on and keep its raw rows as well, as a logging transport does."""
 
@@ -163,16 +172,16 @@ def transport(lines: DataFrame, checkpoint: str, on_stories: Callable[[DataFrame
 
 
 def watch(spark: SparkSession, path: str, report: Callable, config=None, interval_ms: int = 1000) -> StreamingQuery:
-    """Analyse what is appended to a file, every micro-batch on its own."""
+    """Analyse what is appended to a file, or to the files of a folder or a pattern, every micro-batch on its own."""
     from ..plans.analyzer import Analyzer
-    from ..sources.lines import GrowingFile
+    from ..sources.tail import LogTail
 
-    spark.dataSource.register(GrowingFile)
+    spark.dataSource.register(LogTail)
     analyzer = Analyzer(spark, config)
 
     def run(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            report(analyzer._run(parse_lines(batch)))
+            report(analyzer._run(parse_lines(batch.select("seq", "raw"))))
 
-    lines = spark.readStream.format("growing_file").load(path)
+    lines = spark.readStream.format("log_tail").load(path)
     return lines.writeStream.foreachBatch(run).trigger(processingTime=f"{interval_ms} milliseconds").start()
