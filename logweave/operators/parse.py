@@ -223,17 +223,22 @@ def parse_lines(lines: DataFrame, fmt: str | None = None) -> DataFrame:
     return out.select("seq", *[F.col(f"__e.{n}").alias(n) for n in fields], "raw", F.col("__e").isNotNull().alias("parsed"))
 
 
-def parse_counters(parsed: DataFrame) -> DataFrame:
-    """One row: total, parsed, unparsed_lines, inferred_timestamps, parse_errors, detected_format.
+def counter_columns(parsed: DataFrame) -> list[Column]:
+    """Aggregates: total, parsed, unparsed_lines, inferred_timestamps, parse_errors, detected_format.
 
     Lines that fit no format are unparsed, records that are no objects are errors. The first parsed row names the format.
     """
     records = "record_format" in parsed.columns
     failed = F.count_if(~F.col("parsed"))
     first = F.min_by(F.col("record_format" if records else "format"), F.when(F.col("parsed"), F.col("seq")))
-    return parsed.agg(
+    return [
         (F.lit(0).cast("bigint") if not records else failed).alias("parse_errors"), F.coalesce(first, F.lit("unknown")).alias("detected_format"), F.count("*").alias("total"), F.count_if("parsed").alias("parsed"), (F.lit(0).cast("bigint") if records else failed).alias("unparsed_lines"), F.count_if(F.col("parsed") & F.col("ts_inferred")).alias("inferred_timestamps")
-    )
+    ]
+
+
+def parse_counters(parsed: DataFrame) -> DataFrame:
+    """One row of the counters; what writes the parsed rows can observe them on the way instead."""
+    return parsed.agg(*counter_columns(parsed))
 
 
 def detect_format(lines: DataFrame, sample: int = 20) -> DataFrame:

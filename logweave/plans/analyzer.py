@@ -6,13 +6,13 @@ import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import causal, events, insights
 from ..operators.filters import Filter, apply_filter
 from ..operators.group import Grouping, group_entries
-from ..operators.parse import format_confidence, parse_counters, parse_lines, parse_objects
+from ..operators.parse import counter_columns, format_confidence, parse_lines, parse_objects
 from ..operators.redact import Redaction, redact_entries
 from ..operators.schema import as_entries
 from ..sources import lines as sources
@@ -74,11 +74,17 @@ class Analyzer:
         gate = format_confidence(written).first()
         if gate["sampled"] >= GATE_LINES and gate["confidence"] < LEAST_CONFIDENCE:
             raise UnrecognisedFormat(f"only {gate['confidence']:.0%} of the first lines are of a known format, e.g. {gate['unmatched']}")
-        parsed = cut_lineage(parse_lines(written))  # read by the counters and by the analysis
-        counts = parse_counters(parsed).first()
+        parsed, counts = self._counted(parse_lines(written))
         if counts["total"] >= UNPARSED_LINES and counts["unparsed_lines"] / counts["total"] >= MOST_UNPARSED:
             raise UnrecognisedFormat(f"{counts['unparsed_lines']} of {counts['total']} lines cannot be parsed")
-        return self._run(parsed)
+        return self._run(parsed, counts)
+
+    @staticmethod
+    def _counted(parsed: DataFrame) -> tuple[DataFrame, dict]:
+        """Parsed rows, written once, and the counters that were observed as they were."""
+        seen = Observation()
+        written = cut_lineage(parsed.observe(seen, *counter_columns(parsed)))
+        return written, {"total": 0, "unparsed_lines": 0} | {k: v for k, v in seen.get.items() if v is not None}
 
     def analyze_file(self, path: str) -> Analysis:
         return self.analyze(sources.read_lines(self.spark, path))
@@ -91,13 +97,16 @@ class Analyzer:
         """Any DataFrame with some of the entry schema's columns, a table for instance."""
         return self._run(as_entries(entries).drop("ms").withColumn("parsed", F.lit(True)))
 
-    def _run(self, parsed: DataFrame) -> Analysis:
+    def _run(self, parsed: DataFrame, counts: dict | None = None) -> Analysis:
         began = time.time()
+        if counts is None:
+            parsed, counts = self._counted(parsed)
         rejects = parsed.filter(~F.col("parsed")).select("seq", "raw")
         entries = as_entries(parsed.filter("parsed").drop("parsed"))
         entries = redact_entries(apply_filter(entries, self.config.filter), self.config.redaction)
         # what the query's time or several readers depend on is fixed once
-        grouped = cut_lineage(group_entries(cut_lineage(entries), self.config.grouping))
+        entries = cut_lineage(entries)
+        grouped = cut_lineage(group_entries(entries, self.config.grouping))
         built = cut_lineage(events.build_events(grouped))
         chained = cut_lineage(causal.chain_events(built))
         stories = causal.merge_stories(chained, cut_lineage(causal.build_stories(chained)))
@@ -105,8 +114,7 @@ class Analyzer:
             stories = providers.enhance(stories, self.config.provider)
         stories = cut_lineage(stories)
         found = cut_lineage(insights.insights(stories))
-        unparsed = parsed.agg(F.count_if(~F.col("parsed")).alias("unparsed_lines"))
-        stats = insights.run_stats(entries, built, stories).crossJoin(F.broadcast(unparsed))  # both are one row
+        stats = insights.run_stats(entries, built, stories).withColumn("unparsed_lines", F.lit(counts["unparsed_lines"]).cast("bigint"))
         stats = stats.withColumn("processing_time_ms", F.lit(int((time.time() - began) * 1000)).cast("bigint"))
         return Analysis(entries, rejects, grouped, built, stories, found, insights.insight_events(stories), insights.system_summary(stories, found), stats)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +23,8 @@ from ..operators.schema import as_entries
 from ..plans.graph import cut_lineage
 
 HORIZON_MS = 900_000
+#: A row a batch: what came in, what was told, and the latest time so far.
+PROGRESS = "entries bigint, errors bigint, number bigint, stories bigint, newest bigint"
 #: What is kept of a story that has been told: all that reports and insights read.
 TOLD = ("story_id", "signature", "title", "outcome", "severity", "narrative", "narrative_source", "root_cause", "impact", "recommendation", "start_ms", "end_ms", "duration_ms", "retried", "actors", "services", "event_ids", "entries")
 
@@ -52,27 +54,26 @@ class StoryStream:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = cut_lineage(as_entries(parse_lines(batch).filter("parsed").drop("parsed")) if "raw" in batch.columns and "message" not in batch.columns else as_entries(batch))
-        if fresh.isEmpty():
-            fresh = fresh.limit(0)
-        carried = self._table(spark, "carry", number - 1, fresh.schema)
-        newest_before = carried.agg(F.max("ms")).first()[0]
-        floor = newest_before - self.horizon_ms if newest_before is not None else None
-        late = fresh.filter(F.col("ms") < floor) if floor is not None else fresh.limit(0)
-        timely = fresh.filter(F.col("ms") >= floor) if floor is not None else fresh
-        both = carried.unionByName(timely)
-        newest = both.agg(F.max("ms")).first()[0]
+        entries = as_entries(parse_lines(batch).filter("parsed").drop("parsed")) if "raw" in batch.columns and "message" not in batch.columns else as_entries(batch)
+        left = self._table(spark, "progress", number - 1, PROGRESS).first()
+        newest_before = left["newest"] if left else None
+        timely = F.coalesce(F.col("ms") >= (newest_before - self.horizon_ms), F.lit(False)) if newest_before is not None else F.lit(True)
+        # what a batch is counted by is observed as its rows are written, with no pass of its own
+        came, tells = Observation(), Observation()
+        fresh = cut_lineage(entries.observe(came, F.count_if(timely).alias("entries"), F.count_if(timely & F.col("level").isin("error", "fatal")).alias("errors"), F.max(F.when(timely, F.col("ms"))).alias("newest")))
+        seen = {"entries": 0, "errors": 0, "newest": None} | came.get
+        newest = max((n for n in (newest_before, seen["newest"]) if n is not None), default=None)
+        both = self._table(spark, "carry", number - 1, fresh.schema).unionByName(fresh.filter(timely))
         stories = stories_of(both, self.config).withColumn("signature", story_signature(F.col("entries")))
         told = self._table(spark, "told", number - 1, "signature string, end_ms bigint")
-        new = cut_lineage(stories.join(told, "signature", "left_anti"))
-        out = f"{self.folder}/stories/batch={number}"
-        new.select(*TOLD).write.mode("overwrite").parquet(out)
-        late.select("seq", "ms", "level", "message").write.mode("overwrite").parquet(f"{self.folder}/late/batch={number}")
+        new = cut_lineage(stories.join(told, "signature", "left_anti").observe(tells, F.count("*").alias("stories")))
+        new.select(*TOLD).write.mode("overwrite").parquet(f"{self.folder}/stories/batch={number}")
+        fresh.filter(~timely).select("seq", "ms", "level", "message").write.mode("overwrite").parquet(f"{self.folder}/late/batch={number}")
         keep = F.lit(newest - self.horizon_ms if newest is not None else 0)
         both.filter(F.col("ms") >= keep).write.mode("overwrite").parquet(f"{self.folder}/carry/batch={number}")
         told.union(new.select("signature", "end_ms")).filter(F.col("end_ms") >= keep).write.mode("overwrite").parquet(f"{self.folder}/told/batch={number}")
-        progress = timely.agg(F.count("*").alias("entries"), F.count_if(F.col("level").isin("error", "fatal")).alias("errors")).withColumn("batch", F.lit(number))
-        progress.withColumn("stories", F.lit(new.count())).write.mode("overwrite").parquet(f"{self.folder}/progress/batch={number}")
+        row = (seen["entries"], seen["errors"], number, ({"stories": 0} | tells.get)["stories"], newest)
+        spark.createDataFrame([row], PROGRESS).write.mode("overwrite").parquet(f"{self.folder}/progress/batch={number}")
         for name in ("carry", "told"):
             self._path(spark, name, number - 2, delete=True)
 
