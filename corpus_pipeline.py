@@ -2,10 +2,16 @@
 
 Every stage takes what its predecessor kept and hands on the columns of ``documents``; the last returns packed pieces. The
 stages are written as tables in the shared checkpoint folder and read again, so none is computed twice.
+
+Defined results: a document is a row; rows that share an id, or have none, are judged each by its own text. A null or empty text is in no known
+language and goes in the first stage. Of near duplicates the row with the smallest id stays, of rows with one id that with the smaller
+text digest, of rows equal in both one; what has no id is no duplicate. Texts are read whole, however long. Columns beyond those of ``documents``
+pass through all stages but the last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 import public_tokenizers
@@ -16,8 +22,14 @@ from logweave.llm import language_id, ngram_join, packing, pseudonyms, toxicity
 from logweave.llm.common import drop_staged, drop_tables, owning, staged, table
 from logweave.llm.queries import PSEUDONYM_KEY
 
-#: Tables that the stage at work has staged.
-_staged: list[str] = []
+class _Staged(threading.local):
+    """Tables that the stage at work has staged; pipelines of several threads keep out of each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_staged = _Staged()
 
 
 def stage(f):
@@ -25,9 +37,9 @@ def stage(f):
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _staged)
-        _staged.clear()
-        with owning(_staged):
+        drop_tables(spark, _staged.paths)
+        _staged.paths = []
+        with owning(_staged.paths):
             return f(spark, docs, sf_dir)
 
     return run
