@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import parse
 from logweave.plans.analyzer import Analyzer, UnrecognisedFormat, session_defaults
-from logweave.sources.lines import json_array_lines, text_lines
+from logweave.sources.lines import json_array_lines, json_array_records, text_lines
 
 
 @pytest.fixture(autouse=True)
@@ -70,3 +70,8 @@ def test_gate_and_array(spark):
     assert json_array_lines(spark, '[{"level":"info","message":"a"}]').count() == 1
     assert json_array_lines(spark, "[2024-05-01T10:00:00Z] WARN: x") is None
     assert parse.detect_format(text_lines(spark, "junk\n[2024-05-01T10:00:00Z] WARN: x")).first()["format"] == "plain"
+
+
+def test_records_of_several_arrays_have_numbers_of_their_own(spark):
+    texts = spark.createDataFrame([('[{"a":1},{"a":2}]', 0), ('[{"a":3},{"a":4}]', 7), ("no array", 8)], "text string, n bigint")
+    assert sorted((r.seq, r.raw) for r in json_array_records(texts, "n").collect()) == [(0, '{"a":1}'), (1, '{"a":2}'), (7 << 32, '{"a":3}'), ((7 << 32) + 1, '{"a":4}')]
