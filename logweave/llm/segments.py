@@ -12,11 +12,17 @@ def coded_segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
     A null is an empty text; an empty text has one empty segment, as ``"".split(" ")`` has.
     """
+    offsets, codes, segments = segment_arrays(texts)
+    return offsets, codes, segments.to_pylist()
+
+
+def segment_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``coded_segments`` with the distinct segments left in Arrow."""
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.split_pattern(filled, pattern=" ")
     coded = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy()
-    return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def ragged_gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
