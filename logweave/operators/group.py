@@ -7,13 +7,14 @@ components of shared entities. Absorption is set-based: each entry takes its bes
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has, js, truthy
-from ..plans.graph import connected_components, cut_lineage, in_slabs, time_band_join, time_islands
+from ..plans.graph import connected_components, cut_lineage, in_slabs, time_islands
 from .absorb import Slabs, best_groups
 from .folds import fold_entities, fold_lines
 
@@ -224,18 +225,42 @@ def keywords(entries: DataFrame) -> DataFrame:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Of arrays without repeated elements."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, 0.0).otherwise(both / union)
+
+
+#: Entries in a row of entries of one vector.
+BUNCH = 4096
 
 
 def similar_pairs(entries: DataFrame, threshold: float = 0.4, horizon_ms: int = 300_000) -> DataFrame:
-    """Pairs of entries within the horizon whose keyword vectors are alike: ``(a, b, similarity)``, a before b."""
-    k = keywords(entries).select("seq", "ms", "keywords")
-    left = k.select(F.col("seq").alias("a"), F.col("ms").alias("a_ms"), F.col("keywords").alias("a_words"))
-    right = k.select(F.col("seq").alias("b"), F.col("ms").alias("b_ms"), F.col("keywords").alias("b_words"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("a_ms") - F.col("b_ms")) <= horizon_ms)
-    met = time_band_join(left, right, "a_ms", "b_ms", horizon_ms, [], near)
-    return met.withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    """Pairs of entries within the horizon whose keyword vectors are alike: ``(a, b, similarity)``, a before b.
+
+    Entries of one vector and half a horizon are bunched, so vectors are compared once a pair of bunches; the entries of two bunches
+    whose vectors are alike only have their times compared. Of two bunches of different halves, the earlier meets the later one.
+    """
+    half = max(1, math.ceil(horizon_ms / 2))
+    words = F.coalesce(F.array_sort("keywords"), F.array().cast("array<string>"))  # no filter, which would find the words once more
+    k = keywords(entries.filter("seq is not null and ms is not null")).select("seq", "ms", words.alias("words")).withColumn("slot", F.floor(F.col("ms") / half))
+    place = F.row_number().over(Window.partitionBy("slot", "words").orderBy("ms"))
+    placed = k.withColumn("bunch", F.floor((place - 1) / BUNCH))
+    bunched = placed.groupBy("slot", "words", "bunch").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.collect_list(F.struct("ms", "seq")).alias("rows"))
+    bunches = cut_lineage(bunched)  # both sides read it
+    # the pairs of a bunch are many for its bytes: tasks are not put together by size
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("words", "lo", "hi", "rows")]
+    left = bunches.select("slot", *side("x")).repartition(tasks, "slot")
+    reach = F.sequence(F.col("slot") - 2, F.col("slot"))
+    right = bunches.select(F.explode(reach).alias("met"), F.col("slot").alias("own"), *side("y")).withColumnRenamed("met", "slot").repartition(tasks, "slot")
+    near = (F.col("y_lo") - F.col("x_hi") <= horizon_ms) & (F.col("x_lo") - F.col("y_hi") <= horizon_ms)
+    met = left.join(right, "slot").filter(near).withColumn("similarity", jaccard(F.col("x_words"), F.col("y_words"))).filter(F.col("similarity") >= threshold)
+    some = met.select("similarity", (F.col("own") == F.col("slot")).alias("same"), F.explode("x_rows").alias("x"), "y_rows").select("similarity", "same", "x", F.explode("y_rows").alias("y"))
+    # in a slot both bunches meet either way round
+    once = F.when(F.col("same"), F.col("x.seq") < F.col("y.seq")).otherwise(F.col("x.seq") != F.col("y.seq"))
+    found = some.filter(once & (F.abs(F.col("x.ms") - F.col("y.ms")) <= horizon_ms))
+    return found.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b"), "similarity")
 
 
 def content_clusters(entries: DataFrame, threshold: float = 0.4, stricter: float = 0.6, horizon_ms: int = 300_000) -> DataFrame:
