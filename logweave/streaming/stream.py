@@ -147,7 +147,8 @@ def tee(batch_function: Callable[[DataFrame, int], None], path: str) -> Callable
 
 
 def transport(lines: DataFrame, checkpoint: str, on_stories: Callable[[DataFrame], None], on_insights: Callable[[DataFrame], None] | None = None, on_stats: Callable[[DataFrame], None] | None = None, seconds: float = 30, config=None) -> StreamingQuery:
-    """A logging transport: what has come in ``seconds`` is analysed on its own and handed to the callbacks.
+    """A logging transport: what has come in ``seconds`` is analysed on its own and handed to the callbacks,
+    whose tables go when they return.
 
     Sources bound a batch by count as well (``maxLines`` of growing files). A batch that is no log is reported and
     skipped, so that logging goes on.
@@ -164,10 +165,13 @@ def transport(lines: DataFrame, checkpoint: str, on_stories: Callable[[DataFrame
         except UnrecognisedFormat as problem:
             print(f"batch {number} was not analysed: {problem}", file=sys.stderr)
             return
-        on_stories(result.stories)
-        for callback, rows in ((on_insights, result.insights), (on_stats, result.stats)):
-            if callback:
-                callback(rows)
+        try:
+            on_stories(result.stories)
+            for callback, rows in ((on_insights, result.insights), (on_stats, result.stats)):
+                if callback:
+                    callback(rows)
+        finally:
+            result.drop()
 
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
@@ -182,7 +186,11 @@ def watch(spark: SparkSession, path: str, report: Callable, config=None, interva
 
     def run(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            report(analyzer._run(parse_lines(batch.select("seq", "raw"))))
+            result = analyzer._run(parse_lines(batch.select("seq", "raw")))
+            try:
+                report(result)
+            finally:
+                result.drop()
 
     lines = spark.readStream.format("log_tail").load(path)
     return lines.writeStream.foreachBatch(run).trigger(processingTime=f"{interval_ms} milliseconds").start()
